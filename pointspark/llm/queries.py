@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointspark.llm import line_dedup, media, warc
+from pointspark.llm import line_dedup, media, token_counts, token_files, warc
 from pointspark.llm.common import new_path, read
 
 
@@ -30,6 +31,13 @@ FROM m
 """
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    token_files.write_documents(read(spark, sf_dir, "documents"), path, tokenizer, 2)
+    return token_files.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.documents_as_media(read(spark, sf_dir, "documents"))
     return found.select(
@@ -42,6 +50,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 #: Lines with their keys; {docs} is a table or a subquery in brackets.
 LINES_SQL = """
 SELECT doc_id, pos, line,
@@ -63,8 +76,10 @@ FROM j GROUP BY doc_id
 def queries() -> dict:
     return {
         "op1_warc_archive": op1_warc_archive,
+        "op2_token_files": op2_token_files,
         "op7_media_columns": op7_media_columns,
         "op8_line_dedup": op8_line_dedup,
+        "op10_token_counts": op10_token_counts,
     }
 
 
