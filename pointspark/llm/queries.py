@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointspark.llm import line_dedup, media, token_counts, token_files, warc
+from pointspark.llm import line_dedup, media, simhash, token_counts, token_files, warc
 from pointspark.llm.common import new_path, read
 
 
@@ -38,6 +38,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.documents_as_media(read(spark, sf_dir, "documents"))
     return found.select(
@@ -77,6 +81,7 @@ def queries() -> dict:
     return {
         "op1_warc_archive": op1_warc_archive,
         "op2_token_files": op2_token_files,
+        "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op7_media_columns": op7_media_columns,
         "op8_line_dedup": op8_line_dedup,
         "op10_token_counts": op10_token_counts,
