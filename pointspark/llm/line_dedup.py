@@ -121,7 +121,8 @@ def dropped_lines(
     docs: DataFrame, id_col: str, text_col: str, *, min_chars: int, min_docs: int, batches: int, fanout: int
 ) -> DataFrame:
     """(doc, text_hash, dropped): the positions of the lines that each document loses."""
-    cuts = [c for c in docs.approxQuantile(id_col, [i / batches for i in range(1, batches)], 0.01)]
+    shares = [i / batches for i in range(1, batches)]
+    cuts = docs.approxQuantile(id_col, shares, 0.01) if shares else []
     batch = F.lit(0)
     for cut in sorted(set(cuts)):
         batch = batch + F.when(F.col("doc") > F.lit(int(cut)), 1).otherwise(0)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointspark.llm import line_dedup, media, simhash, token_counts, token_files, warc
+from pointspark.llm import decontaminate, line_dedup, media, simhash, token_counts, token_files, toxicity, warc
 from pointspark.llm.common import new_path, read
 
 
@@ -38,10 +38,37 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "shared", "size", "containment")
+
+
+#: Distinct shingles of five words; {rows} has id and text.
+SHINGLES_SQL = """
+SELECT DISTINCT id, array_to_string(w[i:i+4], ' ') AS s
+FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i
+      FROM (SELECT id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM ({rows})))
+"""
+OP4_SQL = f"""
+WITH d AS ({SHINGLES_SQL.format(rows="SELECT doc_id AS id, text FROM documents")}),
+b AS ({SHINGLES_SQL.format(rows="SELECT item_id AS id, text FROM benchmark")}),
+n AS (SELECT id, count(*) AS size FROM b GROUP BY id),
+m AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared FROM d JOIN b ON d.s = b.s GROUP BY d.id, b.id)
+SELECT doc_id, item_id, shared, size, CAST(shared AS DOUBLE) / size AS containment
+FROM m JOIN n ON n.id = m.item_id WHERE 100 * shared >= 80 * size
+"""
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.documents_as_media(read(spark, sf_dir, "documents"))
     return found.select(
@@ -81,7 +108,9 @@ def queries() -> dict:
     return {
         "op1_warc_archive": op1_warc_archive,
         "op2_token_files": op2_token_files,
+        "op4_decontamination": op4_decontamination,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op6_toxicity": op6_toxicity,
         "op7_media_columns": op7_media_columns,
         "op8_line_dedup": op8_line_dedup,
         "op10_token_counts": op10_token_counts,
@@ -89,4 +118,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_archive": OP1_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op1_warc_archive": OP1_SQL, "op4_decontamination": OP4_SQL, "op8_line_dedup": OP8_SQL}
