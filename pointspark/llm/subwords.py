@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -41,6 +42,11 @@ def pretokens(tokenizer, text: str) -> list[tuple[str, tuple[int, int]]]:
     return tokenizer.pre_tokenizer.pre_tokenize_str(text)
 
 
+def ends_in_mark(piece: str) -> bool:
+    """Whether a piece is a full stop or comma after a letter or digit: the mark is a pre-token of its own."""
+    return len(piece) > 1 and piece[-1] in ".," and piece[-2].isalnum()
+
+
 class IdMemo(dict):
     """Piece -> row of a ragged array of ids."""
 
@@ -53,13 +59,17 @@ class IdMemo(dict):
     def encode(self, piece: str) -> list[int]:
         tokenizer = self.tokenizer
         if piece.isascii() and piece.isalpha():
-            return [x.id for x in tokenizer.model.tokenize(piece.lower())]
+            lower = piece.lower()
+            return self.rows[self[lower]] if lower != piece else [x.id for x in tokenizer.model.tokenize(piece)]
+        if ends_in_mark(piece):
+            return self.rows[self[piece[:-1]]] + self.rows[self[piece[-1]]]
         if any(x in piece for x in self.added):
             return tokenizer.encode(piece, add_special_tokens=False).ids
         return [x.id for word, _ in pretokens(tokenizer, piece) for x in tokenizer.model.tokenize(word)]
 
     def __missing__(self, piece: str) -> int:
-        self.rows.append(self.encode(piece))
+        found = self.encode(piece)
+        self.rows.append(found)
         row = len(self.rows) - 1
         if len(piece) <= LONG:
             self[piece] = row
@@ -71,12 +81,11 @@ class IdMemo(dict):
             self.clear()
             self.rows = []
             self._flat = None
-        get = self.__getitem__
-        row = np.fromiter((get(x) for text in pieces for x in text), np.int64, sum(map(len, pieces)))
+        row = np.fromiter(map(self.__getitem__, chain.from_iterable(pieces)), np.int64, sum(map(len, pieces)))
         if self._flat is None or len(self._ends) < len(self.rows):
             known = 0 if self._flat is None else len(self._ends)
             sizes = np.fromiter(map(len, self.rows[known:]), np.int64, len(self.rows) - known)
-            fresh = np.fromiter((i for r in self.rows[known:] for i in r), np.uint32, int(sizes.sum()))
+            fresh = np.fromiter(chain.from_iterable(self.rows[known:]), np.uint32, int(sizes.sum()))
             before = self._ends[-1] if known else 0
             ends = np.cumsum(sizes) + before
             self._flat = np.concatenate([self._flat, fresh]) if known else fresh
@@ -109,6 +118,7 @@ class CountMemo(dict):
         self.added = added_strings(self.tokenizer)
         first = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0]
         self.space = first[0]
+        self.mark = len(self.tokenizer.model.tokenize("."))
 
     def count(self, piece: str) -> int:
         if any(x in piece for x in self.added):
@@ -118,6 +128,8 @@ class CountMemo(dict):
     def __missing__(self, piece: str) -> int:
         if piece.isascii() and piece.isalpha():
             n = len(self.tokenizer.model.tokenize(self.space + piece))
+        elif ends_in_mark(piece):
+            n = self[piece[:-1]] + self.mark
         else:
             n = self.count(" " + piece)
         if len(piece) <= LONG:

@@ -124,7 +124,8 @@ def long_counts(texts: DataFrame, tokenizer_path: str, chunk: int, overlap: int)
     done, width, rest = None, overlap, texts
     while True:
         size = max(chunk, 2 * width)
-        found = save(splice(chunk_counts(cut(rest, size, width), tokenizer_path, width)), "spliced")
+        facts = save(chunk_counts(cut(rest, size, width), tokenizer_path, width), "chunk-counts")
+        found = save(splice(facts), "spliced")
         good = found.where(F.col("n_tokens").isNotNull()).select("row_key", "n_tokens")
         done = good if done is None else done.unionByName(good)
         failed = found.where(F.col("n_tokens").isNull()).select("row_key")
