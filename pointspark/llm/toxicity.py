@@ -25,6 +25,7 @@ are not looked at.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pointspark.llm.subwords import blocks
 
 MAX_TRAIN = 2_000
-MAX_TRAIN_CHARS = 20_000
+MAX_TRAIN_CHARS = 10_000
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5, 6)
@@ -109,18 +110,27 @@ def window_logits(part: np.ndarray, number: np.ndarray, sizes: np.ndarray, bias:
 def train(texts: list[str], toxic: np.ndarray) -> Model | None:
     """Fit a model, or None without both classes."""
     toxic = np.asarray(toxic, np.int64)
-    docs = [split_words(t) for t in texts]
-    keep = [i for i, d in enumerate(docs) if d]
-    docs, toxic = [docs[i] for i in keep], toxic[keep]
+    vocabulary: dict[str, int] = {}
+    flat, sizes, keep = array("i"), [], []
+    for i, text in enumerate(texts):
+        words = split_words(text)
+        if words:
+            keep.append(i)
+            sizes.append(len(words))
+            flat.extend([vocabulary.setdefault(w, len(vocabulary)) for w in words])
+    toxic = toxic[keep]
     if len(set(toxic.tolist())) < 2:
         return None
-    vocabulary: dict[str, int] = {}
-    flat = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for d in docs for w in d), np.int64)
-    sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-    first, doc_of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(docs)), sizes)
-    bucket, owner = word_features(list(vocabulary))
-    order = np.argsort(owner, kind="stable")
-    bucket, number = bucket[order], np.bincount(owner, minlength=len(vocabulary))
+    flat, sizes = np.frombuffer(flat, np.int32), np.array(sizes, np.int64)
+    first, doc_of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    words = list(vocabulary)
+    bucket, number = [], []
+    for at in range(0, len(words), 10_000):  # a part at a time, for the driver's memory
+        found, owner = word_features(words[at : at + 10_000])
+        bucket.append(found[np.argsort(owner, kind="stable")].astype(np.int32))
+        number.append(np.bincount(owner))
+    del words, vocabulary
+    bucket, number = np.concatenate(bucket), np.concatenate(number)
     begin = np.cumsum(number) - number
 
     def spread(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +140,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Model | None:
 
     def highest(part: np.ndarray, bias: float, top: int) -> np.ndarray:
         """The first words of each document's ``top`` highest windows that don't overlap."""
-        per_word = np.bincount(np.repeat(np.arange(len(number)), number), part[bucket], len(number))
+        per_word = np.add.reduceat(part[bucket], begin)
         logits, _ = window_logits(per_word[flat], number[flat], sizes, bias)
         chosen = []
         for _ in range(top):
@@ -143,11 +153,10 @@ def train(texts: list[str], toxic: np.ndarray) -> Model | None:
         return np.concatenate(chosen)
 
     # Which windows stand for a document at first: by the log-odds of documents that hold a bucket.
-    pair = np.unique(np.stack([np.repeat(doc_of, number[flat]), spread(flat)[0]]), axis=1)
-    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
-    seen1 = np.bincount(pair[1], toxic[pair[0]], BUCKETS)
-    seen0 = np.bincount(pair[1], 1 - toxic[pair[0]], BUCKETS)
-    odds = np.log((seen1 + 0.5) / (n1 + 1)) - np.log((seen0 + 0.5) / (n0 + 1))
+    seen, totals = np.zeros((2, BUCKETS)), np.bincount(toxic, minlength=2)
+    for own, low, size in zip(toxic.tolist(), first.tolist(), sizes.tolist(), strict=True):
+        seen[own, np.unique(spread(np.unique(flat[low : low + size]))[0])] += 1
+    odds = np.log((seen[1] + 0.5) / (totals[1] + 1)) - np.log((seen[0] + 0.5) / (totals[0] + 1))
 
     rng = np.random.default_rng(SEED)
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
@@ -159,7 +168,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Model | None:
         top = highest(part, bias, 3)
         positive = highest(part, bias, 1)
         positive = positive[toxic[doc_of[positive]] == 1]
-        some = rng.integers(0, len(flat), 4 * len(docs))
+        some = rng.integers(0, len(flat), 4 * len(sizes))
         negative = np.concatenate([top, some])
         negative = negative[toxic[doc_of[negative]] == 0]
         windows = np.concatenate([np.repeat(positive, max(1, len(negative) // max(1, len(positive)) // 2)), negative])
@@ -189,7 +198,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Model | None:
                     value[at_rows] -= 0.3 * g / np.sqrt(total[at_rows])
         difference = soft[:, 1] - soft[:, 0]
         part, bias = (table @ difference).astype(np.float64), float(base[1] - base[0])
-    per_word = np.bincount(np.repeat(np.arange(len(number)), number), part[bucket], len(number))
+    per_word = np.add.reduceat(part[bucket], begin)
     logits, begins = window_logits(per_word[flat], number[flat], sizes, bias)
     best = np.maximum.reduceat(logits, begins)
     a, b = _logistic(best, toxic)
