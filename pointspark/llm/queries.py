@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointspark.llm import decontaminate, line_dedup, media, simhash, token_counts, token_files, toxicity, warc
+from pointspark.llm import decontaminate, line_dedup, media, segmentation, simhash, token_counts, token_files, toxicity, warc
 from pointspark.llm.common import new_path, read
 
 
@@ -43,6 +43,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "shared", "size", "containment")
 
 
+def op3_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.encode_and_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 #: Distinct shingles of five words; {rows} has id and text.
 SHINGLES_SQL = """
 SELECT DISTINCT id, array_to_string(w[i:i+4], ' ') AS s
@@ -108,6 +112,7 @@ def queries() -> dict:
     return {
         "op1_warc_archive": op1_warc_archive,
         "op2_token_files": op2_token_files,
+        "op3_segmentation": op3_segmentation,
         "op4_decontamination": op4_decontamination,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op6_toxicity": op6_toxicity,
