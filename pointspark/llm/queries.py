@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointspark.llm import decontaminate, line_dedup, media, segmentation, simhash, token_counts, token_files, toxicity, warc
+from pointspark.llm import decontaminate, line_dedup, media, secrets, segmentation, simhash, token_counts, token_files, toxicity, warc
 from pointspark.llm.common import new_path, read
 
 
@@ -85,6 +85,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.labelled_findings(spark))
+    found = secrets.scan(read(spark, sf_dir, "documents"), model, path_col="source")
+    return found.select("doc_id", "position", F.length("candidate").cast("long").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "secret")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return found.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -118,6 +124,7 @@ def queries() -> dict:
         "op6_toxicity": op6_toxicity,
         "op7_media_columns": op7_media_columns,
         "op8_line_dedup": op8_line_dedup,
+        "op9_secret_scan": op9_secret_scan,
         "op10_token_counts": op10_token_counts,
     }
 

@@ -1,0 +1,174 @@
+"""Secret scans with a random forest against false positives.
+
+Candidates are runs of at least 16 characters of letters, digits and ``+/_-``
+with a digit among them.  A random forest on each candidate's length, character
+shares and transitions, dictionary coverage, the path that it stands in or the
+document comes from, and the neighbouring words tells secrets from hashes, ids,
+paths and placeholders.  Everything is DataFrame functions and Spark ML, which
+run in the JVM.
+
+The forest is trained from labelled findings: (text, path, label) rows whose
+text holds one candidate.  ``labelled_findings`` makes such rows by rule, in
+the forms of well-known credentials and of look-alikes; a table of reviewed
+findings can be given instead.
+
+Defined results: a null or empty text has no candidates; a null path is an
+empty one; a null document id is kept; repeated rows are repeated; an empty
+table gives an empty result; other columns are not looked at.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.pipeline import Pipeline
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
+THRESHOLD = 0.5
+TREES, DEPTH, SEED = 40, 8, 17
+FINDINGS = 6_000
+NEIGHBOURS = 48
+
+# Words of the neighbourhood, and of the dictionary.
+SECRET_WORDS = "password|passwd|pwd|pass|secret|token|api[_-]?key|apikey|access[_-]?key|auth|credential|private[_-]?key|bearer|signature"
+BENIGN_WORDS = "commit|sha1|sha256|sha512|md5|checksum|digest|hash|uuid|guid|etag|integrity|revision|example|dummy|sample|placeholder|test|version|build|serial|order|isbn|phone|invoice|id"
+TEST_PATHS = "tests?|specs?|examples?|samples?|fixtures?|mocks?|docs?|vendor|node_modules"
+DICTIONARY = (
+    "about account action address admin after application archive array article asset backup base before button cache "
+    "center change channel check class client code color column command common company component config connection "
+    "content control copy count create current customer data database date default delete detail device dialog "
+    "directory display document domain download element email enable entry error event example export feature field "
+    "file filter folder format frame function general global group handler header height history home host image "
+    "import index info input install integration interface internal item java keyboard label language layout level "
+    "library light link list loader local location login main manager master media member memory menu message method "
+    "migration mobile model module monitor name network node number object option order output package page panel "
+    "param parent password path pattern phone picture platform player plugin point policy position post preview "
+    "print process product profile program project property provider public query reader record release remote "
+    "report request resource response result return review route sample schema screen script search section select "
+    "server service session setting shared simple source stage standard start state static status storage store "
+    "stream string style submit support system table target task template test text theme thread time title token "
+    "toolbar update upload user utility value vendor version video view widget width window word worker"
+).split()
+PREFIXES = r"^(AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|sk_live_|sk-|rk_live_|AIza|eyJ|npm_|pypi-)"
+
+FEATURES = [
+    "length", "digit_share", "upper_share", "symbol_share", "hex_only", "digits_only", "transitions", "distinct_share", "letter_run",
+    "coverage", "known_prefix", "in_path", "slashes", "test_path", "assigned", "quoted", "secret_before", "benign_before", "benign_after", "filler",
+]
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
+    """(doc_id, position, candidate, before, after, path): position counts characters from 0."""
+    path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), path.alias("path"))
+    found = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where(F.size("found") > 0)
+    # What stands between the candidates: one part more than candidates.
+    parts = found.withColumn("parts", F.split("text", CANDIDATE, -1)).drop("text")
+    ends = F.transform(
+        F.sequence(F.lit(1), F.size("found")),
+        lambda i: F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
+        + F.aggregate(F.slice("found", F.lit(1), i - 1), F.lit(0), lambda a, x: a + F.length(x)),
+    )
+    each = parts.withColumn("at", ends).select("doc_id", "path", "parts", "at", F.posexplode("found").alias("i", "candidate"))
+    before, after = F.get("parts", F.col("i")), F.get("parts", F.col("i") + 1)
+    return each.select(
+        "doc_id",
+        F.get("at", F.col("i")).cast("long").alias("position"),
+        "candidate",
+        F.right(before, F.lit(NEIGHBOURS)).alias("before"),
+        F.left(after, F.lit(NEIGHBOURS)).alias("after"),
+        "path",
+    )
+
+
+def _share(column: Column, drop: str) -> Column:
+    """The share of characters that are of a class."""
+    return 1 - F.length(F.regexp_replace(column, drop, "")) / F.length(column)
+
+
+def features(found: DataFrame) -> DataFrame:
+    """The candidates with the columns of FEATURES."""
+    c, before, after = F.col("candidate"), F.lower("before"), F.lower("after")
+    classes = c
+    for kind, letter in (("[0-9]+", "#"), ("[a-z]+", "a"), ("[A-Z]+", "A"), ("[+/_-]+", ".")):
+        classes = F.regexp_replace(classes, kind, letter)
+    flag = lambda x: x.cast("double")
+    near = F.regexp_extract(before, r"([^\n]{0,24})$", 1)
+    words = F.regexp_replace(F.lower(c), "(?:" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")", "")
+    return found.withColumns(
+        {
+            "length": F.length(c).cast("double"),
+            "digit_share": _share(c, "[0-9]"),
+            "upper_share": _share(c, "[A-Z]"),
+            "symbol_share": _share(c, "[+/_-]"),
+            "hex_only": flag(c.rlike("^[0-9a-fA-F-]+$")),
+            "digits_only": flag(c.rlike("^[0-9-]+$")),
+            "transitions": (F.length(classes) - 1) / F.length(c),
+            "distinct_share": F.size(F.array_distinct(F.split(c, ""))) / F.length(c),
+            "letter_run": F.array_max(F.transform(F.split(c, "[^A-Za-z]+"), lambda x: F.length(x))).cast("double"),
+            "coverage": 1 - F.length(words) / F.length(c),
+            "known_prefix": flag(c.rlike(PREFIXES)),
+            "in_path": flag(before.rlike(r"[/\\.]$") | before.rlike(r"://\S*$") | after.rlike(r"^[/\\.][a-z]")),
+            "slashes": F.length(F.regexp_replace(c, "[^/]", "")).cast("double"),
+            "test_path": flag(F.lower("path").rlike(rf"(^|[/._-])({TEST_PATHS})([/._-]|$)")),
+            "assigned": flag(before.rlike(r"[=:]\s*[\"'`]?$")),
+            "quoted": flag(before.rlike(r"[\"'`]$") & after.rlike(r"^[\"'`=]")),
+            "secret_before": flag(near.rlike(f"({SECRET_WORDS})[\"']?\\s*(is|was)?\\s*[=:]*>?\\s*[\"'`]?$")),
+            "benign_before": flag(near.rlike(rf"\b({BENIGN_WORDS})\b")),
+            "benign_after": flag(after.rlike(rf"^\W{{0,3}}\s*({BENIGN_WORDS})\b")),
+            "filler": flag(F.lower(c).rlike(r"x{6,}|0{8,}|1234567|abcdef|example|changeme|placeholder|dummy")),
+        }
+    )
+
+
+def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
+    """(id, text, path, label): n findings made by rule, half of them secrets; the same at every call."""
+    hexed = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
+    raw = lambda salt: F.translate(F.base64(F.unhex(hexed(salt))), "+/=", "aZ7")
+    word = lambda salt: F.get(F.array(*[F.lit(w) for w in DICTIONARY]), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(DICTIONARY)))).cast("int"))
+    pick = lambda salt, *xs: F.get(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs]), F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(xs))).cast("int"))
+    cut = lambda column, size: F.substring(column, 1, size)
+    upper = F.translate(F.upper(raw("u")), "0189", "QWER")
+    text = lambda *xs: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
+    name = pick("n", "password", "passwd", "secret", "token", "api_key", "auth_token", "access_key", "client_secret")
+    sign = pick("s", "=", " = ", ": ", '="', ' = "', ": '")
+    close = pick("s", "", "", "", '"', '"', "'")
+    made = [
+        text("AKIA", cut(upper, 16)), text(name, sign, cut(hexed("p"), 18), close), text(name, sign, cut(hexed("t"), 40), close),
+        text(name, sign, cut(raw("b"), 24), close), text(name, sign, cut(raw("c"), 40), close), text("ghp_", cut(raw("g"), 36)),
+        text("Authorization: Bearer eyJ", raw("j")), text(name, sign, cut(hexed("q"), 32), close), text("key AKIA", cut(upper, 16)), text("sk_live_", cut(raw("k"), 24)),
+    ]
+    uuid = text(cut(hexed("v"), 8), "-", F.substring(hexed("v"), 9, 4), "-4", F.substring(hexed("v"), 14, 3), "-a", F.substring(hexed("v"), 18, 3), "-", F.substring(hexed("v"), 21, 12))
+    number = F.pmod(F.xxhash64(F.lit("num"), "id"), F.lit(10**16)).cast("string")
+    benign = [
+        text(pick("o", "commit ", "sha1: ", "checksum=", "revision "), cut(hexed("r"), 40)), text(pick("o", "md5 ", "etag: ", "digest=", "hash "), cut(hexed("m"), 32)),
+        text(pick("o", "uuid=", "id: ", "request ", ""), uuid), F.lpad(number, 16, "4"),
+        text(word("a"), "_", word("b"), "_", word("c"), cut(number, 2)), text("/usr/", word("a"), "/", word("b"), cut(number, 3), "/", word("c"), ".", "txt"),
+        text(name, sign, "xxxxxxxxxxxxxxxx1234", close), text("AKIA", "0000000000EXAMPLE"), text("https://host/", word("a"), "/", word("b"), "-", word("c"), "-", cut(number, 4)),
+        text(F.initcap(word("a")), F.initcap(word("b")), F.initcap(word("c")), F.initcap(word("d")), cut(number, 1)), text("sha256-", cut(raw("i"), 43)), text(cut(hexed("y"), 40), " ", word("e"), ".tar"),
+    ]
+    secret = F.col("id") % 2 == 0
+    # Each form is taken in turn; half of all look-alikes of hashes stand without a telling word.
+    which = F.floor(F.col("id") / 2)
+    body = F.when(secret, F.get(F.array(*made), (which % len(made)).cast("int"))).otherwise(F.get(F.array(*benign), (which % len(benign)).cast("int")))
+    path = pick("path", "", "", "src/app.py", "conf/prod.yaml", F.when(secret, F.lit("")).otherwise(F.lit("tests/fixtures/data.json")))
+    return spark.range(n).select("id", text(word("x"), " ", word("y"), " ", body, " ", word("z"), " ", word("w")).alias("text"), path.alias("path"), secret.cast("double").alias("label"))
+
+
+def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> PipelineModel:
+    """Fit the forest on labelled findings (id, text, path, label)."""
+    found = features(candidates(findings, "id", "text", "path"))
+    rows = found.join(findings.select(F.col("id").alias("doc_id"), "label"), "doc_id").orderBy("doc_id", "position")
+    forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=SEED)
+    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(rows.select("label", *FEATURES))
+
+
+def scan(docs: DataFrame, model: PipelineModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
+    """(doc_id, position, candidate, score, secret): every candidate of every document."""
+    found = model.transform(features(candidates(docs, id_col, text_col, path_col)))
+    score = F.round(F.get(vector_to_array("probability"), F.lit(1)), 6)
+    return found.select("doc_id", "position", "candidate", score.alias("score"), (score >= THRESHOLD).alias("secret"))
