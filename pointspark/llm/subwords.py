@@ -14,7 +14,7 @@ from itertools import chain
 
 import numpy as np
 
-MEMO = 500_000
+MEMO = 700_000
 LONG = 64
 #: A space beside other white space or at an end; elsewhere, a space starts a byte-level token.
 _ODD_SPACE = re.compile(r"\s |[ ]\s|\A | \Z")
@@ -42,9 +42,32 @@ def pretokens(tokenizer, text: str) -> list[tuple[str, tuple[int, int]]]:
     return tokenizer.pre_tokenizer.pre_tokenize_str(text)
 
 
+def _byte_letters() -> dict[int, int]:
+    """The printable character that byte-level models have for each byte: its own, or the next one from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in own)
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
+def is_plain(piece: str) -> bool:
+    """Whether a piece is one pre-token by its characters alone: letters of the Latin blocks, whose lower case is one letter."""
+    return piece.isalpha() and (piece.isascii() or (max(piece) < "\u0250" and "\u0130" not in piece))
+
+
+def as_letters(word: str) -> str:
+    """A word in the characters that byte-level models have for its bytes."""
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+
+
 def ends_in_mark(piece: str) -> bool:
-    """Whether a piece is a full stop or comma after a letter or digit: the mark is a pre-token of its own."""
-    return len(piece) > 1 and piece[-1] in ".," and piece[-2].isalnum()
+    """Whether a piece is a full stop or comma after a letter or digit: the mark is a pre-token of its own.
+
+    Letters beyond the Latin blocks are left to the library, as normalization can end them in a mark.
+    """
+    return len(piece) > 1 and piece[-1] in ".," and piece[-2].isalnum() and piece[-2] < "\u0250" and piece[-2] != "\u0130"
 
 
 class IdMemo(dict):
@@ -53,19 +76,19 @@ class IdMemo(dict):
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.added = added_strings(self.tokenizer)
-        self.rows: list[list[int]] = []
+        self.rows: list[tuple[int, ...]] = []  # tuples of numbers are no work for the garbage collector
         self._flat = self._ends = None
 
-    def encode(self, piece: str) -> list[int]:
+    def encode(self, piece: str) -> tuple[int, ...]:
         tokenizer = self.tokenizer
-        if piece.isascii() and piece.isalpha():
+        if is_plain(piece):
             lower = piece.lower()
-            return self.rows[self[lower]] if lower != piece else [x.id for x in tokenizer.model.tokenize(piece)]
+            return self.rows[self[lower]] if lower != piece else tuple([x.id for x in tokenizer.model.tokenize(as_letters(piece))])
         if ends_in_mark(piece):
             return self.rows[self[piece[:-1]]] + self.rows[self[piece[-1]]]
         if any(x in piece for x in self.added):
-            return tokenizer.encode(piece, add_special_tokens=False).ids
-        return [x.id for word, _ in pretokens(tokenizer, piece) for x in tokenizer.model.tokenize(word)]
+            return tuple(tokenizer.encode(piece, add_special_tokens=False).ids)
+        return tuple([x.id for word, _ in pretokens(tokenizer, piece) for x in tokenizer.model.tokenize(word)])
 
     def __missing__(self, piece: str) -> int:
         found = self.encode(piece)
@@ -126,8 +149,8 @@ class CountMemo(dict):
         return sum(len(self.tokenizer.model.tokenize(word)) for word, _ in pretokens(self.tokenizer, piece))
 
     def __missing__(self, piece: str) -> int:
-        if piece.isascii() and piece.isalpha():
-            n = len(self.tokenizer.model.tokenize(self.space + piece))
+        if is_plain(piece):
+            n = len(self.tokenizer.model.tokenize(self.space + as_letters(piece)))
         elif ends_in_mark(piece):
             n = self[piece[:-1]] + self.mark
         else:

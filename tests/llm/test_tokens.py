@@ -96,3 +96,15 @@ def test_blocks_round_trip():
     packed = [(*token_files.pack(p, code, length), len(p)) for p in parts]
     for got, p in zip(token_files.unpack(packed, table, 16), parts, strict=True):
         assert (got == p).all()
+
+
+def test_letters_are_encoded_as_by_the_library():
+    from pointspark.llm import subwords
+
+    letters = [chr(c) for c in range(0x60, 0x400) if chr(c).isalpha()]
+    pieces = [a + b for a in letters for b in ("", "x", "É", ".", "x,", "1.", "\u0301", "x.y")] + ["x" + a + "Z" for a in letters]
+    for path, memo in ((WORD, subwords.IdMemo(WORD)), (BYTE, subwords.CountMemo(BYTE))):
+        library = Tokenizer.from_file(path)
+        for piece, want in zip(pieces, library.encode_batch([" " + p for p in pieces], add_special_tokens=False), strict=True):
+            got = list(memo.rows[memo[piece]]) if path == WORD else memo[piece]
+            assert got == (want.ids if path == WORD else len(want.ids)), piece
