@@ -52,7 +52,7 @@ from pointspark.llm.subwords import blocks
 K = 2
 ALPHA = 1.0
 WINDOW = 12.0
-MEMO_EDGES = 6_000_000
+MEMO_EDGES = 12_000_000
 SPACE = "▁"
 _ALL = 2**64 - 1
 _RUNS = re.compile(r" *[^ ]+| +\Z")
@@ -96,7 +96,7 @@ class Lattices:
 
     def forget(self) -> None:
         self.start: dict[str, int] = {}
-        self.first, self.target, self.piece, self.logp, self.share = [np.zeros(0, t) for t in (np.int64, np.int32, np.int32, float, float)]
+        self.first, self.target, self.piece, self.logp, self.share = [np.zeros(0, t) for t in (np.int64, np.int32, np.int32, float, np.float32)]
         self.widest = 1
 
     def bytes_of(self, char: str) -> list[int]:
@@ -168,7 +168,7 @@ class Lattices:
         step = 1 << (self.widest.bit_length() - 1)
         while step:
             ahead = np.minimum(edge + step, last)
-            edge = np.where(self.share[ahead - 1] <= u, np.where(ahead == edge, edge, ahead), edge) if step > 1 else np.where((ahead > edge) & (self.share[edge] <= u), ahead, edge)
+            np.copyto(edge, ahead, where=(self.share[ahead - 1] <= u) & (ahead > edge))
             step >>= 1
         return edge
 
