@@ -42,8 +42,7 @@ def test_downsample_and_pad_edges(spark, n):
 def test_rotation_order(spark):
     m = fn.rotation(*[F.lit(v) for v in (90.0, 0.0, 90.0)])
     (r,) = spark.range(1).select(*[m[i][j] for i in range(3) for j in range(3)]).collect()
-    turn = lambda c, s: (c, s)
-    c, s = turn(math.cos(math.pi / 2), math.sin(math.pi / 2))
+    c, s = math.cos(math.pi / 2), math.sin(math.pi / 2)
     rx, rz = np.array([[1, 0, 0], [0, c, -s], [0, s, c]]), np.array([[c, -s, 0], [s, c, 0], [0, 0, 1]])
     assert np.allclose(np.array(r).reshape(3, 3), rx @ rz)
 
