@@ -130,7 +130,8 @@ def dropped_lines(
     runs = LineRuns(fanout)
     for b in range(len(set(cuts)), -1, -1):
         runs.add_batch(lines.where(F.col("batch") == b))
-    frequent = runs.merged().where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
+    # A table of its own, so that both sides of the join come from exchanges and a hot line's rows can be split.
+    frequent = save(runs.merged().where(F.col("n") >= min_docs).select("h1", "h2", "keeper"), "frequent-lines")
     lost = lines.where(F.col("h1").isNotNull()).join(frequent, ["h1", "h2"]).where(F.col("doc") != F.col("keeper"))
     return lost.groupBy("doc", "text_hash").agg(F.collect_set("pos").alias("dropped"))
 

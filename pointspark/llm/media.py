@@ -183,9 +183,11 @@ def resolve(references: DataFrame, facts: DataFrame) -> DataFrame:
     """References with the facts of their media: one row for each reference, nulls where nothing is stored.
 
     The facts are narrow and are reduced to one row a digest before the join,
-    so payload bytes are not shuffled and a hot digest is a narrow row.
+    so payload bytes are not shuffled.  They are a table of their own, so that
+    both sides of the join come from exchanges and a hot digest's references
+    can be split.
     """
-    one = facts.groupBy("digest").agg(*[F.max(c).alias(c) for c in NAMES[1:]])
+    one = save(facts.groupBy("digest").agg(*[F.max(c).alias(c) for c in NAMES[1:]]), "media-facts")
     return references.join(one, "digest", "left")
 
 

@@ -38,7 +38,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import ahocorasick
 import numpy as np
@@ -52,7 +52,7 @@ from pointspark.llm.subwords import blocks
 K = 2
 ALPHA = 1.0
 WINDOW = 12.0
-MEMO_EDGES = 12_000_000
+MEMO_EDGES = 6_000_000
 SPACE = "▁"
 _ALL = 2**64 - 1
 _RUNS = re.compile(r" *[^ ]+| +\Z")
@@ -76,18 +76,21 @@ class Lattices:
         ranks = all(s == int(s) for s in scores.values())
         weight = {i: -alpha * math.log(1 - s) if ranks else alpha * s for i, s in scores.items()}
         self.pieces = ahocorasick.Automaton()
-        self.text = [b""] * size
+        text = [b""] * size
         self.byte_id = {}
         self.length, self.weight = np.zeros(size, np.int64), np.zeros(size)
         for i in range(size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte_id[int(piece[1:-1], 16)] = i
-                self.text[i] = bytes([int(piece[1:-1], 16)])
+                text[i] = bytes([int(piece[1:-1], 16)])
             elif i in weight:
                 self.pieces.add_word(piece, i)
                 self.length[i], self.weight[i] = len(piece), weight[i]
-                self.text[i] = piece.replace(SPACE, " ").encode()
+                text[i] = piece.replace(SPACE, " ").encode()
+        self.joined = np.frombuffer(b"".join(text), np.uint8)
+        self.sizes = np.fromiter(map(len, text), np.int64, size)
+        self.begins = np.cumsum(self.sizes) - self.sizes
         self.least = min(weight.values())
         self.unknown = model.unk_id()
         self.size = size
@@ -156,10 +159,15 @@ class Lattices:
         """The first node of each word."""
         if len(self.target) > MEMO_EDGES:
             self.forget()
-        fresh = list(set(words).difference(self.start))
-        for at in range(0, len(fresh), 20_000):
-            self._add(fresh[at : at + 20_000])
-        return np.fromiter(map(self.start.__getitem__, words), np.int64, len(words))
+        found = np.fromiter(map(self.start.get, words, repeat(-1)), np.int64, len(words))
+        missed = np.flatnonzero(found < 0)
+        if len(missed):
+            lacking = [words[i] for i in missed.tolist()]
+            fresh = list(dict.fromkeys(lacking))
+            for at in range(0, len(fresh), 20_000):
+                self._add(fresh[at : at + 20_000])
+            found[missed] = np.fromiter(map(self.start.__getitem__, lacking), np.int64, len(lacking))
+        return found
 
     def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge of each node whose share first exceeds u; bisection inside the nodes."""
@@ -189,8 +197,14 @@ class Lattices:
 
     def decode(self, ids) -> str:
         """The text of piece ids, without the space that encoding puts first."""
-        raw = b"".join(map(self.text.__getitem__, ids))
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+        return self.raw(np.asarray(ids, np.int64)).decode("utf-8", "replace")
+
+    def raw(self, ids: np.ndarray) -> bytes:
+        """The bytes of a text's pieces, without the space that encoding puts first."""
+        n = self.sizes[ids]
+        at = np.arange(int(n.sum())) + np.repeat(self.begins[ids] - (np.cumsum(n) - n), n)
+        raw = self.joined[at].tobytes()
+        return raw[1:] if raw[:1] == b" " else raw
 
 
 def words_of(text: str | None) -> list[str]:
@@ -385,14 +399,17 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _sampled(batches: Iterator[pa.RecordBatch], path: str, k: int, alpha: float) -> Iterator[list[tuple]]:
     """Lists of (doc_id, text, lattices, samples), a bounded number of characters at a time."""
     lattices = load(path, alpha)
-    for batch in batches:
-        ids, keys, texts = (batch.column(i).to_pylist() for i in range(3))
-        at = 0
-        for part in blocks(texts):
-            own = slice(at, at + len(part))
-            at += len(part)
-            found = sample(lattices, part, [x & (2**64 - 1) for x in keys[own]], k)
-            yield [(i, t or "", lattices, s) for i, t, s in zip(ids[own], part, found, strict=True)]
+    try:
+        for batch in batches:
+            ids, keys, texts = (batch.column(i).to_pylist() for i in range(3))
+            at = 0
+            for part in blocks(texts):
+                own = slice(at, at + len(part))
+                at += len(part)
+                found = sample(lattices, part, [x & (2**64 - 1) for x in keys[own]], k)
+                yield [(i, t or "", lattices, s) for i, t, s in zip(ids[own], part, found, strict=True)]
+    finally:
+        lattices.forget()  # a worker that waits for its next task holds no words
 
 
 def sample_encodings(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", *, k: int = K, alpha: float = ALPHA) -> DataFrame:
@@ -431,7 +448,7 @@ def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id",
             for i, text, lat, found in rows:
                 for r, (edges, p, _, s) in enumerate(found, 1):
                     ids = lat.ids(edges)
-                    out.append((i, r, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), p, s, lat.decode(ids.tolist()) == text))
+                    out.append((i, r, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), p, s, lat.raw(ids) == text.encode()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "rank", "n_tokens", "ids_crc32", "log_prob", "inclusion", "decoded"])
 
     return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, rank int, n_tokens long, ids_crc32 long, log_prob double, inclusion double, decoded boolean")

@@ -14,7 +14,8 @@ from itertools import chain
 
 import numpy as np
 
-MEMO = 700_000
+MEMO = 600_000
+PIECES = 300_000
 LONG = 64
 #: A space beside other white space or at an end; elsewhere, a space starts a byte-level token.
 _ODD_SPACE = re.compile(r"\s |[ ]\s|\A | \Z")
@@ -71,21 +72,35 @@ def ends_in_mark(piece: str) -> bool:
 
 
 class IdMemo(dict):
-    """Piece -> row of a ragged array of ids."""
+    """Piece -> row of a ragged array of ids.
+
+    Words in lower case are remembered longer than the pieces that have them
+    with capitals or marks, which are quickly made again.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.added = added_strings(self.tokenizer)
         self.rows: list[tuple[int, ...]] = []  # tuples of numbers are no work for the garbage collector
         self._flat = self._ends = None
+        self.words: dict[str, tuple[int, ...]] = {}
+
+    def word(self, lower: str) -> tuple[int, ...]:
+        found = self.words.get(lower)
+        if found is None:
+            if len(self.words) >= MEMO:
+                self.words.clear()
+            found = tuple([x.id for x in self.tokenizer.model.tokenize(as_letters(lower))])
+            if len(lower) <= LONG:
+                self.words[lower] = found
+        return found
 
     def encode(self, piece: str) -> tuple[int, ...]:
         tokenizer = self.tokenizer
         if is_plain(piece):
-            lower = piece.lower()
-            return self.rows[self[lower]] if lower != piece else tuple([x.id for x in tokenizer.model.tokenize(as_letters(piece))])
+            return self.word(piece.lower())
         if ends_in_mark(piece):
-            return self.rows[self[piece[:-1]]] + self.rows[self[piece[-1]]]
+            return self.encode(piece[:-1]) + self.word(piece[-1])
         if any(x in piece for x in self.added):
             return tuple(tokenizer.encode(piece, add_special_tokens=False).ids)
         return tuple([x.id for word, _ in pretokens(tokenizer, piece) for x in tokenizer.model.tokenize(word)])
@@ -100,7 +115,7 @@ class IdMemo(dict):
 
     def ids(self, pieces: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts (each given as its pieces), and how many each text has."""
-        if len(self.rows) > MEMO:
+        if len(self.rows) > PIECES:
             self.clear()
             self.rows = []
             self._flat = None
@@ -162,6 +177,17 @@ class CountMemo(dict):
         return n
 
 
+@lru_cache(maxsize=2)
+def id_memo(path: str) -> IdMemo:
+    """The memory of a Python worker, which its later tasks find again."""
+    return IdMemo(path)
+
+
+@lru_cache(maxsize=2)
+def count_memo(path: str) -> CountMemo:
+    return CountMemo(path)
+
+
 def spaced_pieces(text: str) -> list[str]:
     """Cut at each space between two characters that are no white space, and drop that space.
 

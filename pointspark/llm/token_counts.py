@@ -32,7 +32,6 @@ CHUNK = 32_768
 OVERLAP = 512
 MARGIN = 64
 WIDEN = 8
-_MEMOS: dict[str, subwords.CountMemo] = {}
 
 
 def scan(memo: subwords.CountMemo, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +65,7 @@ def chunk_counts(chunks: DataFrame, tokenizer_path: str, overlap: int) -> DataFr
     """For chunks (doc_id, row_key, chunk, begins, last, text): their tokens, and boundaries in the overlap before and behind."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _MEMOS.setdefault(tokenizer_path, subwords.CountMemo(tokenizer_path))
+        memo = subwords.count_memo(tokenizer_path)
         spots = pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())]))
         for batch in batches:
             tokens, heads, tails = [], [], []

@@ -30,7 +30,6 @@ from pointspark.llm.common import save
 MAX_BITS = 16
 BLOCK = 65_536
 LANE = 128
-_MEMOS: dict[str, subwords.IdMemo] = {}
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,7 +37,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: s
     wide = subwords.load(tokenizer_path).get_vocab_size(with_added_tokens=True) > 65_536
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _MEMOS.setdefault(tokenizer_path, subwords.IdMemo(tokenizer_path))
+        memo = subwords.id_memo(tokenizer_path)
         end = np.zeros(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
         for batch in batches:
             n, crc, out = [], [], []
