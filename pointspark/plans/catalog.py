@@ -386,7 +386,8 @@ HISTORY = f"(SELECT epoch, avg(loss) AS loss, avg(iou) AS iou, sum(ok) / sum(n)
 
 @query(f"SELECT epoch, {', '.join(r4_sql(c) for c in ('loss', 'iou', 'accuracy'))} FROM {HISTORY}")
 def epoch_metrics(spark, d):
-    return metrics.epoch_metrics(adapters.epochs(spark, d)).withColumns(r4("loss", "iou", "accuracy"))
+    history = metrics.epoch_metrics(adapters.epochs(spark, d)).withColumn("loss", F.round("loss", 9))  # a mean that ends in a 5 rounds alike in any order of summing
+    return history.withColumns(r4("loss", "iou", "accuracy"))
 
 
 @query(f"SELECT epoch, {r4_sql('iou')} FROM (SELECT epoch, round(iou, 9) AS iou, max(round(iou, 9)) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM {HISTORY}) WHERE iou > coalesce(best, 0.0)")
