@@ -8,6 +8,7 @@ frequent words cost a dictionary look-up.  Long pieces are not remembered.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
@@ -15,8 +16,12 @@ from itertools import chain
 import numpy as np
 
 MEMO = 600_000
-PIECES = 300_000
+PIECES = 1_000_000
 LONG = 64
+#: What lower case or normalization may treat otherwise than letter by letter: all beyond the Latin blocks, and a capital I with dot.
+_BEYOND = re.compile("[\u0130\u0250-\U0010ffff]")
+#: A full stop or comma after a letter or digit and before a space or the end.
+_MARK = re.compile(r"([.,])(?= |\Z)(?<=[^\W_][.,])")
 #: A space beside other white space or at an end; elsewhere, a space starts a byte-level token.
 _ODD_SPACE = re.compile(r"\s |[ ]\s|\A | \Z")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -71,44 +76,56 @@ def ends_in_mark(piece: str) -> bool:
     return len(piece) > 1 and piece[-1] in ".," and piece[-2].isalnum() and piece[-2] < "\u0250" and piece[-2] != "\u0130"
 
 
-class IdMemo(dict):
-    """Piece -> row of a ragged array of ids.
+class Ragged:
+    """Rows of ids, end to end in one array."""
+
+    def __init__(self):
+        self.flat, self.ends = array("I"), array("q", [0])
+
+    def append(self, row: Iterable[int]) -> None:
+        self.flat.extend(row)
+        self.ends.append(len(self.flat))
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, i: int) -> tuple[int, ...]:
+        return tuple(self.flat[self.ends[i] : self.ends[i + 1]])
 
-    Words in lower case are remembered longer than the pieces that have them
-    with capitals or marks, which are quickly made again.
-    """
+
+class IdMemo(dict):
+    """Piece -> row of a ragged array of ids, for tokenizers that drop white space and case."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.added = added_strings(self.tokenizer)
-        self.rows: list[tuple[int, ...]] = []  # tuples of numbers are no work for the garbage collector
-        self._flat = self._ends = None
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def word(self, lower: str) -> tuple[int, ...]:
-        found = self.words.get(lower)
-        if found is None:
-            if len(self.words) >= MEMO:
-                self.words.clear()
-            found = tuple([x.id for x in self.tokenizer.model.tokenize(as_letters(lower))])
-            if len(lower) <= LONG:
-                self.words[lower] = found
-        return found
+        self.rows = Ragged()
+
+    def pieces(self, text: str | None) -> list[str]:
+        """What stands between spaces and line ends, in lower case and with marks apart where that changes no token."""
+        if not text:
+            return []
+        text = text.replace("\n", " ")
+        if text.isascii() or _BEYOND.search(text) is None:
+            lower = text.lower()
+            if not any(x.lower() in lower for x in self.added):
+                text = _MARK.sub(r" \1", lower)
+        return text.split(" ")
 
     def encode(self, piece: str) -> tuple[int, ...]:
         tokenizer = self.tokenizer
         if is_plain(piece):
-            return self.word(piece.lower())
+            return tuple([x.id for x in tokenizer.model.tokenize(as_letters(piece.lower()))])
         if ends_in_mark(piece):
-            return self.encode(piece[:-1]) + self.word(piece[-1])
+            return self.rows[self[piece[:-1]]] + self.rows[self[piece[-1]]]
         if any(x in piece for x in self.added):
             return tuple(tokenizer.encode(piece, add_special_tokens=False).ids)
         return tuple([x.id for word, _ in pretokens(tokenizer, piece) for x in tokenizer.model.tokenize(word)])
 
     def __missing__(self, piece: str) -> int:
         found = self.encode(piece)
+        row = len(self.rows)
         self.rows.append(found)
-        row = len(self.rows) - 1
         if len(piece) <= LONG:
             self[piece] = row
         return row
@@ -117,25 +134,18 @@ class IdMemo(dict):
         """All ids of all texts (each given as its pieces), and how many each text has."""
         if len(self.rows) > PIECES:
             self.clear()
-            self.rows = []
-            self._flat = None
+            self.rows = Ragged()
         row = np.fromiter(map(self.__getitem__, chain.from_iterable(pieces)), np.int64, sum(map(len, pieces)))
-        if self._flat is None or len(self._ends) < len(self.rows):
-            known = 0 if self._flat is None else len(self._ends)
-            sizes = np.fromiter(map(len, self.rows[known:]), np.int64, len(self.rows) - known)
-            fresh = np.fromiter(chain.from_iterable(self.rows[known:]), np.uint32, int(sizes.sum()))
-            before = self._ends[-1] if known else 0
-            ends = np.cumsum(sizes) + before
-            self._flat = np.concatenate([self._flat, fresh]) if known else fresh
-            self._ends = np.concatenate([self._ends, ends]) if known else ends
-        ends = self._ends[row]
-        starts = np.where(row > 0, self._ends[np.maximum(row - 1, 0)], 0)
-        sizes = ends - starts
+        if not len(self.rows.flat):
+            return np.zeros(0, np.uint32), np.zeros(len(pieces), np.int64)
+        flat, bounds = np.frombuffer(self.rows.flat, np.uint32), np.frombuffer(self.rows.ends, np.int64)
+        starts = bounds[row]
+        sizes = bounds[row + 1] - starts
         total = int(sizes.sum())
         at = np.arange(total) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
         per_text = np.add.reduceat(np.append(sizes, 0), np.minimum(_starts(pieces), len(sizes))) if pieces else np.zeros(0, np.int64)
         per_text = np.where(np.fromiter(map(len, pieces), np.int64, len(pieces)) > 0, per_text, 0)
-        return self._flat[at] if total else np.zeros(0, np.uint32), per_text
+        return flat[at], per_text
 
 
 def _starts(pieces: list[list[str]]) -> np.ndarray:
@@ -143,11 +153,6 @@ def _starts(pieces: list[list[str]]) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
-def word_pieces(text: str | None) -> list[str]:
-    """For tokenizers that drop white space: what stands between spaces and line ends."""
-    return [] if not text else text.replace("\n", " ").split(" ")
-
-
 class CountMemo(dict):
     """Piece of a byte-level text that starts with a space (left out of the key) -> number of tokens."""
 

@@ -42,7 +42,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: s
         for batch in batches:
             n, crc, out = [], [], []
             for texts in subwords.blocks(batch.column(1).to_pylist()):
-                ids, sizes = memo.ids([subwords.word_pieces(x) for x in texts])
+                ids, sizes = memo.ids([memo.pieces(x) for x in texts])
                 at = 0
                 for size in sizes.tolist():
                     own = np.concatenate([ids[at : at + size], end])
