@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointspark.functions.columns import affine, rotation
-from pointspark.functions.rng import random_rank, uniform, uniform_between
+from pointspark.functions.rng import random_key, random_rank, uniform, uniform_between
 from pointspark.operators.points import AXES, COLOURS
 from pointspark.operators.sampling import top_random
 from pointspark.plans.config import ComposeConfig
@@ -49,7 +49,26 @@ def scene_slots(scenes: DataFrame, aliens: DataFrame, counts: DataFrame, config:
     rows, so they are one short array in every row.
     """
     known = aliens.join(counts, "object_id").agg(F.sort_array(F.collect_list(F.struct("object_id", "n"))).alias("_aliens"))
-    each = scenes.crossJoin(F.broadcast(known)).where(F.size("_aliens") > 0).select("scene_id", F.explode("_aliens").alias("alien"), F.size("_aliens").alias("_size"))
+    return _slots(scenes, scenes.crossJoin(F.broadcast(known)), config)
+
+
+def scene_slots_of_all(scenes: DataFrame, counts: DataFrame, config: ComposeConfig, most: int = 10) -> DataFrame:
+    """``scene_slots`` for scenes of any targets, each with the aliens that ``alien_subset`` has for its target.
+
+    The first ``most`` + 1 objects in random order hold the first ``most`` of
+    every target, so one short array serves all scenes.
+    """
+    most = max(most, config.aliens)
+    key = random_key(config.seed, "alien_subset", "object_id")
+    first = top_random(counts, ["object_id"], most + 1, config.seed, "alien_subset").select(key.alias("key"), "object_id", "n")
+    known = first.agg(F.sort_array(F.collect_list(F.struct("key", "object_id", "n"))).alias("_known"))
+    others = F.slice(F.filter("_known", lambda a: a.object_id != F.col("object_id")), 1, most)
+    return _slots(scenes, scenes.crossJoin(F.broadcast(known)).withColumn("_aliens", others), config)
+
+
+def _slots(scenes: DataFrame, known: DataFrame, config: ComposeConfig) -> DataFrame:
+    """Slots of ``scenes``; ``known`` has the array _aliens (object_id, n) of each."""
+    each = known.where(F.size("_aliens") > 0).select("scene_id", F.explode("_aliens").alias("alien"), F.size("_aliens").alias("_size"))
     ranked = each.select("scene_id", "_size", "alien.object_id", "alien.n", random_rank(["scene_id"], config.seed, "alien", "scene_id", "alien.object_id").alias("_rank"))
     slots = ranked.withColumn("slot", F.explode(F.sequence(F.col("_rank"), F.greatest(F.col("_rank"), F.lit(config.aliens)), F.col("_size")))).where(F.col("slot") <= config.aliens)
     pick = F.floor(uniform(config.seed, "sample", "scene_id", "slot") * F.col("n")).cast("int")

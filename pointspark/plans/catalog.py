@@ -493,6 +493,47 @@ def scene_pad(spark, d):
     return longs(padded, "scene_id", "point_idx").withColumns(r4(*XYZ))
 
 
+# The same over all samples, transforms and targets; a scene's id carries its target.
+WHOLE = ComposeConfig(points=21)
+WHOLE_SCENES = "(SELECT object_id, sample_idx, transform, CAST(object_id AS BIGINT) * 12000 + sample_idx * 10 + transform AS scene_id FROM (SELECT DISTINCT object_id, sample_idx FROM {objects} WHERE sample_idx < 1200), range(10) t(transform))".format(objects=OBJECTS)
+
+
+def whole_sql(sql: str) -> str:
+    return sql.replace(SCENES, WHOLE_SCENES).replace("WHERE a.object_id <> '3'", "WHERE a.object_id <> s.object_id")
+
+
+def composed_whole(spark, d):
+    own = adapters.objects(spark, d)
+    counts = own.groupBy("object_id").agg(F.countDistinct("sample_idx").alias("n"))
+    scenes = compose.augmentations(own.select("object_id", "sample_idx").distinct(), WHOLE)
+    scenes = scenes.withColumn("scene_id", F.col("object_id").cast("long") * (WHOLE.samples * WHOLE.transforms) + F.col("scene_id"))
+    return scenes, compose.scene_slots_of_all(scenes, counts, WHOLE), own
+
+
+@query(whole_sql(f"SELECT object_id, {big('scene_id', 'sample_idx', 'transform')} FROM {SCENES}"))
+def augmentation_cross_whole(spark, d):
+    return longs(composed_whole(spark, d)[0], "scene_id", "sample_idx", "transform")
+
+
+@query(whole_sql(_SQL["scene_compose"]))
+def scene_compose_whole(spark, d):
+    return longs(composed_whole(spark, d)[1], "scene_id", "slot", "sample_idx")
+
+
+@query(whole_sql(_SQL["scene_union"]))
+def scene_union_whole(spark, d):
+    _, slots, own = composed_whole(spark, d)
+    return longs(compose.scene_points(slots, own, WHOLE), "scene_id", "slot", "sample_idx", "point_idx").withColumns(r4(*XYZ))
+
+
+@query(whole_sql(_SQL["scene_pad"]))
+def scene_pad_whole(spark, d):
+    _, slots, own = composed_whole(spark, d)
+    whole = compose.scene_points(slots, own, WHOLE).select("scene_id", "point_idx", "label", *XYZ)
+    padded = sampling.pad_to_n(whole, ["scene_id"], 220).withColumn("label", F.coalesce("label", F.lit(0)))
+    return longs(padded, "scene_id", "point_idx").withColumns(r4(*XYZ))
+
+
 @query("SELECT p_type AS object_name, count(*) AS samples, CAST(min(p_size) AS INT) AS grasp_force_n, CAST(sum(l_quantity) AS BIGINT) AS points FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type")
 def catalog_join(spark, d):
     catalog = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("object_name"), "p_size")
