@@ -1,7 +1,11 @@
 """Secret scans with a random forest against false positives.
 
 Candidates are runs of at least 16 characters of letters, digits and ``+/_-``
-with a digit among them.  A random forest on each candidate's length, character
+with a digit among them, and by context, at any length and of any characters:
+what is assigned to a name that ends with one of SECRET_WORDS, in quotes or up
+to white space (without closing quotes, commas and semicolons), and the
+password of a URL.  A value by context that is such a run is one candidate; one
+that holds a run is a candidate beside it.  A random forest on each candidate's length, character
 shares and transitions, dictionary coverage, the path that it stands in or the
 document comes from, and the neighbouring words tells secrets from hashes, ids,
 paths and placeholders.  Everything is DataFrame functions and Spark ML, which
@@ -35,6 +39,13 @@ NEIGHBOURS = 48
 
 # Words of the neighbourhood, and of the dictionary.
 SECRET_WORDS = "password|passwd|pwd|pass|secret|token|api[_-]?key|apikey|access[_-]?key|auth|credential|private[_-]?key|bearer|signature"
+_RUN = r"(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
+_QUOTED = "|".join(rf"(?<={q})[^{q}\n][^\n]*?(?<!\\)(?={q})" for q in "\"'`")
+_NO_RUN = "".join(rf"(?!(?<={q}){_RUN}{q})" for q in "\"'`")
+_ASSIGNED = rf"(?:{SECRET_WORDS})(?:[_-]?key)?[\"'`]?+[ \t]*+(?>:=|=>|==?|:)[ \t]*+[\"'`]?+"
+_VALUE = rf"{_NO_RUN}(?:{_QUOTED}|(?!{_RUN}[\"'`,;]*+(?:\s|\Z))(?:[^\s\"'`]\S*)?[^\s\"'`,;])"
+#: Groups 2 and 4 are the values of assignments and URLs; only what leads to them is consumed, so values may hold others.
+CONTEXT = rf"(?i)({_ASSIGNED})(?=({_VALUE}))|(://[^\s/:@\"'<>]*+:)(?=((?!{_RUN}@[^\s/@]*+(?:[\s/]|\Z))[^\s/]+(?=@)))"
 BENIGN_WORDS = "commit|sha1|sha256|sha512|md5|checksum|digest|hash|uuid|guid|etag|integrity|revision|example|dummy|sample|placeholder|test|version|build|serial|order|isbn|phone|invoice|id"
 TEST_PATHS = "tests?|specs?|examples?|samples?|fixtures?|mocks?|docs?|vendor|node_modules"
 DICTIONARY = (
@@ -58,6 +69,7 @@ PREFIXES = r"^(AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|sk_live_|sk-|rk_live_|AIz
 FEATURES = [
     "length", "digit_share", "upper_share", "symbol_share", "hex_only", "digits_only", "transitions", "distinct_share", "letter_run",
     "coverage", "known_prefix", "in_path", "slashes", "test_path", "assigned", "quoted", "secret_before", "benign_before", "benign_after", "filler",
+    "other_share", "in_url", "reference", "plain_word", "spaces",
 ]
 
 
@@ -65,24 +77,35 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, position, candidate, before, after, path): position counts characters from 0."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), path.alias("path"))
-    found = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where(F.size("found") > 0)
+    every = lambda pattern, group: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    found = rows.withColumns({"found": every(CANDIDATE, 0), "leads": every(CONTEXT, 0)}).where((F.size("found") > 0) | (F.size("leads") > 0))
     # What stands between the candidates: one part more than candidates.
-    parts = found.withColumn("parts", F.split("text", CANDIDATE, -1)).drop("text")
-    ends = F.transform(
-        F.sequence(F.lit(1), F.size("found")),
-        lambda i: F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-        + F.aggregate(F.slice("found", F.lit(1), i - 1), F.lit(0), lambda a, x: a + F.length(x)),
+    any_lead = F.size("leads") > 0
+    parts = found.withColumns(
+        {
+            "parts": F.split("text", CANDIDATE, -1),
+            "gaps": F.when(any_lead, F.split("text", CONTEXT, -1)),
+            "values": F.when(any_lead, F.zip_with(every(CONTEXT, 2), every(CONTEXT, 4), lambda a, b: F.concat(a, b))),
+        }
+    ).drop("text")
+    total = lambda texts, n: F.aggregate(F.slice(texts, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
+    one = lambda at, candidate, before, after: F.struct(
+        at.cast("long").alias("position"), candidate.alias("candidate"), F.right(before, F.lit(NEIGHBOURS)).alias("before"), F.left(after, F.lit(NEIGHBOURS)).alias("after")
     )
-    each = parts.withColumn("at", ends).select("doc_id", "path", "parts", "at", F.posexplode("found").alias("i", "candidate"))
-    before, after = F.get("parts", F.col("i")), F.get("parts", F.col("i") + 1)
-    return each.select(
-        "doc_id",
-        F.get("at", F.col("i")).cast("long").alias("position"),
-        "candidate",
-        F.right(before, F.lit(NEIGHBOURS)).alias("before"),
-        F.left(after, F.lit(NEIGHBOURS)).alias("after"),
-        "path",
+    count = lambda x: F.slice(F.sequence(F.lit(0), F.size(x)), F.lit(2), F.size(x))
+    runs = F.transform(
+        count("found"),
+        lambda i: one(total("parts", i) + total("found", i - 1), F.get("found", i - 1), F.get("parts", i - 1), F.get("parts", i)),
     )
+    # A lead is what stands before a value; the value is the beginning of the next gap.
+    by_context = F.transform(
+        count("leads"),
+        lambda i: one(
+            total("gaps", i) + total("leads", i), F.get("values", i - 1), F.concat(F.get("gaps", i - 1), F.get("leads", i - 1)),
+            F.substring(F.get("gaps", i), F.length(F.get("values", i - 1)) + 1, F.lit(NEIGHBOURS)),
+        ),
+    )
+    return parts.select("doc_id", "path", F.concat(runs, by_context).alias("each")).select("doc_id", F.inline("each"), "path")
 
 
 def _share(column: Column, drop: str) -> Column:
@@ -121,6 +144,11 @@ def features(found: DataFrame) -> DataFrame:
             "benign_before": flag(near.rlike(rf"\b({BENIGN_WORDS})\b")),
             "benign_after": flag(after.rlike(rf"^\W{{0,3}}\s*({BENIGN_WORDS})\b")),
             "filler": flag(F.lower(c).rlike(r"x{6,}|0{8,}|1234567|abcdef|example|changeme|placeholder|dummy")),
+            "other_share": _share(c, "[^A-Za-z0-9+/_-]"),
+            "in_url": flag(before.rlike(r"://[^\s/:@]*:$")),
+            "reference": flag(F.lower(c).rlike(r"^[$<{%(\[]|[(\[]|^[a-z_]+\.[a-z_.]+$|^\*+$|^your\b|^your[_-]|^(null|none|nil|true|false|undefined|required|optional|password|passwd|pass|secret|token|string|str)[,;.)]*$")),
+            "plain_word": flag(c.rlike(r"^[A-Za-z][a-z]*[.,:;!?)]*$")),
+            "spaces": F.length(F.regexp_replace(c, r"\S", "")).cast("double"),
         }
     )
 
@@ -137,19 +165,31 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     name = pick("n", "password", "passwd", "secret", "token", "api_key", "auth_token", "access_key", "client_secret")
     sign = pick("s", "=", " = ", ": ", '="', ' = "', ": '")
     close = pick("s", "", "", "", '"', '"', "'")
+    number = F.pmod(F.xxhash64(F.lit("num"), "id"), F.lit(10**16)).cast("string")
+    odd = F.translate(cut(raw("z"), 11), "aeiosbgt", "@!#$%.&^")
     made = [
         text("AKIA", cut(upper, 16)), text(name, sign, cut(hexed("p"), 18), close), text(name, sign, cut(hexed("t"), 40), close),
         text(name, sign, cut(raw("b"), 24), close), text(name, sign, cut(raw("c"), 40), close), text("ghp_", cut(raw("g"), 36)),
         text("Authorization: Bearer eyJ", raw("j")), text(name, sign, cut(hexed("q"), 32), close), text("key AKIA", cut(upper, 16)), text("sk_live_", cut(raw("k"), 24)),
+        # Short values, values without a digit, and values with other characters.
+        text(name, sign, F.initcap(word("a")), cut(number, 4), pick("e", "", "!", "x", "#", "@"), close), text(name, sign, odd, close), text(name, sign, F.translate(cut(raw("l"), 20), "0123456789", "qGkWzTvXcR"), close),
+        text(name, sign, word("a"), "-", word("b"), "-", word("c"), "-", word("d"), close), text(name, pick("s2", '="', ' = "', '": "'), word("a"), " ", word("b"), " ", word("c"), " ", word("d"), '"'),
+        text(pick("db", "postgres", "mysql", "amqp", "https"), "://", word("a"), ":", pick("u", odd, cut(raw("f"), 12), text(F.initcap(word("b")), ".", cut(number, 3)), text(word("b"), "-", word("c"))), "@", word("d"), pick("h", ":5432/db", ".local/x", "", "/y")),
+        text(name, sign, cut(hexed("w"), 8), close), text(name, pick("s3", '="', ": '"), word("a"), word("b"), pick("s3", '"', "'")),
     ]
     uuid = text(cut(hexed("v"), 8), "-", F.substring(hexed("v"), 9, 4), "-4", F.substring(hexed("v"), 14, 3), "-a", F.substring(hexed("v"), 18, 3), "-", F.substring(hexed("v"), 21, 12))
-    number = F.pmod(F.xxhash64(F.lit("num"), "id"), F.lit(10**16)).cast("string")
     benign = [
         text(pick("o", "commit ", "sha1: ", "checksum=", "revision "), cut(hexed("r"), 40)), text(pick("o", "md5 ", "etag: ", "digest=", "hash "), cut(hexed("m"), 32)),
         text(pick("o", "uuid=", "id: ", "request ", ""), uuid), F.lpad(number, 16, "4"),
         text(word("a"), "_", word("b"), "_", word("c"), cut(number, 2)), text("/usr/", word("a"), "/", word("b"), cut(number, 3), "/", word("c"), ".", "txt"),
         text(name, sign, "xxxxxxxxxxxxxxxx1234", close), text("AKIA", "0000000000EXAMPLE"), text("https://host/", word("a"), "/", word("b"), "-", word("c"), "-", cut(number, 4)),
         text(F.initcap(word("a")), F.initcap(word("b")), F.initcap(word("c")), F.initcap(word("d")), cut(number, 1)), text("sha256-", cut(raw("i"), 43)), text(cut(hexed("y"), 40), " ", word("e"), ".tar"),
+        # What stands after a telling word and is none.
+        text(name, pick("s4", ": ", " = ", "="), word("a"), pick("e2", "", ".", ",")), text(name, pick("s5", "=", " = ", ": "), pick("v", "null", "None", "true", "false", "required", "string", "undefined")),
+        text(name, sign, pick("r1", text("${", F.upper(word("a")), "}"), text("<", word("a"), ">"), text("{{ ", word("a"), " }}"), text("$", F.upper(word("a"))), "********", "changeme", text("your-", word("a"))), close),
+        text(name, pick("s6", " = ", "="), pick("r2", text("get_", word("a"), "()"), text("config.", word("a")), text("os.environ['", F.upper(word("a")), "']"), text(word("a"), ".", word("b"), "(", word("c"), ")"), text(word("a"), "_", word("b")))),
+        text(name, ": ", word("a"), " ", word("b"), " ", word("c")), text("https://", pick("u2", "user:password", "username:pass", "user:<password>", "user:${PASSWORD}", "name:secret"), "@", word("b"), ".com"),
+        text(name, pick("s7", '": "', '="'), pick("r3", "Enter your ", "Your ", "The ", "Forgot "), name, '"'), text("https://", word("a"), ":", pick("p", "80", "8080", "443"), "?to=", word("b"), "@mail.com"),
     ]
     secret = F.col("id") % 2 == 0
     # Each form is taken in turn; half of all look-alikes of hashes stand without a telling word.

@@ -1,0 +1,42 @@
+"""Findings written by hand, not by the rules that the forest is trained on."""
+
+import pytest
+
+from pointspark.llm import secrets
+
+SECRETS = [
+    ("Summer2024x", "login with password=Summer2024x on the portal"), ("Pa55.w0rd", "db://user:Pa55.w0rd@host"), ("hunter2", "set PASSWORD: hunter2 and restart"),
+    ("p@ss#W0rd!", 'db_password = "p@ss#W0rd!" # prod'), ("correct horse battery staple", "passwd: 'correct horse battery staple'"), ("S3cr3t&More%", "export API_KEY=S3cr3t&More%"),
+    ("qwErTyUiOpAsDfGhJkLzXc", "auth_token=qwErTyUiOpAsDfGhJkLzXc"), ("t0p$ecret", "amqp://guest:t0p$ecret@mq.internal:5672/vh"), ("x9!kQ", "pwd=x9!kQ"),
+    ("Adm1n@2019", "mysql://root:Adm1n@2019@10.0.0.5/shop"), ("Zx81,Spectrum;48", '{"password":"Zx81,Spectrum;48"}'), ("ILoveMyDog!", "client_secret: ILoveMyDog!"),
+    ('say\\"friend\\"7', 'secret = "say\\"friend\\"7"'), ("b7db7aa4a5fcc783.05!ende", "token=b7db7aa4a5fcc783.05!ende"), ("7f3a9c", "SECRET_KEY='7f3a9c'"), ("Tr0ub4dor&3", "pass => Tr0ub4dor&3"),
+]
+BENIGN = [
+    "password: required", "token = None", "the secret: we all like it", "password=${DB_PASS}", "api_key = os.environ['KEY']", "http://user:password@example.com", "password = getpass()", "Author: Smith wrote this",
+    'password: "Enter your password"', "http://host:80/a?b=c@d", "token: string", "passwd=********",
+]
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return secrets.train(secrets.labelled_findings(spark))
+
+
+def test_recall_on_findings_by_hand(spark, model):
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(SECRETS)] + [(100 + i, t) for i, t in enumerate(BENIGN)], "doc_id long, text string")
+    rows = secrets.scan(docs, model).collect()
+    for i, (value, text) in enumerate(SECRETS):
+        assert (i, text.index(value), value) in {(r.doc_id, r.position, r.candidate) for r in rows}
+    caught = {SECRETS[r.doc_id][0] for r in rows if r.secret and r.doc_id < 100 and r.candidate == SECRETS[r.doc_id][0]}
+    false = [(r.candidate, r.score) for r in rows if r.secret and r.doc_id >= 100]
+    print("recall", len(caught), "of", len(SECRETS), "missed", [v for v, _ in SECRETS if v not in caught], "false", false)
+    assert len(caught) >= 13 and len(false) <= 2
+
+
+def test_values_beside_runs_and_inside_values(spark):
+    texts = ["password=abcdefgh12345678", 'x "token": "abcdefgh12345678" y', "?token=ab&password=cd&x", 'password="" secret=', "token=abcdefgh12345678.z", "a" * 40 + "password='b c" + "d" * 5000 + "' é", "key: db://u:abcdefgh12345678@h"]
+    rows = secrets.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(texts[r.doc_id][r.position : r.position + len(r.candidate)] == r.candidate and texts[r.doc_id][: r.position].endswith(r.before[-9:]) for r in rows)
+    got = sorted((r.doc_id, r.candidate) for r in rows)
+    run = "abcdefgh12345678"
+    assert got == sorted([(0, run), (1, run), (2, "ab&password=cd&x"), (2, "cd&x"), (4, run), (4, f"{run}.z"), (5, "b c" + "d" * 5000), (6, run)])
