@@ -25,8 +25,8 @@ def scene_density(bounds: DataFrame) -> DataFrame:
 
 
 def chunk_sizes(density: DataFrame, config: EvalConfig) -> DataFrame:
-    """The edge of a chunk that holds about the target number of points, within the profile's bounds."""
-    size = config.profile.clamp(F.cbrt(config.target_points / F.col("density")))
+    """The edge of a chunk that holds about the target number of points, within the profile's bounds; or the profile's fixed one."""
+    size = config.profile.clamp(F.cbrt(config.target_points / F.col("density"))) if config.adaptive else F.lit(config.profile.fixed_chunk)
     return density.withColumn("size", F.round(size, 6))
 
 

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pointspark.functions.columns import softmax
 from pointspark.operators.points import AXES
 
+#: Columns of what a scorer with ``features`` gets besides coordinates.
+FEATURES = ("f0", "f1", "f2")
+
 
 class Scorer(Protocol):
     """Adds l0 and l1, the logits of background and target, to chunk-normalised points."""
@@ -55,17 +58,18 @@ def mlp_head(inputs: list[Column], first, norm, second) -> list[Column]:
 class ChunkScorer:
     """A scorer that needs each chunk whole: a NumPy function of (n, 3) coordinates to (n, 2) logits.
 
-    A chunk's points are one task's; ``max_points`` of the configuration bounds them.
+    With ``features`` the function also takes (n, 3) features: colours, or the
+    normalised coordinates, by the profile (``evaluate.predict_points``).  A chunk's points are one task's; ``max_points`` of the configuration bounds them.
     """
 
-    def __init__(self, function: Callable[[np.ndarray], np.ndarray]):
-        self.function = function
+    def __init__(self, function: Callable[..., np.ndarray], features: bool = False):
+        self.function, self.features = function, features
 
     def __call__(self, points: DataFrame) -> DataFrame:
-        function = self.function
+        function, takes = self.function, (AXES, FEATURES) if self.features else (AXES,)
 
         def score(table: pa.Table) -> pa.Table:
-            logits = function(np.stack([table.column(a).to_numpy() for a in AXES], 1))
+            logits = function(*[np.stack([table.column(a).to_numpy() for a in names], 1) for names in takes])
             for i in (0, 1):
                 table = table.append_column(f"l{i}", pa.array(np.asarray(logits[:, i], np.float64)))
             return table

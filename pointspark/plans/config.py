@@ -34,6 +34,7 @@ class EvalConfig:
     profile: Profile = V3
     target_points: int = 15_000
     overlap: float = 0.2
+    adaptive: bool = True
     max_steps: int = 100
     max_points: int | None = None
     alien_above: float = 0.8

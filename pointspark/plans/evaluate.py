@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointspark.functions.columns import class_colour
 from pointspark.operators import chunks, clustering, sampling, scoring, votes
-from pointspark.operators.points import normalize
+from pointspark.operators.points import AXES, COLOURS, default_colours, feature_scale, normalize
 from pointspark.plans.config import EvalConfig
 
 CHUNK = ["scene_id", "ix", "iy", "iz"]
@@ -19,10 +19,18 @@ def grid_steps(points: DataFrame, config: EvalConfig) -> DataFrame:
 
 def predict_points(points: DataFrame, config: EvalConfig, scorer: scoring.Scorer | None = None) -> DataFrame:
     """(scene_id, point_idx, ix, iy, iz, p0, p1, pred) for each point in each chunk."""
-    assigned = chunks.assign_chunks(points.select("scene_id", "point_idx", "x", "y", "z"), grid_steps(points, config))
+    scorer = scorer or scoring.LinearScorer()
+    takes = getattr(scorer, "features", False)
+    colours = COLOURS if takes and config.profile.features == "rgb" else ()
+    assigned = chunks.assign_chunks(points.select("scene_id", "point_idx", "x", "y", "z", *colours), grid_steps(points, config))
     if config.max_points:
         assigned = sampling.subsample_chunks(assigned, config.max_points, config.seed)
-    scored = (scorer or scoring.LinearScorer())(normalize(assigned, CHUNK, config.profile.scale))
+    if colours:
+        assigned = default_colours(feature_scale(assigned, CHUNK))
+    placed = normalize(assigned, CHUNK, config.profile.scale)
+    if takes:
+        placed = placed.withColumns(dict(zip(scoring.FEATURES, map(F.col, colours or AXES), strict=True)))
+    scored = scorer(placed)
     return scoring.predict(scored).select("scene_id", "point_idx", "ix", "iy", "iz", "p0", "p1", "pred")
 
 
