@@ -38,14 +38,14 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import repeat
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pointspark.llm.subwords import blocks
 
@@ -58,6 +58,66 @@ _ALL = 2**64 - 1
 _RUNS = re.compile(r" *[^ ]+| +\Z")
 
 
+class Trie:
+    """Pieces as a trie whose steps lie in a hash table, so that all characters of many words walk it together."""
+
+    def __init__(self, pieces: dict[str, int]):
+        steps: dict[int, int] = {}
+        ends = [-1]
+        for piece, number in pieces.items():
+            node = 0
+            for char in map(ord, piece):
+                node = steps.setdefault(node << 21 | char, len(ends))
+                if node == len(ends):
+                    ends.append(-1)
+            ends[node] = number
+        self.ends = np.array(ends, np.int64)
+        bits = len(steps).bit_length() + 2
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        key, value = np.fromiter(steps, np.int64, len(steps)), np.fromiter(steps.values(), np.int32, len(steps))
+        slot = self._slot(key)
+        while len(key):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = key[free]
+            settled = self.keys[slot] == key
+            self.values[slot[settled]] = value[settled]
+            key, value, slot = key[~settled], value[~settled], slot[~settled] + 1 & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def _step(self, key: np.ndarray) -> np.ndarray:
+        """The node that each step leads to; -1: none."""
+        slot = self._slot(key)
+        held = self.keys[slot]
+        out = np.where(held == key, self.values[slot], -1).astype(np.int64)
+        rest = np.flatnonzero((held != key) & (held >= 0))
+        slot = slot[rest]
+        while len(rest):
+            slot = slot + 1 & self.mask
+            held, wanted = self.keys[slot], key[rest]
+            met = held == wanted
+            out[rest[met]] = self.values[slot[met]]
+            on = ~met & (held >= 0)
+            rest, slot = rest[on], slot[on]
+        return out
+
+    def matches(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, piece) of all pieces in code points that end with one that no piece has."""
+        at, node, depth = np.arange(len(codes)), np.zeros(len(codes), np.int64), 0
+        found: list[tuple] = []
+        while len(at):
+            node = self._step(node << 21 | codes[at + depth])
+            alive = node >= 0
+            at, node, depth = at[alive], node[alive], depth + 1
+            piece = self.ends[node]
+            hit = piece >= 0
+            found.append((at[hit], at[hit] + depth, piece[hit]))
+        begin, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        return begin, end, piece
+
+
 class Lattices:
     """Word lattices of one model in flat arrays.
 
@@ -65,7 +125,8 @@ class Lattices:
     target node (-1: end of the word), a piece, the log of its probability
     given the node, and in ``share`` the probability of the node's edges up to
     it.  A piece number beyond the vocabulary stands for
-    the bytes of a character.
+    the bytes of a character.  The arrays have room to spare beyond the
+    ``n_nodes`` nodes and ``n_edges`` edges.
     """
 
     def __init__(self, path: str, alpha: float = ALPHA):
@@ -75,33 +136,43 @@ class Lattices:
         scores = {i: model.get_score(i) for i in plain}
         ranks = all(s == int(s) for s in scores.values())
         weight = {i: -alpha * math.log(1 - s) if ranks else alpha * s for i, s in scores.items()}
-        self.pieces = ahocorasick.Automaton()
+        pieces: dict[str, int] = {}
         text = [b""] * size
         self.byte_id = {}
-        self.length, self.weight = np.zeros(size, np.int64), np.zeros(size)
+        longest, self.weight = 0, np.zeros(size)
         for i in range(size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte_id[int(piece[1:-1], 16)] = i
                 text[i] = bytes([int(piece[1:-1], 16)])
             elif i in weight:
-                self.pieces.add_word(piece, i)
-                self.length[i], self.weight[i] = len(piece), weight[i]
+                pieces[piece] = i
+                self.weight[i], longest = weight[i], max(longest, len(piece))
                 text[i] = piece.replace(SPACE, " ").encode()
         self.joined = np.frombuffer(b"".join(text), np.uint8)
         self.sizes = np.fromiter(map(len, text), np.int64, size)
         self.begins = np.cumsum(self.sizes) - self.sizes
-        self.least = min(weight.values())
+        self.least, self.longest = min(weight.values()), longest
         self.unknown = model.unk_id()
         self.size = size
-        self.pieces.make_automaton()
+        self.trie = Trie(pieces)
         self.forget()
 
     def forget(self) -> None:
         self.start: dict[str, int] = {}
-        self.first, self.target, self.piece, self.logp, self.share = [np.zeros(0, t) for t in (np.int64, np.int32, np.int32, float, np.float32)]
+        self.n_nodes = self.n_edges = 0
+        self.first, self.target, self.piece, self.logp, self.share = [np.zeros(1, t) for t in (np.int64, np.int32, np.int32, float, np.float32)]
         self.widest = 1
 
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        """Write values from ``at`` on, into an array half as large again where it is too short."""
+        old = getattr(self, name)
+        if at + len(values) > len(old):
+            new = np.zeros(max(at + len(values), len(old) * 3 // 2), old.dtype)
+            new[:at] = old[:at]
+            setattr(self, name, new)
+        getattr(self, name)[at : at + len(values)] = values
+
     def bytes_of(self, char: str) -> list[int]:
         found = [self.byte_id.get(b) for b in char.encode()]
         return [self.unknown] if None in found else found
@@ -115,19 +186,19 @@ class Lattices:
         text = "".join(f"{SPACE}{w.replace(' ', SPACE)}\0" for w in words)
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
         stop = np.repeat(np.cumsum(sizes) - 1, sizes)  # where the word of each character ends
-        last, piece = np.fromiter(chain.from_iterable(self.pieces.iter(text)), np.int64).reshape(-1, 2).T
-        begin = last + 1 - self.length[piece]
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        begin, end, piece = self.trie.matches(codes)
         bare = np.ones(len(text), bool)
-        bare[begin[last == begin]] = False
+        bare[begin[end == begin + 1]] = False
         bare[np.cumsum(sizes) - 1] = False
         bare = np.flatnonzero(bare)
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)[bare]
+        codes = codes[bare]
         n_bytes = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
-        begin, end = np.concatenate([begin, bare]), np.concatenate([last, bare]) + 1
+        begin, end = np.concatenate([begin, bare]), np.concatenate([end, bare + 1])
         weight = np.concatenate([self.weight[piece], self.least * n_bytes])
         piece = np.concatenate([piece, self.size + codes])
         # Log-masses from the words' ends backwards, all nodes at one distance together.
-        order = np.argsort(begin * (self.length.max() + 2) + end - begin)
+        order = np.argsort(begin * (self.longest + 2) + end - begin)
         begin, end, piece, weight = begin[order], end[order], piece[order], weight[order]
         far = stop[begin] - begin
         order = np.argsort(far.astype(np.uint16) if far.max() < 65_536 else far, kind="stable")
@@ -147,17 +218,17 @@ class Lattices:
         sums = np.concatenate([[0.0], np.cumsum(np.exp(logp))])
         share = np.minimum(sums[1:] - sums[first[begin]], 1.0)
         share[np.append(begin[1:] != begin[:-1], True)] = 1.0
-        nodes, edges = len(self.first), len(self.target)
-        grown = (first + edges, np.where(end == stop[begin], -1, end + nodes), piece, logp, share)
+        nodes, edges = self.n_nodes, self.n_edges
+        self._put("first", nodes, np.append(first, len(begin)) + edges)
+        for name, values in (("target", np.where(end == stop[begin], -1, end + nodes)), ("piece", piece), ("logp", logp), ("share", share)):
+            self._put(name, edges, values)
+        self.n_nodes, self.n_edges = nodes + len(text), edges + len(begin)
         self.widest = max(self.widest, int(number.max()))
-        for name, values in zip(("first", "target", "piece", "logp", "share"), grown, strict=True):
-            old = getattr(self, name)
-            setattr(self, name, np.concatenate([old, values.astype(old.dtype)]))
         self.start.update(zip(words, (np.cumsum(sizes) - sizes + nodes).tolist(), strict=True))
 
     def nodes(self, words: list[str]) -> np.ndarray:
         """The first node of each word."""
-        if len(self.target) > MEMO_EDGES:
+        if self.n_edges > MEMO_EDGES:
             self.forget()
         found = np.fromiter(map(self.start.get, words, repeat(-1)), np.int64, len(words))
         missed = np.flatnonzero(found < 0)
@@ -171,8 +242,7 @@ class Lattices:
 
     def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge of each node whose share first exceeds u; bisection inside the nodes."""
-        edge = self.first[node]
-        last = np.where(node + 1 < len(self.first), self.first[np.minimum(node + 1, len(self.first) - 1)], len(self.target)) - 1
+        edge, last = self.first[node], self.first[node + 1] - 1
         step = 1 << (self.widest.bit_length() - 1)
         while step:
             ahead = np.minimum(edge + step, last)
@@ -181,7 +251,7 @@ class Lattices:
         return edge
 
     def edges_of(self, node: int) -> tuple[int, int]:
-        return int(self.first[node]), int(self.first[node + 1]) if node + 1 < len(self.first) else len(self.target)
+        return int(self.first[node]), int(self.first[node + 1])
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids of a path; characters without a piece become their byte pieces."""
@@ -301,9 +371,9 @@ class _Search:
     def _leaving(self, path: int, begin: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, node, edge) of the edges that leave a path at positions from ``begin`` to before ``stop``."""
         lattices, taken = self.lattices, self.paths[path][0][begin:stop]
-        node = np.searchsorted(lattices.first, taken, "right") - 1
+        node = np.searchsorted(lattices.first[: lattices.n_nodes], taken, "right") - 1
         low = lattices.first[node]
-        number = np.where(node + 1 < len(lattices.first), lattices.first[np.minimum(node + 1, len(lattices.first) - 1)], len(lattices.target)) - low
+        number = lattices.first[node + 1] - low
         other = np.arange(int(number.sum())) + np.repeat(low - (np.cumsum(number) - number), number)
         leave = other != np.repeat(taken, number)
         return np.repeat(np.arange(begin, stop), number)[leave], np.repeat(node, number)[leave], other[leave]
@@ -427,11 +497,16 @@ def sample_encodings(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 def decode_ids(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     """The input's columns and ``decoded``: the text of the ids."""
 
-    @F.udf("string", useArrow=True)
-    def decode(ids):
-        return None if ids is None else load(model_path).decode(ids)
+    at = encoded.columns.index(ids_col)
+    schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattices = load(model_path)
+        for batch in batches:
+            texts = [None if x.as_py() is None else lattices.decode(x.values.to_numpy(zero_copy_only=False)) for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return encoded.withColumn("decoded", decode(F.col(ids_col)))
+    return encoded.mapInArrow(run, schema)
 
 
 def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", *, k: int = K, alpha: float = ALPHA) -> DataFrame:
