@@ -52,7 +52,8 @@ from pointspark.llm.subwords import blocks
 K = 2
 ALPHA = 1.0
 WINDOW = 12.0
-MEMO_EDGES = 6_000_000
+#: Edges that a worker remembers at most inside a task; between tasks it holds the words of the last block only.
+MEMO_EDGES = 10_000_000
 SPACE = "▁"
 _ALL = 2**64 - 1
 _RUNS = re.compile(r" *[^ ]+| +\Z")
@@ -226,10 +227,33 @@ class Lattices:
         self.widest = max(self.widest, int(number.max()))
         self.start.update(zip(words, (np.cumsum(sizes) - sizes + nodes).tolist(), strict=True))
 
+    def shrink(self, words: list[str]) -> None:
+        """Forget all words but these."""
+        kept = {w: self.start[w] for w in set(words) if w in self.start}
+        if not kept:
+            return self.forget()
+        old = np.fromiter(self.start.values(), np.int64, len(self.start))  # in ascending order, as words are added
+        begin = np.sort(np.fromiter(kept.values(), np.int64, len(kept)))
+        end = np.append(old, self.n_nodes)[np.searchsorted(old, begin) + 1]
+        size, low, n = end - begin, self.first[begin], self.first[end] - self.first[begin]
+        moved, shift = np.cumsum(size) - size, np.cumsum(n) - n
+        node = np.arange(int(size.sum())) + np.repeat(begin - moved, size)
+        edge = np.arange(int(n.sum())) + np.repeat(low - shift, n)
+        target = self.target[edge]
+        new = {"first": np.append(self.first[node] + np.repeat(shift - low, size), len(edge))}
+        new["target"] = np.where(target < 0, -1, target + np.repeat(moved - begin, n)).astype(np.int32)
+        for name in ("piece", "logp", "share"):
+            new[name] = getattr(self, name)[edge]
+        for name, values in new.items():
+            setattr(self, name, values)
+        self.n_nodes, self.n_edges = len(node), len(edge)
+        at = dict(zip(begin.tolist(), moved.tolist(), strict=True))
+        self.start = {w: at[x] for w, x in sorted(kept.items(), key=lambda item: item[1])}
+
     def nodes(self, words: list[str]) -> np.ndarray:
         """The first node of each word."""
         if self.n_edges > MEMO_EDGES:
-            self.forget()
+            self.shrink(words)
         found = np.fromiter(map(self.start.get, words, repeat(-1)), np.int64, len(words))
         missed = np.flatnonzero(found < 0)
         if len(missed):
@@ -292,12 +316,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def absorb(state: np.ndarray, counter) -> np.ndarray:
+    """The hash of a state and one more counter."""
+    return _mix(state + np.uint64(0x9E3779B97F4A7C15) + np.asarray(counter).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
+def unit(state: np.ndarray) -> np.ndarray:
+    """A number in (0, 1) from each hash."""
+    return ((state >> np.uint64(12)).astype(float) + 0.5) / 2**52
+
+
 def uniform(key: np.ndarray, *counters) -> np.ndarray:
     """Numbers in (0, 1) from a hash of a key and counters."""
     x = np.asarray(key, np.uint64)
     for c in counters:
-        x = _mix(x + np.uint64(0x9E3779B97F4A7C15) + np.asarray(c).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-    return ((x >> np.uint64(12)).astype(float) + 0.5) / 2**52
+        x = absorb(x, c)
+    return unit(x)
 
 
 def truncated_gumbel(log_mass: float, bound: float, u: float) -> float:
@@ -309,13 +343,15 @@ def _draw(lattices: Lattices, keys: np.ndarray, places: np.ndarray, nodes: np.nd
     """(edges, how many for each word): paths from nodes to the ends of their words; -1 has none."""
     taken, owners = [], []
     alive, at, step = np.flatnonzero(nodes >= 0), nodes[nodes >= 0], 0
+    state = absorb(absorb(keys[alive], sample), places[alive])
     while len(alive):
-        u = uniform(keys[alive], sample, places[alive], step)
+        u = unit(absorb(state, step))
         edge = lattices.choose(at, u)
         taken.append(edge)
         owners.append(alive)
         at = lattices.target[edge]
-        alive, at, step = alive[at >= 0], at[at >= 0], step + 1
+        on = at >= 0
+        alive, state, at, step = alive[on], state[on], at[on], step + 1
     number = np.bincount(np.concatenate(owners), minlength=len(nodes)) if owners else np.zeros(len(nodes), np.int64)
     begin = np.cumsum(number) - number
     edges = np.zeros(int(number.sum()), np.int64)
@@ -468,7 +504,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _sampled(batches: Iterator[pa.RecordBatch], path: str, k: int, alpha: float) -> Iterator[list[tuple]]:
     """Lists of (doc_id, text, lattices, samples), a bounded number of characters at a time."""
-    lattices = load(path, alpha)
+    lattices, part = load(path, alpha), []
     try:
         for batch in batches:
             ids, keys, texts = (batch.column(i).to_pylist() for i in range(3))
@@ -479,7 +515,7 @@ def _sampled(batches: Iterator[pa.RecordBatch], path: str, k: int, alpha: float)
                 found = sample(lattices, part, [x & (2**64 - 1) for x in keys[own]], k)
                 yield [(i, t or "", lattices, s) for i, t, s in zip(ids[own], part, found, strict=True)]
     finally:
-        lattices.forget()  # a worker that waits for its next task holds no words
+        lattices.shrink([w for text in part for w in words_of(text)])  # a worker that waits for its next task holds few words
 
 
 def sample_encodings(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", *, k: int = K, alpha: float = ALPHA) -> DataFrame:
