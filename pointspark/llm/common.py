@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -16,11 +17,18 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only where all run in one process, as in tests, a temporary folder takes its place.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        app = spark.sparkContext.applicationId
-        path = _OWN.setdefault(app, tempfile.mkdtemp(prefix="pointspark-"))
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = tempfile.mkdtemp(prefix="pointspark-")
+        path = _OWN[context.applicationId]
     return path.rstrip("/")
 
 
@@ -39,6 +47,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def row_key(*columns) -> Column:
+    """128 bits that stand for the values of columns, as text: two hashes with different seeds."""
+    return F.concat_ws("-", F.hex(F.xxhash64(*columns)), F.hex(F.xxhash64(F.lit("second"), *columns)))
+
+
 def ascii_lower(column):
     """Lower-case A-Z only; ``lower`` is the fast way where all characters are ASCII."""
     return F.when(F.length(column) == F.octet_length(column), F.lower(column)).otherwise(

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointspark.llm.common import save
+from pointspark.llm.common import row_key, save
 
 SHINGLE = 5
 PERCENT = 80
@@ -109,9 +109,9 @@ def signatures(items: DataFrame, shingle: int, percent: int) -> DataFrame:
                     upper = (1 << len(found).bit_length()) - 1
                     out += [(item, width, h) for h in found[: missable(upper, percent) + 1].view(np.int64).tolist()]
             columns = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["item", "width", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64()), strict=True)], ["item", "width", "hash"])
 
-    return items.select("item", "text").mapInArrow(sign, "item long, width int, hash long")
+    return items.select("item", "text").mapInArrow(sign, "item string, width int, hash long")
 
 
 def _bitmap(signed: DataFrame) -> np.ndarray:
@@ -145,25 +145,33 @@ def probe(docs: DataFrame, signed: DataFrame) -> DataFrame:
             taken = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(hits, pa.list_(pa.int64()))], ["doc", "text", "hits"])
 
-    return docs.select("doc", "text").mapInArrow(find, "doc long, text string, hits array<long>")
+    return docs.select("doc", "text").mapInArrow(find, "doc string, text string, hits array<long>")
 
 
 def verify(pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc, item, shared, size) of the rows (doc, item, text, item_text) with enough shingles in common."""
+    """(doc, item, shared, size) of the rows (doc, text, items: array of item and text) with enough shingles in common.
+
+    A document's text is split once for each width of shingles among its items.
+    """
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, item, text, wanted in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                width = min(shingle, len(words(wanted)))
-                own = shingle_strings(wanted, width)
-                shared = len(own & shingle_strings(text, width))
-                if 100 * shared >= percent * len(own):
-                    out.append((doc, item, shared, len(own)))
+            for doc, text, items in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                found: dict[int, set[str]] = {}
+                for item in items:
+                    width = min(shingle, len(words(item["text"])))
+                    if width not in found:
+                        found[width] = shingle_strings(text, width)
+                    own = shingle_strings(item["text"], width)
+                    shared = len(own & found[width])
+                    if 100 * shared >= percent * len(own):
+                        out.append((doc, item["item"], shared, len(own)))
             columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "item", "shared", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc", "item", "shared", "size"])
 
-    return pairs.select("doc", "item", "text", "item_text").mapInArrow(check, "doc long, item long, shared long, size long")
+    return pairs.select("doc", "text", "items").mapInArrow(check, "doc string, item string, shared long, size long")
 
 
 def contaminated(
@@ -185,16 +193,14 @@ def contaminated(
     signed = save(signatures(wanted.select("item", F.col("item_text").alias("text")), shingle, percent), "signatures")
     held = save(probe(rows, signed), "probed")
     met = held.select("doc", F.explode("hits").alias("hash")).join(signed.select("hash", "item"), "hash").select("doc", "item").distinct()
-    pairs = met.join(held.select("doc", "text").dropDuplicates(["doc"]), "doc").join(wanted.select("item", "item_text"), "item")
+    # Items are benchmark texts; those that one document meets come together, so its text is moved and split once.
+    items_met = met.join(wanted.select("item", "item_text"), "item").groupBy("doc").agg(F.collect_list(F.struct("item", F.col("item_text").alias("text"))).alias("items"))
+    pairs = items_met.join(held.select("doc", "text").dropDuplicates(["doc"]), "doc")
     found = save(verify(pairs, shingle, percent), "contaminated")
     named = found.join(rows.select("doc", "doc_id").distinct(), "doc").join(wanted.select("item", "item_id"), "item")
     return named.select("doc", "doc_id", "item_id", "shared", "size", (F.col("shared") / F.col("size")).alias("containment"))
 
 
-def row_key(id_col: str, text_col: str):
-    return F.xxhash64(id_col, text_col)
-
-
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no item, with the columns that they have."""
     bad = contaminated(docs, items, id_col, text_col).select(F.col("doc").alias("_doc")).distinct()

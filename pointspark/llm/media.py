@@ -28,21 +28,39 @@ WIDTH = 24
 FRAME = 576
 SEQUENCE = "array<struct<position:int,kind:string,text:string,ref:string,caption:string>>"
 SCHEME = "sha256:"
-SKIPPED = {"script", "style", "template", "noscript"}
+SKIPPED = {"script", "style", "template"}
 BLOCKS = {"p", "div", "article", "section", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "td", "th", "table", "figure", "figcaption", "blockquote", "pre", "nav", "header", "footer", "title", "body", "html"}
 MEDIA = {"img", "video", "audio", "source", "embed"}
+#: Blocks without content, and those whose end tags say nothing about what is around them.
+VOID, LOOSE = {"br"}, {"br", "p"}
+
+
+class _Figure:
+    """An open figure: its media, and its captions as (place among the items, parts)."""
+
+    def __init__(self) -> None:
+        self.media: list[dict] = []
+        self.captions: list[tuple[int, list[str]]] = []
+        self.inside: list[str] = []  # blocks that were opened in the figure and are open
 
 
 class _Sequence(HTMLParser):
-    """Collects text blocks and media references in document order."""
+    """Collects text blocks and media references in document order.
+
+    A figure's captions belong to the media directly in it, in place of their
+    ``alt``, and are applied when it closes: at its end tag, at the end of an
+    element around it, or at the end of the page.  A figure without media has
+    its captions as text, where they stand; so has the page those outside
+    figures.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
-        self.skip: str | None = None
-        self.caption: list[str] | None = None
-        self.figure: int | None = None
+        self.skip: list[str] = []
+        self.figures: list[_Figure] = []
+        self.caption: _Figure | None = None  # the figure whose caption is open
 
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
@@ -50,41 +68,82 @@ class _Sequence(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
 
+    def close_figure(self) -> None:
+        self.flush()
+        figure = self.figures.pop()
+        if self.caption is figure:
+            self.caption = None
+        captions = [(at, " ".join("".join(parts).split())) for at, parts in figure.captions]
+        text = " ".join(c for _, c in captions if c)
+        if figure.media and text:
+            for item in figure.media:
+                item["caption"] = text
+        elif not figure.media:
+            for at, caption in reversed(captions):
+                if caption:
+                    self.items.insert(at, {"kind": "text", "text": caption, "ref": None, "caption": None})
+
     def handle_starttag(self, tag, attrs) -> None:
         if self.skip:
-            return
-        if tag in SKIPPED:
-            self.skip = tag
-        elif tag == "figcaption":
+            self.skip += [tag] if tag == self.skip[0] else []
+        elif tag in SKIPPED:
+            self.skip = [tag]
+        elif tag == "figure":
             self.flush()
-            self.caption = []
-        elif tag in BLOCKS:
+            self.caption = None
+            self.figures.append(_Figure())
+        elif tag == "figcaption":
             self.flush()
-            if tag == "figure":
-                self.figure = len(self.items)
+            if self.figures:
+                self.caption = self.figures[-1]
+                self.caption.captions.append((len(self.items), []))
         elif tag in MEDIA:
             found = dict(attrs)
             if found.get("src"):
                 self.flush()
                 self.items.append({"kind": "media", "text": None, "ref": found["src"], "caption": found.get("alt")})
+                if self.figures:
+                    self.figures[-1].media.append(self.items[-1])
+        elif tag in BLOCKS:
+            self.block()
+            if self.figures and tag not in VOID:
+                self.figures[-1].inside.append(tag)
+
+    def block(self) -> None:
+        """A block begins or ends: a new text, or a blank inside a caption."""
+        if self.caption:
+            self.caption.captions[-1][1].append(" ")
+        else:
+            self.flush()
 
     def handle_endtag(self, tag) -> None:
         if self.skip:
-            self.skip = None if tag == self.skip else self.skip
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
+            self.skip = self.skip[1:] if tag == self.skip[0] else self.skip
+        elif tag == "figcaption":
+            self.flush()
             self.caption = None
-            for item in self.items[self.figure or 0 :]:
-                if item["kind"] == "media":
-                    item["caption"] = text
+        elif tag == "figure":
+            if self.figures:
+                self.close_figure()
+            else:
+                self.flush()
         elif tag in BLOCKS:
-            self.flush()
-            if tag == "figure":
-                self.figure = None
+            # The end of an element around a figure ends the figure.
+            while self.figures and tag not in self.figures[-1].inside and tag not in LOOSE:
+                self.close_figure()
+            self.block()
+            if self.figures and tag in self.figures[-1].inside:
+                inside = self.figures[-1].inside
+                del inside[len(inside) - 1 - inside[::-1].index(tag) :]
 
     def handle_data(self, data) -> None:
         if not self.skip:
-            (self.words if self.caption is None else self.caption).append(data)
+            (self.caption.captions[-1][1] if self.caption else self.words).append(data)
+
+    def finish(self) -> None:
+        while self.figures:
+            self.close_figure()
+        self.flush()
 
 
 def html_sequence(html: str | None) -> list[dict]:
@@ -92,7 +151,7 @@ def html_sequence(html: str | None) -> list[dict]:
     parser = _Sequence()
     parser.feed(html or "")
     parser.close()
-    parser.flush()
+    parser.finish()
     return [{"position": i} | item for i, item in enumerate(parser.items)]
 
 
@@ -191,6 +250,23 @@ def resolve(references: DataFrame, facts: DataFrame) -> DataFrame:
     return references.join(one, "digest", "left")
 
 
+def resolve_sequences(sequences: DataFrame, stored: DataFrame) -> DataFrame:
+    """The rows (id, items) of ``parse_sequences`` with each media item's ``payload`` from stored (digest, media), in the same order.
+
+    Only media items meet the payloads, which are one row a digest in a table of
+    their own, so a digest that many pages share can be split.  A sequence is
+    put together again by its row; payload is null where nothing is stored.
+    """
+    rows = save(sequences.select(F.monotonically_increasing_id().alias("row"), "id", "items"), "sequences")
+    one = save(stored.groupBy("digest").agg(F.first("media").alias("payload")), "payloads")
+    items = rows.select("row", F.explode("items").alias("item")).select("row", "item.*")
+    digest = F.when(F.startswith("ref", F.lit(SCHEME)), F.substring("ref", len(SCHEME) + 1, 64))
+    media = items.where("kind = 'media'").withColumn("digest", digest).join(one, "digest", "left").drop("digest")
+    every = items.where("kind <> 'media'").unionByName(media, allowMissingColumns=True)
+    whole = every.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("position", "kind", "text", "ref", "caption", "payload"))).alias("resolved"))
+    return rows.join(whole, "row", "left").select("id", F.coalesce("resolved", F.array().cast(f"array<struct<{SEQUENCE[13:-2]},payload:binary>>")).alias("items"))
+
+
 def documents_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store each text as media, refer to it from an HTML page, parse the page and resolve the reference."""
     put = save(text_to_media(docs, id_col, text_col), "media")

@@ -47,17 +47,16 @@ def op3_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.encode_and_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-#: Distinct shingles of five words; {rows} has id and text.
-SHINGLES_SQL = """
-SELECT DISTINCT id, array_to_string(w[i:i+4], ' ') AS s
-FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i
-      FROM (SELECT id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM ({rows})))
-"""
+#: Words of a text in lower case, and its distinct shingles of k words.
+WORDS_SQL = r"regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_\x{80}-\x{10FFFF}]+')"
+SHINGLES_SQL = "SELECT DISTINCT id, k, array_to_string(w[i:i+k-1], ' ') AS s FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM {rows})"
 OP4_SQL = f"""
-WITH d AS ({SHINGLES_SQL.format(rows="SELECT doc_id AS id, text FROM documents")}),
-b AS ({SHINGLES_SQL.format(rows="SELECT item_id AS id, text FROM benchmark")}),
+WITH bw AS (SELECT id, w, least(5, len(w)) AS k FROM (SELECT item_id AS id, {WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0),
+dw AS (SELECT doc_id AS id, {WORDS_SQL} AS w, k FROM documents, (SELECT DISTINCT k FROM bw)),
+d AS ({SHINGLES_SQL.format(rows="dw")}),
+b AS ({SHINGLES_SQL.format(rows="bw")}),
 n AS (SELECT id, count(*) AS size FROM b GROUP BY id),
-m AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared FROM d JOIN b ON d.s = b.s GROUP BY d.id, b.id)
+m AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared FROM d JOIN b ON d.k = b.k AND d.s = b.s GROUP BY d.id, b.id)
 SELECT doc_id, item_id, shared, size, CAST(shared AS DOUBLE) / size AS containment
 FROM m JOIN n ON n.id = m.item_id WHERE 100 * shared >= 80 * size
 """

@@ -52,6 +52,8 @@ from pointspark.llm.subwords import blocks
 K = 2
 ALPHA = 1.0
 WINDOW = 12.0
+#: Characters of texts that are searched side by side.
+BLOCK = 500_000
 #: Edges that a worker remembers at most inside a task; between tasks it holds the words of the last block only.
 MEMO_EDGES = 10_000_000
 SPACE = "▁"
@@ -155,6 +157,7 @@ class Lattices:
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.least, self.longest = min(weight.values()), longest
         self.unknown = model.unk_id()
+        self.ascii_id = np.array([self.byte_id.get(i, self.unknown) for i in range(128)], np.int32)
         self.size = size
         self.trie = Trie(pieces)
         self.forget()
@@ -259,8 +262,8 @@ class Lattices:
         if len(missed):
             lacking = [words[i] for i in missed.tolist()]
             fresh = list(dict.fromkeys(lacking))
-            for at in range(0, len(fresh), 20_000):
-                self._add(fresh[at : at + 20_000])
+            for at in range(0, len(fresh), 8_000):
+                self._add(fresh[at : at + 8_000])
             found[missed] = np.fromiter(map(self.start.__getitem__, lacking), np.int64, len(lacking))
         return found
 
@@ -283,6 +286,10 @@ class Lattices:
         odd = np.flatnonzero(found >= self.size)
         if not len(odd):
             return found
+        codes = found[odd] - self.size
+        if codes.max() < 128:
+            found[odd] = self.ascii_id[codes]
+            return found
         parts, at = [], 0
         for i in odd.tolist():
             parts += [found[at:i], np.array(self.bytes_of(chr(int(found[i]) - self.size)), np.int64)]
@@ -509,7 +516,7 @@ def _sampled(batches: Iterator[pa.RecordBatch], path: str, k: int, alpha: float)
         for batch in batches:
             ids, keys, texts = (batch.column(i).to_pylist() for i in range(3))
             at = 0
-            for part in blocks(texts):
+            for part in blocks(texts, BLOCK):
                 own = slice(at, at + len(part))
                 at += len(part)
                 found = sample(lattices, part, [x & (2**64 - 1) for x in keys[own]], k)

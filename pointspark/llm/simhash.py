@@ -11,7 +11,9 @@ keys; linked fingerprints meet under at least one.
 
 Documents with equal fingerprints are one row from there on.  What shares a key
 is verified by the number of differing bits in the sorted partition, and only a
-spanning forest of each bucket's links is emitted, not its pairs.
+spanning forest of each bucket's links is emitted, not its pairs.  A key with
+more members than a task compares is dealt into blocks, whose pairs are groups
+of their own.
 
 Defined results: a null or blank text has fingerprint zero; a null document id
 is in its component but never names it, unless all its ids are null; repeated
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 
 from pointspark.llm.common import UPPER, save
 from pointspark.llm.components import connected_components
+from pointspark.llm.similar import similar_duplicates
 
 SHINGLE = 4
 SEED = 42
@@ -43,28 +46,50 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 GENERATOR = 0b110001110101
 #: Buckets up to this size compare neighbours at growing distance; larger ones search by frontier.
 SMALL = 64
-#: Members of one key that a task holds; those beyond are compared with them and go to the next round.
+#: Members of one key that a task compares; a key with more is cut into blocks, and each pair of blocks is a group of its own.
 HELD = 100_000
+#: Bytes of a text that are cut into words at a time.
+PIECE = 1 << 20
 #: Fingerprints that a task remembers as joined, so that it emits a link once.
 REMEMBERED = 1_000_000
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_WORD, _BLANK = re.compile(rb"[^\x20\x09-\x0D]+"), re.compile(rb"[\x20\x09-\x0D]")
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included."""
-    words = _WORD.findall((text or "").encode().translate(_LOWER))
-    if not words:
-        return 0
-    joined = b" ".join(words)
+def _word_lists(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in lists of about PIECE bytes, cut at blanks."""
+    at = 0
+    while at < len(raw):
+        blank = _BLANK.search(raw, at + PIECE)
+        end = blank.start() if blank else len(raw)
+        yield _WORD.findall(raw[at:end].translate(_LOWER))
+        at = end
+
+
+def _bit_counts(words: list[bytes], shingle: int) -> tuple[np.ndarray, int]:
+    """(how often each bit is set, how many) of the hashes of the shingles of at least ``shingle`` words."""
+    joined, n = b" ".join(words), len(words) - shingle + 1
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
-    n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    spans = zip((ends - sizes)[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
+    spans = zip((ends - sizes)[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64), n
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats included; a long text is gone through by pieces."""
+    ones, n, words = np.zeros(64, np.int64), 0, []
+    for more in _word_lists((text or "").encode()):
+        words += more
+        if len(words) >= shingle:
+            own, number = _bit_counts(words, shingle)
+            ones, n, words = ones + own, n + number, words[len(words) - shingle + 1 :]
+    if not n:
+        if not words:
+            return 0
+        ones, n = _bit_counts(words, len(words))
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
@@ -157,28 +182,23 @@ def _near(a, b) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= MAX_BITS
 
 
-def forest(members: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """A spanning forest (from, to arrays) of one bucket's links, and each member's tree."""
-    tree = np.full(len(members), -1)
-    rest, links, n = np.arange(len(members)), [], 0
+def forest(members: np.ndarray) -> list[np.ndarray]:
+    """A spanning forest (from, to arrays) of one bucket's links."""
+    rest, links = members, []
     while len(rest):
-        frontier, rest = [int(rest[0])], rest[1:]
-        tree[frontier[0]] = n
+        frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             at = frontier.pop()
-            near = _near(members[rest], members[at])
+            near = _near(rest, at)
             if near.any():
-                found = rest[near]
-                tree[found] = n
-                links.append(np.stack([np.full(len(found), members[at]), members[found]]))
+                found, rest = rest[near], rest[~near]
+                links.append(np.stack([np.full(len(found), at, np.uint64), found]))
                 frontier += found.tolist()
-                rest = rest[~near]
-        n += 1
-    return links, tree
+    return links
 
 
-def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by key -> links (a, b), and rows (key, fp) of oversize keys for another round."""
+def bucket_links(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp) sorted by key -> links (a, b), and the rows (key, fp) of keys with more than ``most`` members as they are."""
     joined = _Joined()
     names = ["a", "b", "again"]
 
@@ -192,7 +212,7 @@ def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(start, len(key)))
         for at, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            for a, b in forest(fp[at : at + n])[0]:
+            for a, b in forest(fp[at : at + n]):
                 out += joined.new(a, b)
         small = np.repeat(size <= SMALL, size) & np.repeat(size > 1, size)
         key, fp = key[small], fp[small]
@@ -206,37 +226,53 @@ def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    held = tree = None
+    heavy = None
     for batch in batches:
         key = np.concatenate([key, batch.column(0).to_numpy()])
         fp = np.concatenate([fp, batch.column(1).to_numpy().view(np.uint64)])
-        if held is not None:
-            n = int(np.searchsorted(key, held[0], "right"))
-            for at in range(0, n, 64):
-                near = _near(fp[at : min(at + 64, n), None], held[1])
-                pairs = [(int(x), int(held[1][hit[i]])) for x, row in zip(fp[at:n], near, strict=False) if row.any() for hit in [np.flatnonzero(row)] for i in np.unique(tree[hit], return_index=True)[1]]
-                if pairs:
-                    yield rows(joined.new(*np.array(pairs, np.uint64).T), False)
-            if n:
-                yield rows([(held[0], int(x)) for x in fp[:n]], True)
+        if len(key) and heavy is None:
+            cut = int(np.searchsorted(key, key[-1], "left"))
+            if cut:
+                yield rows(whole(key[:cut], fp[:cut]), False)
+                key, fp = key[cut:], fp[cut:]
+            heavy = int(key[0]) if len(key) > most else None
+        while heavy is not None:
+            n = int(np.searchsorted(key, heavy, "right"))
+            yield rows([(heavy, x) for x in fp[:n].tolist()], True)
             key, fp = key[n:], fp[n:]
-            held = None if len(key) else held
-        if not len(key):
-            continue
-        cut = int(np.searchsorted(key, key[-1], "left"))
-        if cut:
+            if not len(key):
+                break
+            cut = int(np.searchsorted(key, key[-1], "left"))
             yield rows(whole(key[:cut], fp[:cut]), False)
             key, fp = key[cut:], fp[cut:]
-        if len(key) > HELD:
-            links, tree = forest(fp)
-            for a, b in links:
-                yield rows(joined.new(a, b), False)
-            held, key, fp = (int(key[0]), fp), key[:0], fp[:0]
+            heavy = int(key[0]) if len(key) > most else None
     if len(key):
         yield rows(whole(key, fp), False)
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
+def heavy_links(members: DataFrame, most: int) -> DataFrame:
+    """(a, b): links of the members (key, fp) of keys with more than ``most``, by pairs of blocks.
+
+    A key of n members is dealt into blocks of half of ``most``; a member goes to
+    each pair that its block is in, so any two meet, and no group has more than
+    about ``most``.
+    """
+    members = save(members, "heavy-keys")
+    blocks = save(members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") * 2 / most), F.lit(2)).cast("int").alias("blocks")), "heavy-blocks")
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    dealt = members.join(blocks, "key").select("key", "fp", "blocks", block.alias("block"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))
+    pairs = dealt.select("key", "fp", "block", F.explode(others).alias("other")).select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "fp")
+
+    def link(table: pa.Table) -> pa.Table:
+        found = forest(np.sort(table["fp"].to_numpy()).view(np.uint64))
+        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.uint64)
+        return pa.table([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    return pairs.groupBy("key", "x", "y").applyInArrow(link, "a long, b long")
+
+
+def fingerprint_links(fps: DataFrame, most: int = HELD) -> DataFrame:
     """(a, b): links of distinct fingerprints (fp) that connect all that differ in at most four bits."""
     spark = fps.sparkSession
 
@@ -248,23 +284,28 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
                 key, row = fuzzy_keys(part)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row].view(np.int64))], ["key", "fp"])
 
-    rows, links = fps.select("fp").mapInArrow(keyed, "key long, fp long"), None
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    while True:
-        dealt = rows.repartition(n, "key").sortWithinPartitions("key", "fp")
-        found = save(dealt.mapInArrow(bucket_links, "a long, b long, again boolean"), "fp-links")
-        links = found.where("not again") if links is None else links.union(found.where("not again"))
-        rows = found.where("again").select(F.col("a").alias("key"), F.col("b").alias("fp"))
-        if rows.isEmpty():
-            return links.select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, fingerprint, component_id) of each row; component_id is the smallest document id reachable over links."""
+    dealt = fps.select("fp").mapInArrow(keyed, "key long, fp long").repartition(n, "key").sortWithinPartitions("key", "fp")
+    found = save(dealt.mapInArrow(lambda batches: bucket_links(batches, most), "a long, b long, again boolean"), "fp-links")
+    links = found.where("not again").select("a", "b")
+    heavy = found.where("again").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+    return links if heavy.isEmpty() else links.union(save(heavy_links(heavy, most), "fp-links"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, *, percent: int | None = None) -> DataFrame:
+    """(doc_id, fp, fingerprint, component_id) of each row; component_id is the smallest document id reachable over links.
+
+    With ``percent``, documents are linked that have so high a Jaccard
+    similarity of shingles, in place of few differing bits: ``similar`` finds
+    these, and the result is (doc_id, component_id).
+    """
+    if percent is not None:
+        return similar_duplicates(docs, id_col, text_col, shingle=shingle, percent=percent)
     own = save(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = save(own.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "distinct-fps")
     roots = connected_components(fingerprint_links(distinct))
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "smallest", F.coalesce("root", "fp").alias("root"))
-    smallest = classes.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    named = classes.join(smallest, "root").select("fp", "component_id")
+    # Written tables, so that both sides of each join come from exchanges and a hot root or fingerprint is split.
+    smallest = save(classes.groupBy("root").agg(F.min("smallest").alias("component_id")), "smallest")
+    named = save(classes.join(smallest, "root").select("fp", "component_id"), "named-fps")
     return own.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

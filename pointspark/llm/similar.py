@@ -7,9 +7,14 @@ minima is equal, which a pair at exactly 0.8 misses with probability
 (1 - 0.8 ** 5) ** 25 = 0.00005, and a more similar one less often.
 
 A bucket's members are first compared with its least and greatest member.
-Where its members still are in several components, all pairs between those are
-compared; none is left out.  A pair is linked by the 64-bit hashes of its
-shingles, in exact integers.
+Where its members still are in several components, they are compared with each
+other inside a task, which emits a spanning forest, not pairs; a large bucket
+is dealt into blocks, whose pairs are groups of their own.  No pair is left
+out.  A pair is linked by the 64-bit hashes of its shingles, in exact integers.
+
+This is the way of ``simhash.near_duplicates`` where a similarity is asked
+for: at a Jaccard similarity of 0.8 the fingerprints of a pair differ in about
+ten bits, so keys that bridge four bits miss most pairs.
 
 Defined results: wordless texts are alike; a null document id is in its
 component but never names it, unless all its ids are null; repeated rows are
@@ -34,6 +39,8 @@ SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 25, 5
 SEED = 42
+#: Hashes of a bucket's sets that one task compares.
+HELD = 4_000_000
 #: Shingles that meet all hash functions at a time.
 BLOCK = 4096
 
@@ -88,6 +95,52 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "left", "right").mapInArrow(check, "a long, b long, alike boolean")
 
 
+def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of places, of the sets (sorted hashes) that are similar."""
+    if not sets:
+        return []
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    marked = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
+    rest, links = list(range(len(sets))), []
+    while rest:
+        frontier, rest = [rest[0]], rest[1:]
+        while frontier and rest:
+            at = frontier.pop()
+            own = codes[ends[at] - sizes[at] : ends[at]]
+            marked[own] = 1
+            near = set()
+            for i in rest:
+                low, high = sorted((sizes[at], sizes[i]))
+                if 100 * low >= percent * high:
+                    shared = marked[codes[ends[i] - sizes[i] : ends[i]]].sum()
+                    if 100 * shared >= percent * (sizes[at] + sizes[i] - shared):
+                        near.add(i)
+            marked[own] = 0
+            links += [(at, i) for i in near]
+            frontier += near
+            rest = [i for i in rest if i not in near]
+    return links
+
+
+def bucket_links(rest: DataFrame, sets: DataFrame, percent: int, most: int = HELD) -> DataFrame:
+    """(a, b): links inside the buckets of rows (key, set, size), no group with much more than ``most`` hashes."""
+    blocks = save(rest.groupBy("key").agg(F.when(F.sum("size") <= most, 1).otherwise(F.ceil(F.sum("size") * 2 / most)).cast("int").alias("blocks")), "blocks")
+    block = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
+    dealt = rest.join(blocks, "key").select("key", "set", "blocks", block.alias("block"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("block")) | (F.col("blocks") == 1))
+    pairs = dealt.select("key", "set", "block", F.explode(others).alias("other")).select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "set")
+
+    def link(table: pa.Table) -> pa.Table:
+        names = table["set"].to_numpy()
+        found = forest([np.frombuffer(x.as_buffer(), np.uint64) for x in table["hashes"]], percent)
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
+
+    return pairs.join(sets, "set").select("key", "x", "y", "set", "hashes").groupBy("key", "x", "y").applyInArrow(link, "a long, b long")
+
+
 def similar_links(own: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b): links of distinct sets that connect all that are similar, for rows of ``sketches``."""
     keys = save(own.dropDuplicates(["set"]).select("set", "size", F.explode("bands").alias("key")), "bands")
@@ -113,11 +166,8 @@ def similar_links(own: DataFrame, shingle: int, percent: int) -> DataFrame:
     placed = members.select("key", "set", "size").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     # A bucket of one component has nothing more to tell.
     split = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
-    rest = save(placed.join(split, "key"), "split")
-    x, y = rest.alias("x"), rest.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.root") != F.col("y.root")) & near(F.col("x.size"), F.col("y.size")))
-    others = met.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    return links.union(save(verify(others, sets, percent), "checked").where("alike").select("a", "b"))
+    rest = save(placed.join(split, "key").select("key", "set", "size"), "split")
+    return links.union(save(bucket_links(rest, sets, percent), "bucket-links"))
 
 
 def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -125,5 +175,7 @@ def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = save(sketches(docs, id_col, text_col, shingle), "sketches")
     roots = connected_components(similar_links(own, shingle, percent)).withColumnRenamed("node", "set")
     classes = own.groupBy("set").agg(F.min("doc_id").alias("smallest")).join(roots, "set", "left").select("set", "smallest", F.coalesce("root", "set").alias("root"))
-    smallest = classes.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    return own.select("doc_id", "set").join(classes.join(smallest, "root").select("set", "component_id"), "set").select("doc_id", "component_id")
+    # Written tables, so that both sides of each join come from exchanges and a hot root or set is split.
+    smallest = save(classes.groupBy("root").agg(F.min("smallest").alias("component_id")), "smallest")
+    named = save(classes.join(smallest, "root").select("set", "component_id"), "named-sets")
+    return own.select("doc_id", "set").join(named, "set").select("doc_id", "component_id")

@@ -22,16 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointspark.llm import subwords
-from pointspark.llm.common import save
+from pointspark.llm.common import row_key, save
 
 CHUNK = 32_768
 OVERLAP = 512
 MARGIN = 64
 WIDEN = 8
+#: Chunks that leave ``cut`` together.
+BATCH = 256
 
 
 def scan(memo: subwords.CountMemo, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -58,21 +61,38 @@ def scan(memo: subwords.CountMemo, text: str) -> tuple[np.ndarray, np.ndarray]:
     return ends[order], totals[order]
 
 
-FACTS = "doc_id long, row_key long, chunk int, tokens long, head array<struct<at:long,n:long>>, tail array<struct<at:long,n:long>>"
+FACTS = "row_key string, chunk int, tokens long, head array<struct<at:long,n:long>>, tail array<struct<at:long,n:long>>"
+CHUNKS = "row_key string, chunk int, begins long, last boolean, text string"
+
+
+def whole_count(memo: subwords.CountMemo, text: str) -> int:
+    pieces = subwords.spaced_pieces(text)
+    return (memo.count(pieces[0]) if pieces[0] else 0) + sum(map(memo.__getitem__, pieces[1:]))
+
+
+def whole_counts(texts: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens) of texts that are not cut."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = subwords.count_memo(tokenizer_path)
+        for batch in batches:
+            n = [whole_count(memo, x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(batch.column(1)).cast(pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+
+    return texts.select("doc_id", "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
 
 
 def chunk_counts(chunks: DataFrame, tokenizer_path: str, overlap: int) -> DataFrame:
-    """For chunks (doc_id, row_key, chunk, begins, last, text): their tokens, and boundaries in the overlap before and behind."""
+    """For rows of CHUNKS: their tokens, and boundaries in the overlap before and behind."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = subwords.count_memo(tokenizer_path)
         spots = pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())]))
         for batch in batches:
             tokens, heads, tails = [], [], []
-            for chunk, begins, last, text in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4, 5)], strict=True):
+            for chunk, begins, last, text in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3, 4)], strict=True):
                 if chunk == 0 and last:
-                    pieces = subwords.spaced_pieces(text)
-                    tokens.append((memo.count(pieces[0]) if pieces[0] else 0) + sum(map(memo.__getitem__, pieces[1:])))
+                    tokens.append(whole_count(memo, text))
                     heads.append([])
                     tails.append([])
                     continue
@@ -82,25 +102,38 @@ def chunk_counts(chunks: DataFrame, tokenizer_path: str, overlap: int) -> DataFr
                 heads.append(spot(ends <= overlap) if chunk else [])
                 tails.append([] if last else spot((ends > len(text) - overlap) & (ends < len(text) - MARGIN)))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(3)], pa.array(tokens, pa.int64()), pa.array(heads, spots), pa.array(tails, spots)],
-                ["doc_id", "row_key", "chunk", "tokens", "head", "tail"],
+                [batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), pa.array(heads, spots), pa.array(tails, spots)],
+                ["row_key", "chunk", "tokens", "head", "tail"],
             )
 
-    return chunks.select("doc_id", "row_key", "chunk", "begins", "last", "text").mapInArrow(count, FACTS)
+    return chunks.select("row_key", "chunk", "begins", "last", "text").mapInArrow(count, FACTS)
 
 
 def cut(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """Rows (doc_id, row_key, text) into overlapping chunks; a text of at most ``chunk`` characters is one."""
-    size = F.length("text")
-    last = F.when(size <= chunk, 0).otherwise(F.ceil((size - overlap) / (chunk - overlap)) - 1).cast("int")
-    numbered = texts.select("doc_id", "row_key", "text", last.alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
-    begins = F.col("chunk") * F.lit(chunk - overlap)
-    piece = F.when(F.col("n") == 0, F.col("text")).otherwise(F.substring("text", begins + 1, F.lit(chunk)))
-    return numbered.select("doc_id", "row_key", "chunk", begins.cast("long").alias("begins"), (F.col("chunk") == F.col("n")).alias("last"), piece.alias("text"))
+    """Rows (row_key, text) into overlapping chunks (CHUNKS), dealt over tasks by text and chunk.
+
+    A text of at most ``chunk`` characters is one chunk.  Each text is gone
+    through once, and its chunks leave in batches, so that no more than the text
+    itself is held.
+    """
+    names = [x.split()[0] for x in CHUNKS.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.string()]
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                key, text = key.as_py(), text.as_py()
+                begins = range(0, max(1, len(text) - overlap), chunk - overlap)
+                for at in range(0, len(begins), BATCH):
+                    rows = [(key, at + i, b, at + i == len(begins) - 1, text[b : b + chunk]) for i, b in enumerate(begins[at : at + BATCH])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.select("row_key", "text").mapInArrow(pieces, CHUNKS).repartition(n, "row_key", "chunk")
 
 
 def splice(facts: DataFrame) -> DataFrame:
-    """(doc_id, row_key, n_tokens): null where a junction has no common boundary.
+    """(row_key, n_tokens): null where a junction has no common boundary.
 
     Neighbours meet by an equi-join on (row_key, chunk); a document's chunks are
     only summed.
@@ -113,9 +146,9 @@ def splice(facts: DataFrame) -> DataFrame:
     junctions = left.join(right, ["row_key", "chunk"]).withColumn("spot", spot)
     lost = junctions.select("row_key", (F.col("all_left") - F.col("spot.n") + skipped).alias("lost"))
     lost = lost.groupBy("row_key").agg(F.sum("lost").alias("lost"), F.max(F.col("lost").isNull()).alias("failed"))
-    sums = facts.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.sum("tokens").alias("tokens"))
+    sums = facts.groupBy("row_key").agg(F.sum("tokens").alias("tokens"))
     n = F.when(F.coalesce("failed", F.lit(False)), None).otherwise(F.col("tokens") - F.coalesce("lost", F.lit(0)))
-    return sums.join(lost, "row_key", "left").select("doc_id", "row_key", n.alias("n_tokens"))
+    return sums.join(lost, "row_key", "left").select("row_key", n.alias("n_tokens"))
 
 
 def long_counts(texts: DataFrame, tokenizer_path: str, chunk: int, overlap: int) -> DataFrame:
@@ -140,11 +173,8 @@ def count_tokens(
     if not MARGIN < overlap < chunk:
         raise ValueError("the overlap must be longer than the margin and shorter than a chunk")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    short = rows.where(F.length("text") <= chunk)
-    chunks = cut(short.select("doc_id", F.octet_length("text").cast("long").alias("row_key"), "text"), chunk, overlap)
-    found = chunk_counts(chunks, tokenizer_path, overlap).select("doc_id", F.col("row_key").alias("n_bytes"), F.col("tokens").alias("n_tokens"))
-    long = rows.where(F.length("text") > chunk)
-    counted = long_counts(long.dropDuplicates(["row_key"]), tokenizer_path, chunk, overlap)
+    found = whole_counts(rows.where(F.length("text") <= chunk), tokenizer_path)
+    long = rows.where(F.length("text") > chunk).withColumn("row_key", row_key("text"))
+    counted = long_counts(long.select("row_key", "text").dropDuplicates(["row_key"]), tokenizer_path, chunk, overlap)
     wide = long.select("doc_id", "row_key", F.octet_length("text").cast("long").alias("n_bytes")).join(counted, "row_key")
     return found.unionByName(wide.select("doc_id", "n_bytes", "n_tokens"))

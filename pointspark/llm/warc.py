@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointspark.llm.common import save
+
 MIN_REVISIT = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
@@ -60,16 +62,18 @@ def write_archive(
     # Partial aggregation keeps one copy of a payload in each map task, so a hot payload is never gathered.
     items.groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
     narrow = items.select("id", "url", "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("length"))
-    chosen = narrow.where(F.col("length") >= min_revisit).groupBy("digest").agg(F.max("id").alias("chosen"))
-    joined = narrow.join(chosen, "digest", "left")
+    large = F.col("length") >= min_revisit
+    # A written table, so that both sides of the join come from exchanges and a hot digest's pages are split.
+    chosen = save(narrow.where(large).groupBy("digest").agg(F.max("id").alias("chosen")), "warc-chosen")
+    joined = narrow.where(large).join(chosen, "digest", "left").unionByName(narrow.where(~large), allowMissingColumns=True)
     kind = F.when((F.col("length") < min_revisit) | F.col("id").eqNullSafe(F.col("chosen")), F.lit("response")).otherwise(F.lit("revisit"))
     joined.select(
         _header(F.col("id"), kind, F.col("url"), F.col("sha1"), F.col("chosen"), F.col("length")).alias("header"), "digest"
     ).write.option("compression", "zstd").parquet(f"{path}/records")
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record, with what its header says and its payload.
+def read_archive(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """One row for each record, with what its header says and its payload; ids are of the type given.
 
     Columns: page_id, url, record_type, refers_to, header, payload,
     payload_bytes, payload_digest (SHA-1 of the payload read).  Fails where the
@@ -87,10 +91,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     records = spark.read.schema("header string, digest string").parquet(f"{path}/records")
     field = lambda name, value: F.regexp_extract("header", f"(?m)^{name}: {value}\r?$", 1)
     return records.join(checked, "digest").select(
-        field("WARC-Record-ID", "<urn:page:(.*)>").try_cast("long").alias("page_id"),
+        field("WARC-Record-ID", "<urn:page:(.*)>").try_cast(id_type).alias("page_id"),
         field("WARC-Target-URI", "(.*)").alias("url"),
         field("WARC-Type", "(.*)").alias("record_type"),
-        field("WARC-Refers-To", "<urn:page:(.*)>").try_cast("long").alias("refers_to"),
+        F.nullif(field("WARC-Refers-To", "<urn:page:(.*)>"), F.lit("")).try_cast(id_type).alias("refers_to"),
         "header",
         "payload",
         "payload_bytes",

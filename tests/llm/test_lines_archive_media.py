@@ -77,6 +77,12 @@ def test_archive_round_trip(spark, tmp_path):
     assert b"\r\nX: y" not in b"".join(records)
 
 
+def test_ids_of_other_types(spark, tmp_path):
+    path = str(tmp_path / "s")
+    warc.write_archive(spark.createDataFrame([("p-1", "u", "x" * 2000), ("p-2", "u", "x" * 2000)], "page_id string, url string, html string"), path)
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.read_archive(spark, path, "string").collect()) == [("p-1", "revisit", "p-2"), ("p-2", "response", None)]
+
+
 def test_a_changed_payload_is_noticed(spark, tmp_path):
     path = str(tmp_path / "b")
     warc.write_archive(spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string"), path)
@@ -96,6 +102,40 @@ def test_html_sequences():
     assert media.html_sequence(None) == media.html_sequence("") == []
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<figure><figcaption>cap</figcaption><img src=a.png></figure>", [("a.png", "cap")]),
+        ("<img src=a alt=x><img src=b><figcaption>stray</figcaption>", [("a", "x"), ("b", None), "stray"]),
+        ("<figure><img src=a><figure><img src=b><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>", [("a", "out"), ("b", "in")]),
+        ("<figure><img src=a><figcaption>cap</figure><p>text</p>", [("a", "cap"), "text"]),
+        ("<div><figure><img src=a><figcaption>cap</div><p>text</p><img src=b>", [("a", "cap"), "text", ("b", None)]),
+        ("<template>x<template>y</template>z</template>after", ["after"]),
+        ("<figure><p>t1</p><figcaption>c <b>d</b></figcaption><table><tr><td>t2</td></tr></table></figure>end", ["t1", "c d", "t2", "end"]),
+        ("<figure><figcaption>one<p>two</p>", ["one two"]),
+        ("<noscript><img src=a alt=b></noscript></figure></figcaption>tail", [("a", "b"), "tail"]),
+    ],
+)
+def test_captions(html, want):
+    found = media.html_sequence(html)
+    assert [(x["ref"], x["caption"]) if x["kind"] == "media" else x["text"] for x in found] == want
+    assert [x["position"] for x in found] == list(range(len(found)))
+
+
+def test_sequences_with_their_payloads(spark):
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(3)], "id long, text string")
+    stored = media.text_to_media(texts, "id", "text")
+    name = {r.id: (f"{media.SCHEME}{r.digest}", r.media) for r in stored.collect()}
+    html = f"<p>one<img src='{name[0][0]}' alt=a>two<figure><img src='{name[1][0]}'><img src='{name[0][0]}'><figcaption>c</figcaption></figure><img src='http://x/y.png'>end"
+    pages = spark.createDataFrame([(1, html), (None, html), (2, ""), (3, None), (1, "<img src='sha256:0'>")], "id long, html string")
+    found = media.resolve_sequences(media.parse_sequences(pages, "id", "html"), stored.union(stored)).collect()
+    assert sorted((r.id or 0, len(r["items"])) for r in found) == [(0, 7), (1, 1), (1, 7), (2, 0), (3, 0)]
+    items = next(r["items"] for r in found if r.id is None)
+    want = ["one", name[0][1], "two", name[1][1], name[0][1], None, "end"]
+    assert [x.payload if x.kind == "media" else x.text for x in items] == want
+    assert [x.position for x in items] == list(range(7)) and [x.caption for x in items] == [None, "a", None, "c", "c", None, None]
+
+
 def test_documents_as_media(spark):
     texts = [None, "", "x", "é" * 288, "é" * 289, "long " * 5000, "x"]
     docs = spark.createDataFrame([(i if i else None, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, media int")

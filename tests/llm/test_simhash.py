@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from pointspark.llm import simhash
 
@@ -30,10 +31,20 @@ def slow_components(fps):
 
 
 def test_fingerprints():
+    assert simhash.fingerprint("a b  c d e " * 40, 5) != simhash.fingerprint("a b  c d e " * 40)
     for text in [None, "", " \n", "One", "a b c", "A b  c\td É é", "x y z w " * 50, "Ünï cödé wörds ÀÉ again and again"]:
         assert simhash.fingerprint(text) == slow_fingerprint(text)
 
 
+def test_long_texts_by_pieces(monkeypatch):
+    text = " ".join(f"Wörd{i * i % 1009}" for i in range(3000)) + " \n" * 300 + "x" * 400 + " end"
+    want = simhash.fingerprint(text)
+    assert want == slow_fingerprint(text)
+    for piece in (1, 7, 64, 1000):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        assert simhash.fingerprint(text) == want and simhash.fingerprint(" a b ") == slow_fingerprint("a b")
+
+
 def test_words_two_bits_apart_share_a_key():
     rng = random.Random(3)
     for bits in (23, 18):
@@ -67,27 +78,32 @@ def test_links_equal_brute_force(spark, small, monkeypatch):
     assert label == slow_components(fps)
 
 
-def test_oversize_buckets(monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(simhash, "HELD", 5)
+def test_heavy_keys_go_by_pairs_of_blocks(spark):
     rng = random.Random(7)
-    fps = sorted({rng.getrandbits(64) & 0x3FF for _ in range(60)})
-    key, links = 3, []
-    rows = fps
-    while rows:
-        batches = [pa.RecordBatch.from_arrays([pa.array([key] * len(x), pa.int64()), pa.array(np.array(x, np.uint64).view(np.int64))], ["key", "fp"]) for x in np.array_split(rows, 9) if len(x)]
-        out = [r for b in simhash.bucket_links(iter(batches)) for r in b.to_pylist()]
-        links += [(r["a"], r["b"]) for r in out if not r["again"]]
-        rows = sorted(r["b"] for r in out if r["again"])
-    label = list(range(len(fps)))
-    for x, y in links:
-        assert (x ^ y).bit_count() <= 4
-        a, b = sorted((label[fps.index(x)], label[fps.index(y)]))
+    fps = sorted({rng.getrandbits(64) & 0x3FF000000000000 | 0x5 for _ in range(300)} | {rng.getrandbits(64) for _ in range(100)} | {rng.getrandbits(20) << 44 for _ in range(200)})
+    table = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
+    label, place = list(range(len(fps))), {int(np.uint64(x).view(np.int64)): i for i, x in enumerate(fps)}
+    for r in simhash.fingerprint_links(table, most=20).collect():
+        assert (fps[place[r.a]] ^ fps[place[r.b]]).bit_count() <= 4
+        a, b = sorted((label[place[r.a]], label[place[r.b]]))
         label = [a if v == b else v for v in label]
     assert label == slow_components(fps)
 
 
+def test_a_bucket_of_many_fingerprints_is_spread_over_tasks(spark):
+    """300,000 members of one key: groups of at most about HELD, in many tasks."""
+    rng = np.random.default_rng(1)
+    fps = np.unique(rng.integers(0, 1 << 62, 300_000))
+    members = spark.createDataFrame([(7, int(x)) for x in fps], "key long, fp long")
+    blocks = -(-len(fps) * 2 // simhash.HELD)
+    block = F.pmod(F.xxhash64("fp"), F.lit(blocks))
+    sizes = [r["count"] for r in members.groupBy(block.alias("b")).count().collect()]
+    assert len(sizes) == blocks and max(sizes) < simhash.HELD * 0.55
+    small = members.limit(4000)
+    plan = simhash.heavy_links(small, 1000)
+    assert plan.count() == 0 and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
 def test_documents(spark):
     rng = random.Random(9)
     base = [" ".join(f"w{rng.randrange(500)}" for _ in range(200)) for _ in range(6)]

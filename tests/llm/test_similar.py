@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from pointspark.llm import simhash, similar
 from pointspark.llm.decontaminate import shingle_strings, words
@@ -39,15 +41,38 @@ def test_components_equal_brute_force(spark):
     assert pairs > 60 and far > 10
     want = sorted((i, min(k for k, other in zip(ids, label, strict=True) if other == own)) for i, own in zip(ids, label, strict=True))
     docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
-    assert sorted(map(tuple, similar.similar_duplicates(docs).collect())) == want
+    assert sorted(map(tuple, simhash.near_duplicates(docs, shingle=5, percent=80).collect())) == want
     assert similar.similar_duplicates(docs.limit(0)).collect() == []
 
 
+def test_buckets_in_blocks_equal_brute_force(spark):
+    """Members of one bucket that are similar in a chain: links by pairs of blocks."""
+    rng = random.Random(6)
+    sets = [np.unique(np.array([rng.randrange(1 << 60) for _ in range(40)], np.uint64))]
+    for i in range(60):
+        x = sets[i].copy() if rng.random() < 0.8 else np.array([rng.randrange(1 << 60) for _ in range(40)], np.uint64)
+        x[rng.sample(range(len(x)), rng.randint(1, 5))] = rng.randrange(1 << 60)
+        sets.append(np.unique(x))
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * shared >= 80 * (len(sets[i]) + len(sets[j]) - shared):
+                label = [label[j] if x == label[i] else x for x in label]
+    rest = spark.createDataFrame([(1, i, len(x)) for i, x in enumerate(sets)], "key long, set long, size long")
+    table = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "set long, hashes binary")
+    for most in (10_000, 300):
+        own = list(range(len(sets)))
+        for r in similar.bucket_links(rest, table, 80, most).collect():
+            own = [min(own[r.a], own[r.b]) if x in (own[r.a], own[r.b]) else x for x in own]
+        assert own == label and len(set(label)) < len(label)
+
+
 def test_pipeline_stage_drops_what_differs_in_more_than_four_bits(spark):
     base = [f"w{i * 37 % 101}" for i in range(90)]
     near = [*base[:45], "edit", *base[46:]]
     texts = [" ".join(base), " ".join(near), " ".join(base[::-1])]
     assert jaccard(*texts[:2]) >= 0.8
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
-    kept = dict(corpus_pipeline.SIMILAR_STAGES)["similar_dedup"](spark, docs, "")
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2]

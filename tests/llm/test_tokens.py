@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pointspark.llm import token_counts, token_files
@@ -42,6 +43,27 @@ def test_counts_equal_the_library(spark, chunk, overlap):
     assert len(found) == len(TEXTS)
 
 
+def test_long_texts_with_the_default_chunk(spark):
+    rng = np.random.default_rng(3)
+    words = np.array(["alpha", "beta,", "gamma", "漢字", "É", "12345", "\n\n", "x" * 40, "<|endoftext|>", "end."])
+    texts = [" ".join(words[rng.integers(0, 10, n)]) for n in (9_000, 40_000, 90_000)] + ["y" * 300_000]
+    library = Tokenizer.from_file(BYTE)
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, BYTE).collect()} == want
+
+
+def test_chunks_of_one_text_go_to_several_tasks(spark):
+    text = "漢字 and words " * 100_000
+    chunks = token_counts.cut(spark.createDataFrame([("k", text)], "row_key string, text string"), token_counts.CHUNK, token_counts.OVERLAP)
+    rows = chunks.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in rows}) == 4
+    step = token_counts.CHUNK - token_counts.OVERLAP
+    assert sorted((r.chunk, r.begins) for r in rows) == [(i, i * step) for i in range(len(rows))]
+    assert all(text[r.begins : r.begins + token_counts.CHUNK] == r.text for r in rows)
+    assert [r.chunk for r in rows if r["last"]] == [len(rows) - 1] and max(r.begins + len(r.text) for r in rows) == len(text)
+
+
 def test_counts_of_an_empty_table(spark):
     assert token_counts.count_tokens(table(spark).limit(0), BYTE).collect() == []
 
