@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,16 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """spark.checkpoint.dir; only where all run in one process, as in tests, a temporary folder takes its place."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return path.rstrip("/") if path else _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="pointspark-"))
+    if path:
+        return path.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="pointspark-")
+    return _OWN[context.applicationId]
 
 
 def save(df: DataFrame, name: str) -> DataFrame:

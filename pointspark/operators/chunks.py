@@ -31,10 +31,12 @@ def chunk_sizes(density: DataFrame, config: EvalConfig) -> DataFrame:
 
 
 def axis_steps(sized: DataFrame, config: EvalConfig) -> DataFrame:
-    """How many chunk positions each axis has, at most ``max_steps``."""
+    """How many chunk positions each axis has, at most ``max_steps`` if that is set."""
     step = F.col("size") * (1 - config.overlap)
-    count = {f"k_{a}": F.least(F.ceil((F.col(f"max_{a}") - F.col(f"min_{a}")) / step) + 1, F.lit(config.max_steps)).cast("int") for a in AXES}
-    return sized.withColumns(count)
+    count = {f"k_{a}": F.ceil((F.col(f"max_{a}") - F.col(f"min_{a}")) / step) + 1 for a in AXES}
+    if config.max_steps is not None:
+        count = {k: F.least(v, F.lit(config.max_steps)) for k, v in count.items()}
+    return sized.withColumns({k: v.cast("int") for k, v in count.items()})
 
 
 def _position(axis: str, index):

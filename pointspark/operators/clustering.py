@@ -1,57 +1,144 @@
-"""Density clustering of points within scenes (DBSCAN), by grid cells and label propagation."""
+"""Density clustering of points within scenes (DBSCAN) by grid cells, without storing pairs of points.
+
+Points of one cell of edge eps / sqrt(3) are all within eps of each other.  So
+a cell with ``min_samples`` points has only core points, and the core points of
+a cell are one node of the graph of clusters.  Neighbours are counted only for
+points of sparser cells, of which a cell has fewer than ``min_samples``, so the
+comparisons stay in proportion to the points, however dense they are.  Two
+cells are linked if extreme points of theirs are near; pairs of points are
+compared only between cells that this leaves in different clusters, and only
+those near the other cell.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import product
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointspark.functions.shared import save
 from pointspark.operators.points import AXES
 
+KEYS = ["scene_id", "point_idx"]
+CELL = ["scene_id", *[f"q{a}" for a in AXES]]
 
-def eps_neighbors(points: DataFrame, eps: float) -> DataFrame:
-    """(scene_id, point_idx, other): all pairs within eps, self included; an equi-join on 27 grid cells."""
-    cell = [F.floor(F.col(a) / eps).alias(f"c{a}") for a in AXES]
-    placed = points.select("scene_id", "point_idx", *AXES, *cell)
-    around = placed
+
+def _square(left: str, right: str) -> Column:
+    """The squared distance between the points of two prefixes."""
+    one = lambda a: (F.col(f"{left}{a}") - F.col(f"{right}{a}")) * (F.col(f"{left}{a}") - F.col(f"{right}{a}"))
+    return one("x") + one("y") + one("z")
+
+
+def near_pairs(points: DataFrame, others: DataFrame, eps: float) -> DataFrame:
+    """(scene_id, point_idx, other): each point with the others within eps; an equi-join on 27 grid cells."""
+    cell = {f"c{a}": F.floor(F.col(a) / eps) for a in AXES}
+    around = points.select(*KEYS, *AXES).withColumns(cell)
     for a in AXES:
         around = around.withColumn(f"c{a}", F.explode(F.array(*[F.col(f"c{a}") + d for d in (-1, 0, 1)])))
-    other = placed.select("scene_id", F.col("point_idx").alias("other"), *[F.col(a).alias(f"o{a}") for a in AXES], *[f"c{a}" for a in AXES])
-    square = sum(((F.col(a) - F.col(f"o{a}")) * (F.col(a) - F.col(f"o{a}")) for a in AXES[1:]), (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")))
-    pairs = around.join(other, ["scene_id", *[f"c{a}" for a in AXES]])
-    return pairs.where(square <= eps * eps).select("scene_id", "point_idx", "other")
+    there = others.withColumns(cell).select("scene_id", F.col("point_idx").alias("other"), *[F.col(a).alias(f"o{a}") for a in AXES], *cell)
+    return around.join(there, ["scene_id", *cell]).where(_square("", "o") <= eps * eps).select(*KEYS, "other")
+
+
+def eps_neighbors(points: DataFrame, eps: float) -> DataFrame:
+    """(scene_id, point_idx, other): all pairs within eps, self included."""
+    return near_pairs(points, points, eps)
+
+
+def core_points(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
+    """(scene_id, point_idx) of the points with at least ``min_samples`` within eps, themselves included."""
+    return _core_and_rest(points, eps, min_samples)[0].select(*KEYS)
 
 
-def core_points(neighbors: DataFrame, min_samples: int) -> DataFrame:
-    return neighbors.groupBy("scene_id", "point_idx").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("scene_id", "point_idx")
+def _core_and_rest(points: DataFrame, eps: float, min_samples: int) -> tuple[DataFrame, DataFrame]:
+    """Core points and the others, both with their cells."""
+    # A little less than eps / sqrt(3), so that rounding brings no two points of a cell apart.
+    edge = eps / 3**0.5 * (1 - 1e-9)
+    placed = save(points.select(*KEYS, *AXES, *[F.floor(F.col(a) / edge).alias(f"q{a}") for a in AXES]), "placed")
+    crowded = save(placed.groupBy(*CELL).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).drop("n"), "crowded")
+    sparse = save(placed.join(crowded, CELL, "left_anti"), "sparse")
+    counted = near_pairs(sparse, placed, eps).groupBy(*KEYS).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(*KEYS)
+    counted = save(counted, "counted")
+    core = placed.join(crowded, CELL, "left_semi").unionByName(sparse.join(counted, KEYS, "left_semi"))
+    return save(core, "core"), sparse.join(counted, KEYS, "left_anti")
+
+
+def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(scene_id, node, root): the least node reachable over links (scene_id, a, b); each round is written."""
+    both = save(links.union(links.select("scene_id", "b", "a")).toDF("scene_id", "node", "other").distinct(), "links")
+    labels = nodes.select("scene_id", "node", F.col("node").alias("root"))
+    while True:
+        seen = labels.select("scene_id", F.col("node").alias("other"), F.col("root").alias("near"))
+        least = both.join(seen, ["scene_id", "other"]).groupBy("scene_id", "node").agg(F.min("near").alias("near"))
+        met = labels.join(least, ["scene_id", "node"], "left").select("scene_id", "node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+        above = labels.select("scene_id", F.col("node").alias("root"), F.col("root").alias("up"))
+        step = met.join(above, ["scene_id", "root"]).select("scene_id", "node", F.least("root", "up").alias("root"), (F.least("root", "up") < F.col("was")).alias("moved"))
+        labels = save(step, "roots")
+        if labels.where("moved").isEmpty():
+            return labels.drop("moved")
+        labels = labels.drop("moved")
+
+
+def _cell_pairs(cells: DataFrame, eps: float) -> DataFrame:
+    """(scene_id, a, b, sure, boxes of both) of cells that may hold points within eps: sure, if extreme points of theirs are."""
+    half = [d for d in product(range(-2, 3), repeat=3) if d > (0, 0, 0)]
+    # Along the longest axis of the way, the first cell's extreme point on that side and the second's on the other.
+    lead = [max(range(3), key=lambda i: (abs(d[i]), -i)) for d in half]
+    side = [2 * i + (d[i] > 0) for d, i in zip(half, lead, strict=True)]
+    ways = F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for a, v in zip(AXES, d, strict=True)], F.lit(s).alias("side")) for d, s in zip(half, side, strict=True)])
+    box = [f"{w}{a}" for w in ("lo", "hi") for a in AXES]
+    first = cells.select("*", F.explode(ways).alias("way"))
+    tip = F.get("tips", F.col("way.side"))
+    first = first.select("scene_id", F.col("node").alias("a"), *[(F.col(f"q{a}") + F.col(f"way.d{a}")).alias(f"q{a}") for a in AXES], "way.side", *[F.col(c).alias(f"a_{c}") for c in box], *[tip[a].alias(f"s{a}") for a in AXES])
+    second = cells.select("scene_id", F.col("node").alias("b"), *CELL[1:], *[F.col(c).alias(f"b_{c}") for c in box], "tips")
+    gap = sum((F.greatest(F.lit(0.0), F.col(f"b_lo{a}") - F.col(f"a_hi{a}"), F.col(f"a_lo{a}") - F.col(f"b_hi{a}")) ** 2 for a in AXES[1:]), F.greatest(F.lit(0.0), F.col("b_lox") - F.col("a_hix"), F.col("a_lox") - F.col("b_hix")) ** 2)
+    # The box test leaves room for rounding; it only drops what can't be near.
+    met = first.join(second, CELL).where(gap <= eps * eps * (1 + 1e-9))
+    other = F.get("tips", F.col("side").bitwiseXOR(F.lit(1)))
+    met = met.withColumns({f"t{a}": other[a] for a in AXES})
+    return met.select("scene_id", "a", "b", (_square("s", "t") <= eps * eps).alias("sure"), *[f"{w}_{c}" for w in "ab" for c in box])
+
+
+def _core_clusters(core: DataFrame, eps: float) -> DataFrame:
+    """The core points with ``cluster``: the least index of the core points reachable."""
+    ends = [f(F.struct(*AXES), F.col(a)) for a in AXES for f in (F.min_by, F.max_by)]
+    cells = core.groupBy(*CELL).agg(F.min("point_idx").alias("node"), *[F.min(a).alias(f"lo{a}") for a in AXES], *[F.max(a).alias(f"hi{a}") for a in AXES], F.array(*ends).alias("tips"))
+    cells = save(cells, "core-cells")
+    pairs = save(_cell_pairs(cells, eps), "cell-pairs")
+    roots = _components(cells, pairs.where("sure").select("scene_id", "a", "b"))
+    root = lambda name: roots.select("scene_id", F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    open_ = pairs.where("not sure").join(root("a"), ["scene_id", "a"]).join(root("b"), ["scene_id", "b"]).where("a_root <> b_root")
+    open_ = save(open_, "open-pairs")
+    if not open_.isEmpty():
+        members = core.join(cells.select(*CELL, "node"), CELL).select("scene_id", "node", *AXES)
+
+        def side(own: str, other: str, prefix: str) -> DataFrame:
+            """The points of one cell of each pair that are within eps of the other cell's box."""
+            rows = open_.join(members.withColumnRenamed("node", own), ["scene_id", own])
+            keep = F.lit(True)
+            for a in AXES:
+                keep = keep & F.col(a).between(F.col(f"{other}_lo{a}") - eps, F.col(f"{other}_hi{a}") + eps)
+            return rows.where(keep).select("scene_id", "a", "b", "a_root", "b_root", *[F.col(a).alias(f"{prefix}{a}") for a in AXES])
+
+        both = side("a", "b", "s").join(side("b", "a", "t").drop("a_root", "b_root"), ["scene_id", "a", "b"])
+        more = save(both.where(_square("s", "t") <= eps * eps).select("scene_id", F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "more-links")
+        top = _components(roots.select("scene_id", F.col("root").alias("node")).distinct(), more)
+        roots = save(roots.join(top.toDF("scene_id", "root", "cluster"), ["scene_id", "root"]).select("scene_id", "node", F.col("cluster").alias("root")), "joined-roots")
+    named = save(cells.join(roots, ["scene_id", "node"]).select(*CELL, F.col("root").alias("cluster")), "named-cells")
+    return core.join(named, CELL)
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """(scene_id, point_idx, cluster) of the points in a cluster; noise has no row.
 
     A cluster's number is its smallest core index; a border point belongs to
-    the lowest-numbered cluster that reaches it.  Each round of propagation is
-    written, so a lost executor costs one round.
+    the lowest-numbered cluster that reaches it.
     """
-    near = save(eps_neighbors(points, eps), "neighbors")
-    core = save(core_points(near, min_samples), "core")
-    other = core.withColumnRenamed("point_idx", "other")
-    from_core = save(near.join(other, ["scene_id", "other"]), "core-edges")
-    links = save(from_core.join(core, ["scene_id", "point_idx"]), "core-links")
-    labels = core.withColumn("cluster", F.col("point_idx"))
-    while True:
-        seen = labels.select("scene_id", F.col("point_idx").alias("other"), F.col("cluster").alias("near"))
-        least = links.join(seen, ["scene_id", "other"]).groupBy("scene_id", "point_idx").agg(F.min("near").alias("near"))
-        met = labels.join(least, ["scene_id", "point_idx"]).withColumn("was", F.col("cluster")).withColumn("cluster", F.least("cluster", "near")).drop("near")
-        above = labels.select("scene_id", F.col("point_idx").alias("cluster"), F.col("cluster").alias("up"))
-        step = met.join(above, ["scene_id", "cluster"]).select("scene_id", "point_idx", F.least("cluster", "up").alias("cluster"), "was")
-        labels = save(step.withColumn("moved", F.col("cluster") < F.col("was")).drop("was"), "clusters")
-        if labels.where("moved").isEmpty():
-            break
-        labels = labels.drop("moved")
-    seen = labels.select("scene_id", F.col("point_idx").alias("other"), "cluster")
-    # Core points reach themselves, so this holds their own labels, too.
-    return from_core.join(seen, ["scene_id", "other"]).groupBy("scene_id", "point_idx").agg(F.min("cluster").alias("cluster"))
+    core, rest = _core_and_rest(points, eps, min_samples)
+    core = save(_core_clusters(core, eps).select(*KEYS, *AXES, "cluster"), "core-clusters")
+    reached = near_pairs(rest, core, eps).join(core.select("scene_id", F.col("point_idx").alias("other"), "cluster"), ["scene_id", "other"])
+    border = reached.groupBy(*KEYS).agg(F.min("cluster").alias("cluster"))
+    return core.select(*KEYS, "cluster").unionByName(border)
 
 
 def cluster_sizes(clusters: DataFrame) -> DataFrame:

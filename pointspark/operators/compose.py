@@ -17,6 +17,17 @@ def aliens_of(objects: DataFrame, target: str) -> DataFrame:
     return objects.join(objects.where(F.col("object_id") == target).select("object_id"), "object_id", "left_anti")
 
 
+def find_object(names: DataFrame, part: str) -> DataFrame:
+    """(object_id): the first object whose name holds ``part``; no row if none does."""
+    return names.where(F.contains("object_id", F.lit(part))).agg(F.min("object_id").alias("object_id")).where("object_id is not null")
+
+
+def cache_size(samples: DataFrame, aliens: DataFrame, values: int = 6, width: int = 8) -> DataFrame:
+    """(objects, points, megabytes) of the aliens' points with so many values of so many bytes each."""
+    own = samples.join(aliens.select("object_id").distinct(), "object_id", "left_semi")
+    return own.agg(F.countDistinct("object_id").alias("objects"), F.count("*").alias("points"), (F.count("*") * (values * width) / (1024 * 1024)).alias("megabytes"))
+
+
 def alien_subset(objects: DataFrame, target: str, config: ComposeConfig, most: int = 10) -> DataFrame:
     """The aliens that scenes may use: ``most`` random ones if there are more."""
     return top_random(aliens_of(objects, target), ["object_id"], max(most, config.aliens), config.seed, "alien_subset")

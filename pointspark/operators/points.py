@@ -28,6 +28,23 @@ def default_colours(points: DataFrame, grey: float = 0.5) -> DataFrame:
     return points.withColumns({c: F.coalesce(c, F.lit(grey)) for c in COLOURS})
 
 
+def feature_fallback(points: DataFrame, names=("f0", "f1", "f2")) -> DataFrame:
+    """Features are colours, and the coordinates of points without any."""
+    bare = F.col("r").isNull() & F.col("g").isNull() & F.col("b").isNull()
+    return points.withColumns({n: F.when(bare, F.col(a)).otherwise(F.col(c)) for n, a, c in zip(names, AXES, COLOURS, strict=True)})
+
+
+def width_fix(rows: DataFrame, column: str = "features", width: int = 3) -> DataFrame:
+    """An array of features cut to ``width``, or filled up with zeros; null is all zeros."""
+    own = F.coalesce(F.col(column).cast("array<double>"), F.array().cast("array<double>"))
+    return rows.withColumn(column, F.slice(F.concat(own, F.array_repeat(F.lit(0.0), width)), 1, width))
+
+
+def nan_count(points: DataFrame, keys: list[str], columns=AXES) -> DataFrame:
+    """(keys, nan_cells): how many cells, not rows, are NaN."""
+    return points.groupBy(*keys).agg(F.sum(sum((F.isnan(c).cast("long") for c in columns[1:]), F.isnan(columns[0]).cast("long"))).alias("nan_cells"))
+
+
 def box_filter(points: DataFrame, low, high) -> DataFrame:
     """Points in a box, its faces included; plain comparisons reach the scan as pushed filters."""
     keep = F.lit(True)

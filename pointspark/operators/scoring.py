@@ -7,7 +7,8 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointspark.functions.columns import softmax
@@ -23,9 +24,26 @@ class Scorer(Protocol):
     def __call__(self, points: DataFrame) -> DataFrame: ...
 
 
+def probe(function: Callable[..., np.ndarray], features: bool = False) -> int:
+    """How many logits a chunk function gives a point, by one call on two points at the origin."""
+    zeros = np.zeros((2, 3))
+    return int(np.asarray(function(*[zeros] * (1 + features))).shape[1])
+
+
 class LinearScorer:
     """Logits linear in the coordinates; a deterministic stand-in for a trained network."""
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LinearScorer | None:
+        """A scorer from a JSON file (weights, bias, places), read by Spark; None where there is no such file."""
+        try:
+            rows = spark.read.option("multiLine", "true").schema("weights array<double>, bias double, places int").json(path).limit(1).collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return cls(tuple(rows[0].weights), rows[0].bias, rows[0].places if rows[0].places is not None else 6) if rows else None
+
     def __init__(self, weights=(0.8, -0.5, 0.3), bias: float = 0.1, places: int = 6):
         self.weights, self.bias, self.places = weights, bias, places
 
@@ -64,6 +82,8 @@ class ChunkScorer:
 
     def __init__(self, function: Callable[..., np.ndarray], features: bool = False):
         self.function, self.features = function, features
+        if (n := probe(function, features)) != 2:
+            raise ValueError(f"the function gives {n} logits a point; two are needed")
 
     def __call__(self, points: DataFrame) -> DataFrame:
         function, takes = self.function, (AXES, FEATURES) if self.features else (AXES,)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pointspark.functions import columns as fn
 from pointspark.functions.rng import uniform_between
+from pointspark.functions.shared import save
 from pointspark.operators import batches, chunks, clustering, compose, metrics, points, sampling, scoring, votes
 from pointspark.plans import adapters, evaluate
 from pointspark.plans.adapters import EPOCHS, OBJECTS, PAIRS, POINTS, key_sql, table, uniform_sql
@@ -94,6 +95,37 @@ def drop_nan(spark, d):
     return points.drop_nan(broken(spark, d)).drop("x")
 
 
+@query(f"SELECT scene_id, CAST(sum(CAST(isnan(x) AS INT) + CAST(isnan(y) AS INT) + CAST(isnan(z) AS INT)) AS BIGINT) AS nan_cells FROM {BROKEN} GROUP BY scene_id")
+def nan_count(spark, d):
+    return points.nan_count(broken(spark, d), ["scene_id"])
+
+
+# Points without colours: every third has none, every fifth no red.
+BARE = f"(SELECT scene_id, point_idx, x, y, z, CASE WHEN point_idx % 3 = 0 OR point_idx % 5 = 0 THEN NULL ELSE r END AS r, CASE WHEN point_idx % 3 = 0 THEN NULL ELSE g END AS g, CASE WHEN point_idx % 3 = 0 THEN NULL ELSE b END AS b FROM {POINTS})"
+
+
+def bare(spark, d):
+    none = F.col("point_idx") % 3 == 0
+    own = adapters.points(spark, d)
+    return own.withColumns({"r": F.when(~(none | (F.col("point_idx") % 5 == 0)), F.col("r")), "g": F.when(~none, F.col("g")), "b": F.when(~none, F.col("b"))})
+
+
+@query(f"SELECT scene_id, point_idx, coalesce(r, 0.5) AS r, coalesce(g, 0.5) AS g, coalesce(b, 0.5) AS b FROM {BARE}")
+def default_colours(spark, d):
+    return points.default_colours(bare(spark, d)).select(*KEYS, *"rgb")
+
+
+@query(f"SELECT scene_id, point_idx, CASE WHEN n THEN x ELSE r END AS f0, CASE WHEN n THEN y ELSE g END AS f1, CASE WHEN n THEN z ELSE b END AS f2 FROM (SELECT *, r IS NULL AND g IS NULL AND b IS NULL AS n FROM {BARE})")
+def feature_fallback(spark, d):
+    return points.feature_fallback(bare(spark, d)).select(*KEYS, "f0", "f1", "f2")
+
+
+@query("SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS f0, CASE WHEN k > 1 THEN CAST(embedding[2] AS DOUBLE) ELSE 0.0 END AS f1, CASE WHEN k > 2 THEN CAST(embedding[3] AS DOUBLE) ELSE 0.0 END AS f2 FROM (SELECT *, 1 + vec_id % 6 AS k FROM embeddings)")
+def width_fix(spark, d):
+    own = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", F.lit(1), (1 + F.col("vec_id") % 6).cast("int")).alias("features"))
+    return points.width_fix(own).select("vec_id", *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(3)])
+
+
 def normalize_sql(source: str, keys: str, k: float) -> str:
     centred = f"(SELECT *, x - avg(x) OVER w AS cx, y - avg(y) OVER w AS cy, z - avg(z) OVER w AS cz FROM {source} WINDOW w AS (PARTITION BY {keys}))"
     far = f"(SELECT *, max(greatest(abs(cx), abs(cy), abs(cz))) OVER (PARTITION BY {keys}) AS far FROM {centred})"
@@ -208,6 +240,8 @@ DENSITY = f"(SELECT *, CASE WHEN volume > 0 THEN n / volume ELSE 1000.0 END AS d
 
 def size_sql(c: EvalConfig) -> str:
     p = c.profile
+    if not c.adaptive:
+        return f"(SELECT *, round({p.fixed_chunk}, 6) AS size FROM {DENSITY})"
     return f"(SELECT *, round(greatest({p.smallest_chunk}, least({p.largest_chunk}, cbrt({c.target_points} / density))), 6) AS size FROM {DENSITY})"
 
 
@@ -268,6 +302,7 @@ def _sizes(name: str, c: EvalConfig):
 _sizes("chunk_size_v2", EvalConfig(profile=V2))
 _sizes("chunk_size_v3", EVAL)
 _sizes("chunk_size_v3_target_100", FINE)
+_sizes("chunk_size_fixed", EvalConfig(profile=V3, adaptive=False))
 
 
 @query(f"SELECT scene_id, ix, iy, iz, {', '.join(r4_sql(c) for c in ('lo_x', 'lo_y', 'lo_z', 'size'))} FROM {grid_sql(EVAL)}")
@@ -278,7 +313,7 @@ def chunk_grid(spark, d):
 def _assign(name: str, c: EvalConfig):
     @query(f"SELECT scene_id, point_idx, ix, iy, iz FROM {assign_sql(c)}", name)
     def run(spark, d):
-        own = adapters.points(spark, d)
+        own = saved_points(spark, d)
         return chunks.assign_chunks(own.select(*KEYS, *XYZ), evaluate.grid_steps(own, c)).drop(*XYZ)
 
 
@@ -286,20 +321,25 @@ _assign("chunk_assign", EVAL)
 _assign("chunk_assign_target_100", FINE)
 
 
+def saved_points(spark, d):
+    """The points as a written table: an evaluation reads them several times, and their indices come from a sort."""
+    return save(adapters.points(spark, d), "points")
+
+
 @query(f"SELECT scene_id, point_idx, pred, {r4_sql('confidence')}, seen FROM {vote_sql(EVAL)}")
 def vote_aggregate(spark, d):
-    own = adapters.points(spark, d)
+    own = saved_points(spark, d)
     return votes.vote(own, evaluate.predict_points(own, EVAL)).select(*KEYS, "pred", "confidence", "seen").withColumns(r4("confidence"))
 
 
 @query(f"SELECT scene_id, avg(CAST(seen > 0 AS INT)) * 100 AS coverage_percent FROM {vote_sql(EVAL)} GROUP BY scene_id")
 def coverage(spark, d):
-    own = adapters.points(spark, d)
+    own = saved_points(spark, d)
     return votes.coverage(votes.vote(own, evaluate.predict_points(own, EVAL)))
 
 
 def summary(spark, d, c=EVAL):
-    return votes.scene_summary(evaluate.evaluate(adapters.points(spark, d), c))
+    return votes.scene_summary(evaluate.evaluate(saved_points(spark, d), c))
 
 
 RATES = ", ".join(r4_sql(c) for c in ("target_rate", "alien_rate"))
@@ -345,7 +385,7 @@ def _export(name: str, where: str, paint: bool = False):
 
     @query(f"SELECT scene_id, point_idx, x, y, z, {colours if paint else plain} FROM {class_sql(FINE)} WHERE {where}", name)
     def run(spark, d):
-        own = evaluate.evaluate(adapters.points(spark, d), FINE)
+        own = evaluate.evaluate(saved_points(spark, d), FINE)
         kept = evaluate.segmented(own) if paint else evaluate.only(own, where.split("'")[1])
         return kept.select(*KEYS, *XYZ, *"rgb").withColumns(r4(*"rgb"))
 
@@ -357,7 +397,7 @@ _export("export_alien_only", "class = 'alien'")
 
 @query(f"SELECT scene_id, point_idx, x, y, class FROM {class_sql(FINE)}")
 def top_view(spark, d):
-    return evaluate.evaluate(adapters.points(spark, d), FINE).select(*KEYS, "x", "y", "class")
+    return evaluate.evaluate(saved_points(spark, d), FINE).select(*KEYS, "x", "y", "class")
 
 
 # Metrics
@@ -536,9 +576,31 @@ def scene_pad_whole(spark, d):
 
 @query("SELECT p_type AS object_name, count(*) AS samples, CAST(min(p_size) AS INT) AS grasp_force_n, CAST(sum(l_quantity) AS BIGINT) AS points FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type")
 def catalog_join(spark, d):
-    catalog = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("object_name"), "p_size")
-    joined = table(spark, d, "lineitem").select("l_partkey", "l_quantity").join(catalog, F.col("l_partkey") == F.col("p_partkey"))
-    return joined.groupBy("object_name").agg(F.count("*").alias("samples"), F.min("p_size").cast("int").alias("grasp_force_n"), F.sum("l_quantity").cast("long").alias("points"))
+    text = {"object_name": "p_type", "category": "p_brand", "ean": "p_partkey", "product_name": "p_name", "grasp_force_n": "p_size", "weight_g": "p_retailprice"}
+    catalog = pcd.clean_catalog(table(spark, d, "part").select(*[F.col(c).cast("string").alias(n) for n, c in text.items()]))
+    samples = table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("ean"), "l_quantity")
+    joined = pcd.join_catalog(samples, catalog.select("ean", "object_name", "grasp_force_n")).where("object_name is not null")
+    return joined.groupBy("object_name").agg(F.count("*").alias("samples"), F.min("grasp_force_n").alias("grasp_force_n"), F.sum("l_quantity").cast("long").alias("points"))
+
+
+# Every hundredth customer's orders, each found by its chunk and position.
+@query("SELECT o_orderkey, o_custkey, CAST(floor(o_orderkey / 100) AS BIGINT) AS chunk_id, o_orderkey % 100 AS position FROM orders WHERE o_custkey % 100 = 0")
+def chunk_locate_many(spark, d):
+    own = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    packed = batches.chunk_pack(own, "o_orderkey", 100)
+    wanted = batches.chunk_pack(own.where(F.col("o_custkey") % 100 == 0).select("o_orderkey"), "o_orderkey", 100).select("chunk_id", "position")
+    return packed.join(wanted, ["chunk_id", "position"])
+
+
+@query("SELECT min(p_name) AS object_id FROM part WHERE contains(p_name, 'bolt') HAVING count(*) > 0")
+def target_lookup(spark, d):
+    return compose.find_object(table(spark, d, "part").select(F.col("p_name").alias("object_id")), "bolt")
+
+
+@query(f"SELECT count(DISTINCT object_id) AS objects, count(*) AS points, {r4_sql('count(*) * 48 / (1024 * 1024)', 'megabytes')} FROM {OBJECTS} WHERE object_id <> '3'")
+def alien_cache_size(spark, d):
+    own = adapters.objects(spark, d)
+    return compose.cache_size(own, compose.aliens_of(own.select("object_id").distinct(), "3")).withColumns(r4("megabytes"))
 
 
 # Batches
@@ -603,7 +665,7 @@ def eps_neighbors(spark, d):
 
 @query(f"SELECT scene_id, point_idx FROM {NEAR} GROUP BY ALL HAVING count(*) >= {MIN_SAMPLES}")
 def dbscan_core(spark, d):
-    return clustering.core_points(clustering.eps_neighbors(adapters.points(spark, d), EPS), MIN_SAMPLES)
+    return clustering.core_points(adapters.points(spark, d), EPS, MIN_SAMPLES)
 
 
 @query(DBSCAN + "SELECT * FROM c")
@@ -621,10 +683,18 @@ def largest_cluster(spark, d):
     return clustering.largest_cluster(clustering.dbscan(adapters.points(spark, d), EPS, MIN_SAMPLES))
 
 
-# Where points are too sparse for any cluster, nothing is demoted.
-@query(f"SELECT scene_id, total_points, target_points, alien_points, background_points, {RATES} FROM {summary_sql(EVAL)}")
+CLUSTERED = EvalConfig(profile=V3, cluster=True, eps=EPS, min_samples=MIN_SAMPLES)
+DEMOTED = f"""SELECT v.* EXCLUDE (pred), CASE WHEN v.pred = 1 AND l.cluster IS NOT NULL AND c.cluster IS DISTINCT FROM l.cluster THEN 0 ELSE v.pred END AS pred
+FROM voted v LEFT JOIN c ON v.scene_id = c.scene_id AND v.point_idx = c.point_idx LEFT JOIN {LARGEST} l ON v.scene_id = l.scene_id"""
+COUNT_CLASSES = ", ".join([*(f"count(*) FILTER (WHERE class = '{k}') AS {k}_points" for k in ("target", "alien", "background")), *(r4_sql(f"count(*) FILTER (WHERE class = '{k}') / count(*) * 100", f"{k}_rate") for k in ("target", "alien"))])
+
+
+@query(
+    DBSCAN.replace("WITH RECURSIVE near", f"WITH RECURSIVE voted AS MATERIALIZED (SELECT * FROM {vote_sql(CLUSTERED)}), targets AS MATERIALIZED (SELECT * FROM voted WHERE pred = 1), near").replace(NEAR, NEAR.replace(POINTS, "targets"))
+    + f"SELECT scene_id, count(*) AS total_points, {COUNT_CLASSES} FROM (SELECT *, {CLASS} FROM ({DEMOTED})) GROUP BY scene_id"
+)
 def scene_summary_clustered(spark, d):
-    return summary(spark, d, EvalConfig(profile=V3, cluster=True)).withColumns(r4("target_rate", "alien_rate"))
+    return summary(spark, d, CLUSTERED).withColumns(r4("target_rate", "alien_rate"))
 
 
 # Models

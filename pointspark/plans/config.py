@@ -35,13 +35,16 @@ class EvalConfig:
     target_points: int = 15_000
     overlap: float = 0.2
     adaptive: bool = True
-    max_steps: int = 100
+    #: Chunk positions of an axis at most; None: as many as cover the scene, however wide.
+    max_steps: int | None = 100
     max_points: int | None = None
     alien_above: float = 0.8
     cluster: bool = False
     eps: float = 0.05
     min_samples: int = 50
     seed: int = 42
+    #: The data set that a scorer trained on several is told of; None: no such column.
+    condition: str | None = None
 
 
 @dataclass(frozen=True)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointspark.functions.columns import class_colour
+from pointspark.functions.shared import save
 from pointspark.operators import chunks, clustering, sampling, scoring, votes
 from pointspark.operators.points import AXES, COLOURS, default_colours, feature_scale, normalize
 from pointspark.plans.config import EvalConfig
@@ -25,11 +26,15 @@ def predict_points(points: DataFrame, config: EvalConfig, scorer: scoring.Scorer
     assigned = chunks.assign_chunks(points.select("scene_id", "point_idx", "x", "y", "z", *colours), grid_steps(points, config))
     if config.max_points:
         assigned = sampling.subsample_chunks(assigned, config.max_points, config.seed)
+    # Statistics of chunks and the points that they are joined to read this table, not the assignment twice.
+    assigned = save(assigned, "assigned")
     if colours:
         assigned = default_colours(feature_scale(assigned, CHUNK))
     placed = normalize(assigned, CHUNK, config.profile.scale)
     if takes:
         placed = placed.withColumns(dict(zip(scoring.FEATURES, map(F.col, colours or AXES), strict=True)))
+    if config.condition is not None:
+        placed = placed.withColumns({"condition": F.lit(config.condition), "context": F.lit(None).cast("string")})
     scored = scorer(placed)
     return scoring.predict(scored).select("scene_id", "point_idx", "ix", "iy", "iz", "p0", "p1", "pred")
 

@@ -14,37 +14,114 @@ SCHEMA = "path string, scene_id string, point_idx long, x double, y double, z do
 _KINDS = {("F", 4): "<f4", ("F", 8): "<f8", ("U", 1): "u1", ("U", 2): "<u2", ("U", 4): "<u4", ("I", 1): "i1", ("I", 2): "<i2", ("I", 4): "<i4"}
 
 
+def _unpack_lzf(data: bytes, size: int) -> bytes:
+    """LZF: a control byte below 32 is a run of literals, any other a copy of what was put out before."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        control = data[at]
+        at += 1
+        if control < 32:
+            out += data[at : at + control + 1]
+            at += control + 1
+            continue
+        length = control >> 5
+        if length == 7:
+            length += data[at]
+            at += 1
+        back = ((control & 31) << 8 | data[at]) + 1
+        at, length = at + 1, length + 2
+        if back > len(out):
+            raise ValueError("a compressed PCD copies from before its beginning")
+        piece = bytes(out[-back:])[:length]
+        out += (piece * (length // len(piece) + 1))[:length]
+    if len(out) != size:
+        raise ValueError("a compressed PCD does not have the size that it gives")
+    return bytes(out)
+
+
 def decode_pcd(content: bytes) -> dict[str, np.ndarray]:
-    """Columns x, y, z and r, g, b (in [0, 1], NaN without colours) of a file in ascii or binary form."""
+    """Columns x, y, z and r, g, b (in [0, 1], NaN without colours) of a file in ascii, binary or compressed form.
+
+    A field with a COUNT above 1 takes that many values; its first is used.
+    """
     head, _, rest = content.partition(b"DATA ")
     kind, _, data = rest.partition(b"\n")
     header = {k.decode(): v.split() for k, _, v in (line.partition(b" ") for line in head.splitlines()) if k and not k.startswith(b"#")}
     names = [x.decode() for x in header["FIELDS"]]
     types = [_KINDS[t.decode(), int(s)] for t, s in zip(header["TYPE"], header["SIZE"], strict=True)]
-    layout = np.dtype(list(zip(names, types, strict=True)))
-    if kind.strip() == b"ascii":
+    counts = [int(c) for c in header.get("COUNT", [b"1"] * len(names))]
+    kind = kind.strip()
+    if kind == b"ascii":
         rows = [line.split() for line in data.splitlines() if line.strip()]
-        found = {n: np.array([r[i] for r in rows], "S").astype(float if t[-2] == "f" else np.int64) for i, (n, t) in enumerate(zip(names, types, strict=True))}
-    elif kind.strip() == b"binary":
-        table = np.frombuffer(data, layout, int(header["POINTS"][0]))
-        found = {n: table[n] for n in names}
+        first = np.cumsum(counts) - counts
+        found = {n: np.array([r[i] for r in rows], "S").astype(float if t[-2] == "f" else np.int64) for n, i, t in zip(names, first.tolist(), types, strict=True)}
+    elif kind in (b"binary", b"binary_compressed"):
+        n = int(header["POINTS"][0])
+        if kind == b"binary":
+            table = np.frombuffer(data, np.dtype([(x, t, (c,)) for x, t, c in zip(names, types, counts, strict=True)]), n)
+            found = {x: table[x][:, 0] for x in names}
+        else:
+            packed, size = np.frombuffer(data, "<u4", 2).tolist()
+            raw, at, found = _unpack_lzf(data[8 : 8 + packed], size), 0, {}
+            for x, t, c in zip(names, types, counts, strict=True):
+                found[x] = np.frombuffer(raw, t, n * c, at)[::c]
+                at += n * c * np.dtype(t).itemsize
     else:
-        raise ValueError(f"PCD data form {kind.decode(errors='replace').strip()!r} is not supported")
+        raise ValueError(f"PCD data form {kind.decode(errors='replace')!r} is not supported")
     n = len(found["x"])
     if "rgb" in found:
         packed = found["rgb"]
-        packed = packed.astype("<f4").view("<u4") if packed.dtype.kind == "f" else packed
+        packed = np.ascontiguousarray(packed).astype("<f4").view("<u4") if packed.dtype.kind == "f" else packed
         colours = {c: (packed.astype(np.int64) >> s & 255) / 255 for c, s in zip("rgb", (16, 8, 0), strict=True)}
     else:
         colours = {c: found[c] / 255 if c in found else np.full(n, np.nan) for c in "rgb"}
     return {a: found[a].astype(float) for a in "xyz"} | colours
 
 
+def parse_text(content: bytes) -> dict[str, np.ndarray]:
+    """What ``parse_lines`` finds in a whole file, from after its ``DATA ascii`` line or, without one, from its start."""
+    lines = content.decode("utf-8", "replace").splitlines()
+    begin = next((i + 1 for i, line in enumerate(lines) if line.strip().startswith("DATA ascii")), 0)
+    rows = []
+    for line in lines[begin:]:
+        parts = line.split()
+        try:
+            if len(parts) >= 6:
+                colours = [int(p) for p in parts[3:6]]
+            elif len(parts) >= 4:
+                colours = [int(parts[3]) >> s & 255 for s in (16, 8, 0)]
+            else:
+                continue
+            rows.append([*map(float, parts[:3]), *[c / 255 for c in colours]])
+        except ValueError:
+            continue
+    table = np.array(rows, float).reshape(-1, 6)
+    return {c: table[:, i] for i, c in enumerate("xyzrgb")}
+
+
+def decode_any(content: bytes) -> dict[str, np.ndarray]:
+    """``decode_pcd``; where that fails or finds no colours, what ``parse_text`` finds, if anything."""
+    try:
+        found, error = decode_pcd(content), None
+        if not len(found["x"]) or not all(np.isnan(found[c]).all() for c in "rgb"):
+            return found
+    except Exception as e:  # noqa: BLE001  any broken file is tried as text
+        found, error = None, e
+    plain = parse_text(content)
+    if len(plain["x"]):
+        return plain
+    if found is None:
+        raise error
+    return found
+
+
 def read_pcd(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """All points of the ``.pcd`` files of a folder, through Spark's own file access.
 
-    A file that cannot be read is one row with ``error`` set and no point, so
-    one bad scan does not end a run.  A file is a scan and is decoded whole.
+    A file that is no PCD, or has no colours, is read as lines of text, if it
+    holds any points in that form.  A file that cannot be read is one row with
+    ``error`` set and no point, so one bad scan does not end a run.  A file is a
+    scan and is decoded whole.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcd").option("recursiveFileLookup", str(recursive).lower()).load(path)
 
@@ -53,7 +130,7 @@ def read_pcd(spark: SparkSession, path: str, recursive: bool = False) -> DataFra
             for where, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 name = re.sub(r"\.pcd$", "", where.rsplit("/", 1)[-1])
                 try:
-                    found, error = decode_pcd(content), None
+                    found, error = decode_any(content), None
                     n = len(found["x"])
                 except Exception as e:  # noqa: BLE001  any broken file becomes a row
                     found, error, n = {c: np.zeros(1) for c in "xyzrgb"}, f"{type(e).__name__}: {e}", 1
@@ -77,9 +154,10 @@ def parse_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
 
     Colours are divided by 255.  Integers must be written as such.
     """
-    t = F.split(F.trim(F.col(text_col)), r"\s+")
+    # An outer generator of one row keeps the parts in a column, so each line is split once.
+    parts = F.array(F.split(F.trim(F.col(text_col)), r"\s+"))
     part = lambda i, kind: F.get(F.col("_t"), F.lit(i)).try_cast(kind)
-    rows = lines.withColumn("_t", t).withColumn("_n", F.size("_t")).where("_n >= 4")
+    rows = lines.select("*", F.explode_outer(parts).alias("_t")).withColumn("_n", F.size("_t")).where("_n >= 4")
     packed = part(3, "bigint")
     wide = F.col("_n") >= 6
     out = {a: part(i, "double") for i, a in enumerate("xyz")}
@@ -111,8 +189,18 @@ def write_pcd(points: DataFrame, path: str) -> None:
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """An object catalogue (CSV with a header): ids stay text, forces and weights are numbers, unknown values are null."""
-    unknown = lambda c: F.when(F.lower(F.trim(c)).isin("", "none", "null"), None).otherwise(F.trim(c))
     raw = spark.read.option("header", "true").schema("object_name string, category string, ean string, product_name string, grasp_force_n string, weight_g string").csv(path)
+    return clean_catalog(raw)
+
+
+def clean_catalog(raw: DataFrame) -> DataFrame:
+    """Catalogue rows of text with unknown values as nulls and numbers as such."""
+    unknown = lambda c: F.when(F.lower(F.trim(c)).isin("", "none", "null"), None).otherwise(F.trim(c))
     text = {c: unknown(F.col(c)) for c in ("object_name", "category", "ean", "product_name")}
     number = {c: unknown(F.col(c)).try_cast("int") for c in ("grasp_force_n", "weight_g")}
     return raw.withColumns(text | number)
+
+
+def join_catalog(samples: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Samples (ean) with what the catalogue knows of their objects; an equi-join, so the catalogue may be of any size."""
+    return samples.join(catalog, "ean", "left")

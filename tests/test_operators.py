@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,3 +258,111 @@ def test_scenes_that_arrive(spark, tmp_path):
     stream = watch_scenes(spark, folder, own.schema.simpleString()[7:-1].replace(":", " "), lambda df, n: seen.append(df.count()), str(tmp_path / "cp"), EvalConfig(), available_now=True)
     stream.awaitTermination(120)
     assert seen == [40]
+
+
+def brute_dbscan(rows, eps, min_samples):
+    """Cluster of each point (its least core index) or None, from all pairs."""
+    near = [[j for j, b in enumerate(rows) if sum((x - y) * (x - y) for x, y in zip(a, b, strict=True)) <= eps * eps] for a in rows]
+    core = [len(n) >= min_samples for n in near]
+    label = [i if c else None for i, c in enumerate(core)]
+    moved = True
+    while moved:
+        moved = False
+        for i in range(len(rows)):
+            if core[i]:
+                least = min(label[j] for j in near[i] if core[j])
+                moved, label[i] = moved or least < label[i], least
+    return {i: min((label[j] for j in near[i] if core[j]), default=None) for i in range(len(rows)) if any(core[j] for j in near[i])}
+
+
+@pytest.mark.parametrize(("seed", "eps", "min_samples"), [(1, 0.35, 8), (2, 0.2, 4), (3, 0.6, 30), (4, 0.1, 2), (5, 1.0, 400)])
+def test_dbscan_equals_brute_force(spark, seed, eps, min_samples):
+    """Dense balls, lines between them, lattices with ties at eps, repeated points and noise."""
+    rng = np.random.default_rng(seed)
+    balls = [rng.normal(c, s, (n, 3)) for c, s, n in ((0, 0.1, 150), (1.2, 0.3, 120), (-2, 0.02, 80))]
+    line = np.stack([np.linspace(0, 3, 40), np.zeros(40), np.zeros(40)], 1)
+    lattice = np.array([(5 + i * eps, j * eps, k * eps) for i in range(4) for j in range(3) for k in range(3)])
+    rows = np.concatenate([*balls, line, lattice, lattice[:9], rng.uniform(-4, 4, (100, 3))])
+    rows = rows[rng.permutation(len(rows))].tolist()
+    found = {r.point_idx: r.cluster for r in clustering.dbscan(cloud(spark, rows), eps, min_samples).collect()}
+    assert found == brute_dbscan(rows, eps, min_samples)
+
+
+def test_dense_points_make_no_pairs(spark):
+    """Twenty thousand points of one ball: what is written grows with the points, not with their pairs."""
+    rng = np.random.default_rng(7)
+    rows = np.concatenate([rng.normal(0, 0.02, (20_000, 3)), rng.normal(3, 0.02, (500, 3))])
+    own = spark.createDataFrame(pd.DataFrame({"scene_id": 1, "point_idx": np.arange(len(rows)), "x": rows[:, 0], "y": rows[:, 1], "z": rows[:, 2]}))
+    found = clustering.cluster_sizes(clustering.dbscan(own, 0.3, 50)).collect()
+    assert sorted((r.cluster, r.n) for r in found) == [(0, 20_000), (20_000, 500)]
+
+
+def test_demotion_changes_a_summary(spark):
+    from pointspark.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    plain = {r.scene_id: r.target_points for r in catalog.summary(spark, d).collect()}
+    kept = {r.scene_id: r.target_points for r in catalog.summary(spark, d, catalog.CLUSTERED).collect()}
+    assert any(kept[s] < plain[s] for s in plain) and all(kept[s] <= plain[s] for s in plain)
+
+
+def test_lines_are_split_once(spark):
+    from pointspark.plans import catalog
+
+    plan = catalog.queries()["pcd_ascii_parse"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1
+
+
+def test_wide_scenes_are_covered_without_a_cap(spark):
+    own = cloud(spark, [(i * 0.75, 0, 0) for i in range(400)])
+    seen = lambda config: {r.point_idx for r in evaluate.predict_points(own, config).collect()}
+    assert len(seen(EvalConfig(profile=V3, adaptive=False))) < 400
+    assert len(seen(EvalConfig(profile=V3, adaptive=False, max_steps=None))) == 400
+
+
+def test_pcd_fallback_counts_and_compression():
+    text = b"no header at all\n1 2 3 255 0 51\nbroken 2 3 4 5 6\n4 5 6 16711680\n"
+    found = pcd.decode_any(text)
+    assert found["x"].tolist() == [1, 4] and found["r"].tolist() == [1, 1] and found["b"].tolist() == [0.2, 0]
+    bare = b"VERSION .7\nFIELDS x y z\nSIZE 4 4 4\nTYPE F F F\nCOUNT 1 1 1\nPOINTS 1\nDATA ascii\n1 2 3\n"
+    assert np.isnan(pcd.decode_any(bare)["r"]).all()
+    with pytest.raises(KeyError):
+        pcd.decode_any(b"nothing")
+    head = b"VERSION .7\nFIELDS n x y z rgb\nSIZE 4 4 4 4 4\nTYPE F F F F U\nCOUNT 3 1 1 1 1\nWIDTH 2\nHEIGHT 1\nPOINTS 2\nDATA %s\n"
+    layout = np.dtype([("n", "<f4", 3), ("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("rgb", "<u4")])
+    table = np.array([((9, 9, 9), 1, 2, 3, 0xFF0000), ((8, 8, 8), 4, 5, 6, 255)], layout)
+    columns = b"".join(np.ascontiguousarray(table[c]).tobytes() for c in layout.names)
+    literals = b"".join(bytes([len(columns[i : i + 32]) - 1]) + columns[i : i + 32] for i in range(0, len(columns), 32))
+    forms = [head % b"binary" + table.tobytes(), head % b"ascii" + b"9 9 9 1 2 3 16711680\n8 8 8 4 5 6 255\n"]
+    forms.append(head % b"binary_compressed" + np.array([len(literals), len(columns)], "<u4").tobytes() + literals)
+    for content in forms:
+        found = pcd.decode_pcd(content)
+        assert found["z"].tolist() == [3, 6] and found["r"].tolist() == [1, 0] and found["b"].tolist() == [0, 1]
+    # Copies of 8 and of 7 + 5 + 2 bytes from two bytes back.
+    assert pcd._unpack_lzf(b"\x01ab\xc0\x01", 10) == b"ab" * 5
+    assert pcd._unpack_lzf(b"\x01ab\xe0\x05\x01", 16) == b"ab" * 8
+
+
+def test_scorers_load_and_tell_their_width(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"weights": [1.0, 0.0, 0.0], "bias": -0.5}')
+    loaded = scoring.LinearScorer.load(spark, str(tmp_path / "s.json"))
+    assert (loaded.weights, loaded.bias, loaded.places) == ((1.0, 0.0, 0.0), -0.5, 6)
+    assert scoring.LinearScorer.load(spark, str(tmp_path / "none.json")) is None
+    assert scoring.probe(lambda xyz: np.zeros((len(xyz), 5))) == 5
+    with pytest.raises(ValueError, match="5 logits"):
+        scoring.ChunkScorer(lambda xyz: np.zeros((len(xyz), 5)))
+    told = []
+
+    class Conditional(scoring.LinearScorer):
+        def __call__(self, points):
+            told.extend(points.columns)
+            return super().__call__(points)
+
+    evaluate.predict_points(cloud(spark, [(0, 0, 0), (1, 1, 1)]), EvalConfig(condition="ScanNet"), Conditional())
+    assert {"condition", "context"} <= set(told)
+
+
+def test_find_object_and_empty_lookups(spark):
+    names = spark.createDataFrame([("b_cup_9",), ("a_cup_1",), ("plate",)], "object_id string")
+    assert compose.find_object(names, "cup").collect()[0].object_id == "a_cup_1"
+    assert compose.find_object(names, "fork").collect() == []
