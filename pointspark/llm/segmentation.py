@@ -54,8 +54,8 @@ ALPHA = 1.0
 WINDOW = 12.0
 #: Characters of texts that are searched side by side.
 BLOCK = 500_000
-#: Edges that a worker remembers at most inside a task; between tasks it holds the words of the last block only.
-MEMO_EDGES = 10_000_000
+#: Edges beyond which a worker forgets all words but those at hand; between tasks it holds none.
+MEMO_EDGES = 4_000_000
 SPACE = "▁"
 _ALL = 2**64 - 1
 _RUNS = re.compile(r" *[^ ]+| +\Z")
@@ -511,7 +511,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _sampled(batches: Iterator[pa.RecordBatch], path: str, k: int, alpha: float) -> Iterator[list[tuple]]:
     """Lists of (doc_id, text, lattices, samples), a bounded number of characters at a time."""
-    lattices, part = load(path, alpha), []
+    lattices = load(path, alpha)
     try:
         for batch in batches:
             ids, keys, texts = (batch.column(i).to_pylist() for i in range(3))
@@ -522,7 +522,7 @@ def _sampled(batches: Iterator[pa.RecordBatch], path: str, k: int, alpha: float)
                 found = sample(lattices, part, [x & (2**64 - 1) for x in keys[own]], k)
                 yield [(i, t or "", lattices, s) for i, t, s in zip(ids[own], part, found, strict=True)]
     finally:
-        lattices.shrink([w for text in part for w in words_of(text)])  # a worker that waits for its next task holds few words
+        lattices.forget()  # a worker that waits for its next task holds no words
 
 
 def sample_encodings(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", *, k: int = K, alpha: float = ALPHA) -> DataFrame:
