@@ -6,7 +6,8 @@ mean of its embeddings, and a linear softmax over the mean gives two classes.
 Embeddings and softmax are trained jointly in numpy by AdaGrad.  A document is
 as toxic as its most toxic window (multiple-instance learning: the windows that
 stand for a document are chosen anew by the model after each round), and a
-logistic fit of the training documents' highest windows makes the score.
+logistic fit of the training documents' highest windows makes the score.  A
+mean over all of a long document's words would drown its few toxic ones.
 
 As the softmax is linear, a bucket's part in a window's logit is one number, so
 scoring a word sums the numbers of its buckets.
@@ -267,7 +268,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         sample = sample.union(labelled.where(kind).orderBy(F.xxhash64("id"), "id").limit(MAX_TRAIN))
     # The sample has at most 2 * MAX_TRAIN rows of (id, label).
     rows = sized.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    found = rows.dropDuplicates(["id"]).toPandas().sort_values("id")
+    # Of an id with several texts, the smallest is taken, so the model is the same at every run.
+    found = rows.groupBy("id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values("id")
     return train(found["text"].tolist(), found["toxic"].to_numpy())
 
 
