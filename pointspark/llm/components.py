@@ -14,7 +14,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among a node's neighbours and then the
     label of that label, so chains shorten by doubling.  A round is written as
     a table; a hub's edges are reduced by partial aggregation.
+
+    Defined results: edges with a null end are no edges; repeated edges and
+    edges both ways count once; a loop is a node of its own; an empty table
+    gives an empty result; other columns are not looked at.
     """
+    edges = edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull())
     both = save(edges.union(edges.select(F.col("b"), F.col("a"))).toDF("node", "other").distinct(), "links")
     labels = save(both.groupBy("node").agg(F.min("other").alias("near")).select("node", F.least("node", "near").alias("root")), "labels")
     while True:

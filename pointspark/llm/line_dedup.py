@@ -165,9 +165,9 @@ def dedup_lines(
     joined = keyed.join(lost, ["doc", "text_hash"], "left")
     lines = F.split(F.coalesce(F.col(f"_row.`{text_col}`"), F.lit("")), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
-    kept = F.when(
-        F.col("dropped").isNotNull(), F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    ).otherwise(F.coalesce(F.col(f"_row.`{text_col}`"), F.lit("")))
+    # Bound by an array of one, so that the text is split once and not for each line that stays.
+    whole = F.get(F.transform(F.array(lines), lambda own: F.array_join(F.transform(stay, lambda i: F.get(own, i)), "\n")), F.lit(0))
+    kept = F.when(F.col("dropped").isNotNull(), whole).otherwise(F.coalesce(F.col(f"_row.`{text_col}`"), F.lit("")))
     return joined.select(
         *[F.col(f"_row.`{c}`").alias(c) for c in docs.columns],
         F.size(lines).cast("long").alias("n_lines"),

@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 
 import pytest
@@ -39,6 +40,16 @@ def test_line_dedup_equals_brute_force(spark, batches, fanout):
     assert {r.h1 for r in found} == {5}
 
 
+def test_a_text_of_many_lines(spark):
+    """Time in proportion to the lines, where some of them are dropped."""
+    text = "\n".join(f"line number {i} of a long text" for i in range(60_000)) + f"\n{LINE}"
+    docs = spark.createDataFrame([(1, text), (2, LINE), (3, LINE)], "doc_id long, text string")
+    began = time.time()
+    found = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert time.time() - began < 90
+    assert (found[1].n_lines, found[1].n_dropped) == (60_001, 1) and found[1].kept == text[: -len(LINE) - 1]
+
+
 def test_new_keys_are_those_that_no_run_has(spark):
     runs = line_dedup.LineRuns(fanout=2)
     keys = lambda rows: spark.createDataFrame([(h, h, d) for h, d in rows], "h1 long, h2 long, doc long")
