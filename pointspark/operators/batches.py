@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointspark.functions.rng import random_key
+from pointspark.functions.rng import ranked
 
 
 def shuffle_batches(samples: DataFrame, group: list[str], key: str, size: int, seed: int, epoch: int) -> DataFrame:
     """batch and item numbers in a random order that the epoch changes."""
-    order = F.row_number().over(Window.partitionBy(*group).orderBy(random_key(seed, f"epoch{epoch}", key), key)) - 1
-    numbered = samples.withColumn("_at", order)
-    return numbered.withColumns({"batch": F.floor(F.col("_at") / size), "item": (F.col("_at") % size).cast("int")}).drop("_at")
+    numbered = ranked(samples, group, seed, f"epoch{epoch}", key).withColumn("_at", F.col("_rank") - 1)
+    return numbered.withColumns({"batch": F.floor(F.col("_at") / size), "item": (F.col("_at") % size).cast("int")}).drop("_at", "_rank")
 
 
 def batch_offsets(items: DataFrame, keys: list[str]) -> DataFrame:

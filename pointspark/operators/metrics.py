@@ -48,7 +48,10 @@ def epoch_metrics(points: DataFrame) -> DataFrame:
 
 
 def best_epochs(history: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The epochs whose iou is above all earlier ones and above 0; a history has one row an epoch."""
+    """The epochs whose iou is above all earlier ones and above 0.
+
+    A history has one row an epoch, so without ``by`` it is one task's.
+    """
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
     best = F.coalesce(F.max("iou").over(before), F.lit(0.0))
     return history.withColumn("_best", F.greatest(best, F.lit(0.0))).where(F.col("iou") > F.col("_best")).drop("_best")
