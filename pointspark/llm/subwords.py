@@ -3,6 +3,9 @@
 A text is cut where no token can cross; each piece is encoded once by the
 library's own normalizer, pre-tokenizer and model and then remembered, so
 frequent words cost a dictionary look-up.  Long pieces are not remembered.
+
+Defined results: a null or empty text has no pieces and no ids; equal texts
+have equal results, whatever is remembered.
 """
 
 from __future__ import annotations

@@ -30,6 +30,8 @@ from pointspark.llm.common import save
 MAX_BITS = 16
 BLOCK = 65_536
 LANE = 128
+#: Ids that are counted together.
+COUNTED = 1_000_000
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,12 +66,22 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     """(id, n) over all documents: each task adds up its own ids, then the sums are added."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total, held, n_held = np.zeros(0, np.int64), [], 0
+
+        def add() -> None:
+            nonlocal total, held, n_held
+            found = np.bincount(np.concatenate(held), minlength=len(total))
+            found[: len(total)] += total
+            total, held, n_held = found, [], 0
+
         for batch in batches:
             for n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = np.bincount(_unpack(n, ids), minlength=len(total))
-                found[: len(total)] += total
-                total = found
+                held.append(_unpack(n, ids))
+                n_held += n
+                if n_held > COUNTED:
+                    add()
+        if held:
+            add()
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
