@@ -370,8 +370,9 @@ def _draw(lattices: Lattices, keys: np.ndarray, places: np.ndarray, nodes: np.nd
 class _Search:
     """The A-star search of one text: emitted paths, and the best nodes that wait."""
 
-    def __init__(self, lattices: Lattices, key: int, words: int, k: int):
-        self.lattices, self.key, self.words, self.k = lattices, key, words, k
+    def __init__(self, lattices: Lattices, key: int, starts: np.ndarray, k: int):
+        self.lattices, self.key, self.k = lattices, key, k
+        self.starts, self.words = starts, len(starts)  # the first node of each word
         self.paths: list[tuple] = []  # edges, word of each edge, log-probability, perturbed value
         self.heap: list[tuple] = []
         self.drawn = 0
@@ -413,8 +414,13 @@ class _Search:
 
     def _leaving(self, path: int, begin: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, node, edge) of the edges that leave a path at positions from ``begin`` to before ``stop``."""
-        lattices, taken = self.lattices, self.paths[path][0][begin:stop]
-        node = np.searchsorted(lattices.first[: lattices.n_nodes], taken, "right") - 1
+        lattices, (edges, word) = self.lattices, self.paths[path][:2]
+        taken = edges[begin:stop]
+        # An edge leaves from where the one before it led, or from the start of its word.
+        node = self.starts[word[begin:stop]]
+        if begin < stop:
+            led = lattices.target[edges[begin - 1 : stop - 1] if begin else edges[: stop - 1]]
+            np.copyto(node if begin else node[1:], led, where=led >= 0)
         low = lattices.first[node]
         number = lattices.first[node + 1] - low
         other = np.arange(int(number.sum())) + np.repeat(low - (np.cumsum(number) - number), number)
@@ -456,7 +462,7 @@ def sample(lattices: Lattices, texts: list[str | None], keys: list[int], k: int
     doc_of = np.repeat(np.arange(len(words)), sizes)
     place = np.arange(len(start)) - begin[doc_of]
     word_keys = np.array(keys, np.uint64)[doc_of]
-    searches = [_Search(lattices, key, n, k) for key, n in zip(keys, sizes.tolist(), strict=True)]
+    searches = [_Search(lattices, key, start[low : low + n], k) for key, low, n in zip(keys, begin.tolist(), sizes.tolist(), strict=True)]
     nodes = [None] * len(words)  # what each search draws next
     for i, search in enumerate(searches):
         if search.words:
