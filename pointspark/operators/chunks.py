@@ -57,8 +57,11 @@ def assign_chunks(points: DataFrame, steps: DataFrame) -> DataFrame:
     """Each point once for each chunk that holds it: its columns, ix, iy and iz.
 
     The few positions that can hold a point follow from its coordinate, so they
-    are generated and checked exactly; no range join and no chunk table.
+    are generated and checked exactly; no range join and no chunk table.  The
+    positions of all axes are found before any row is repeated, and outer
+    generators make the optimizer infer no filter that finds them again.
     """
+    positions = {}
     out = points.join(steps.select("scene_id", "size", *[f"{p}_{a}" for p in ("min", "max", "k") for a in AXES]), "scene_id")
     for a in AXES:
         k, low, size = F.col(f"k_{a}"), F.col(f"min_{a}"), F.col("size")
@@ -68,5 +71,8 @@ def assign_chunks(points: DataFrame, steps: DataFrame) -> DataFrame:
         last = F.when((k == 1) | (gap <= 0), k - 1).otherwise(F.least(k - 1, at(F.col(a) - low) + 1))
         candidate = F.sequence(F.least(first, last), last)
         held = F.filter(candidate, lambda i: (_position(a, i) <= F.col(a)) & (F.col(a) <= _position(a, i) + F.col("size")))  # noqa: B023
-        out = out.withColumn(f"i{a}", F.explode(held))
-    return out.select(*points.columns, *[f"i{a}" for a in AXES])
+        positions[f"_p{a}"] = held
+    out = out.select(*points.columns, *[p.alias(name) for name, p in positions.items()])
+    for a in AXES:
+        out = out.withColumn(f"i{a}", F.explode_outer(f"_p{a}")).drop(f"_p{a}")
+    return out.where(" and ".join(f"i{a} is not null" for a in AXES))

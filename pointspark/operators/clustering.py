@@ -55,6 +55,7 @@ def _core_and_rest(points: DataFrame, eps: float, min_samples: int) -> tuple[Dat
     # A little less than eps / sqrt(3), so that rounding brings no two points of a cell apart.
     edge = eps / 3**0.5 * (1 - 1e-9)
     placed = save(points.select(*KEYS, *AXES, *[F.floor(F.col(a) / edge).alias(f"q{a}") for a in AXES]), "placed")
+    # A written table, so that a cell with very many points is split in the joins.
     crowded = save(placed.groupBy(*CELL).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).drop("n"), "crowded")
     sparse = save(placed.join(crowded, CELL, "left_anti"), "sparse")
     counted = near_pairs(sparse, placed, eps).groupBy(*KEYS).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(*KEYS)
@@ -124,8 +125,7 @@ def _core_clusters(core: DataFrame, eps: float) -> DataFrame:
         more = save(both.where(_square("s", "t") <= eps * eps).select("scene_id", F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "more-links")
         top = _components(roots.select("scene_id", F.col("root").alias("node")).distinct(), more)
         roots = save(roots.join(top.toDF("scene_id", "root", "cluster"), ["scene_id", "root"]).select("scene_id", "node", F.col("cluster").alias("root")), "joined-roots")
-    named = save(cells.join(roots, ["scene_id", "node"]).select(*CELL, F.col("root").alias("cluster")), "named-cells")
-    return core.join(named, CELL)
+    return core.join(cells.join(roots, ["scene_id", "node"]).select(*CELL, F.col("root").alias("cluster")), CELL)
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
