@@ -151,7 +151,8 @@ def similar_links(own: DataFrame, shingle: int, percent: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py(), shingle).tobytes() for x in batch.column(1)], pa.binary())], ["set", "hashes"])
 
-    texts = own.join(members.select("set").distinct(), "set", "left_semi").dropDuplicates(["set"])
+    # Copies are one row before they are moved.
+    texts = own.select("set", "text").dropDuplicates(["set"]).join(members.select("set").distinct(), "set", "left_semi")
     sets = save(texts.select("set", "text").mapInArrow(hashed, "set long, hashes binary"), "sets")
     # The smaller of two similar sets has at least ``percent`` of the larger.
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
