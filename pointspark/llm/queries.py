@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointspark.llm import decontaminate, line_dedup, media, secrets, segmentation, simhash, token_counts, token_files, toxicity, warc
+from pointspark.llm import bpe, decontaminate, line_dedup, media, secrets, segmentation, simhash, token_counts, token_files, toxicity, warc
 from pointspark.llm.common import new_path, read
 
 
@@ -95,6 +95,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op11_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    found = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), tokenizer), tokenizer)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 #: Lines with their keys; {docs} is a table or a subquery in brackets.
 LINES_SQL = """
 SELECT doc_id, pos, line,
@@ -125,6 +131,7 @@ def queries() -> dict:
         "op8_line_dedup": op8_line_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_token_counts": op10_token_counts,
+        "op11_pair_index_bpe": op11_pair_index_bpe,
     }
 
 

@@ -27,6 +27,8 @@ _BEYOND = re.compile("[\u0130\u0250-\U0010ffff]")
 _MARK = re.compile(r"([.,])(?= |\Z)(?<=[^\W_][.,])")
 #: A space beside other white space or at an end; elsewhere, a space starts a byte-level token.
 _ODD_SPACE = re.compile(r"\s |[ ]\s|\A | \Z")
+#: White space that is neither a space nor a line end.
+_OTHER_BLANK = re.compile(r"[^\S \n]")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -51,14 +53,14 @@ def pretokens(tokenizer, text: str) -> list[tuple[str, tuple[int, int]]]:
     return tokenizer.pre_tokenizer.pre_tokenize_str(text)
 
 
-def _byte_letters() -> dict[int, int]:
+def byte_letters() -> dict[int, int]:
     """The printable character that byte-level models have for each byte: its own, or the next one from 256 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = (b for b in range(256) if b not in own)
     return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
 
 
-_LETTERS = _byte_letters()
+_LETTERS = byte_letters()
 
 
 def is_plain(piece: str) -> bool:
@@ -202,7 +204,11 @@ def spaced_pieces(text: str) -> list[str]:
     No alternative of the byte-level pattern goes from a character that is no
     white space over a following space, so such a space always starts a token.
     """
-    if _ODD_SPACE.search(text) is None:
+    if _OTHER_BLANK.search(text) is None:
+        odd = "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " "
+    else:
+        odd = _ODD_SPACE.search(text) is not None
+    if not odd:
         return text.split(" ")
     pieces = _SAFE_CUT.split(text)
     return [pieces[0], *[x[1:] for x in pieces[1:]]]
