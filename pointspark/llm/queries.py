@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointspark.llm import bpe, decontaminate, line_dedup, media, secrets, segmentation, simhash, token_counts, token_files, toxicity, warc
+from pointspark.llm import bpe, decontaminate, line_dedup, media, ranked, secrets, segmentation, simhash, token_counts, token_files, toxicity, warc
 from pointspark.llm.common import new_path, read
 
 
@@ -101,6 +101,33 @@ def op11_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+#: The terms of a text, with repeats.
+TERMS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP12_SQL = f"""
+WITH q AS (SELECT DISTINCT item_id, unnest({TERMS_SQL}) AS term FROM benchmark),
+d AS (SELECT doc_id, {TERMS_SQL} AS terms FROM documents),
+s AS (SELECT count(*) AS n_all, sum(len(terms)) AS l_all FROM d WHERE len(terms) > 0),
+m AS (SELECT doc_id, terms, CAST(100 - 90 + (90 * len(terms) * n_all) // l_all AS BIGINT) AS m FROM d, s WHERE len(terms) > 0),
+t AS (SELECT doc_id, m, term, count(*) AS tf FROM (SELECT doc_id, m, unnest(terms) AS term FROM m) GROUP BY doc_id, m, term),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_all + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM t GROUP BY term), s
+),
+r AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN w USING (term) GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
 #: Lines with their keys; {docs} is a table or a subquery in brackets.
 LINES_SQL = """
 SELECT doc_id, pos, line,
@@ -132,8 +159,9 @@ def queries() -> dict:
         "op9_secret_scan": op9_secret_scan,
         "op10_token_counts": op10_token_counts,
         "op11_pair_index_bpe": op11_pair_index_bpe,
+        "op12_ranked_search": op12_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_archive": OP1_SQL, "op4_decontamination": OP4_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op1_warc_archive": OP1_SQL, "op4_decontamination": OP4_SQL, "op8_line_dedup": OP8_SQL, "op12_ranked_search": OP12_SQL}
