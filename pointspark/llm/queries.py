@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointspark.llm import bpe, decontaminate, line_dedup, media, ranked, secrets, segmentation, simhash, token_counts, token_files, toxicity, warc
+from pointspark.llm import bpe, decontaminate, line_dedup, media, ranked, secrets, segmentation, simhash, spelling, token_counts, token_files, toxicity, warc
 from pointspark.llm.common import new_path, read
 
 
@@ -128,6 +128,10 @@ WHERE rank <= 10
 """
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 #: Lines with their keys; {docs} is a table or a subquery in brackets.
 LINES_SQL = """
 SELECT doc_id, pos, line,
@@ -160,6 +164,7 @@ def queries() -> dict:
         "op10_token_counts": op10_token_counts,
         "op11_pair_index_bpe": op11_pair_index_bpe,
         "op12_ranked_search": op12_ranked_search,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
