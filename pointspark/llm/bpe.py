@@ -42,7 +42,9 @@ BITS = 24
 #: Pieces, and ids, that a worker remembers.
 WORDS, IDS = 600_000, 8_000_000
 #: Bytes of words that are indexed together.
-INDEXED = 4_000_000
+INDEXED = 2_000_000
+#: Added to the number of a piece that is a part of another.
+PIECE = 1 << 40
 
 
 class PairIndex:
@@ -131,9 +133,11 @@ class Encoder(dict):
         #: The row of each piece's ids, by the piece's number.
         self.row = array("q")
         self.new: list[str] = []
+        self.numbers = 0
 
     def __missing__(self, piece: str) -> int:
-        number = self[piece] = len(self.row) + len(self.new)
+        number = self[piece] = self.numbers
+        self.numbers += 1
         self.new.append(piece)
         return number
 
@@ -149,55 +153,62 @@ class Encoder(dict):
         return out
 
     def _learn(self) -> None:
-        """Give all new pieces their ids."""
-        at = 0
-        while at < len(self.new):
-            size, begin = 0, at
-            while at < len(self.new) and size < INDEXED:
-                size += len(self.new[at])
-                at += 1
-            self._learn_some(self.new[begin:at])
-        for piece in self.new:
-            if len(piece) > subwords.LONG:
-                del self[piece]
-        self.new = []
-
-    def _learn_some(self, pieces: list[str]) -> None:
-        words, fresh, first = self.words, [], len(self.rows)
+        """Give all new pieces their ids; a piece of several words takes those of other pieces."""
+        fresh: list[bytes] = []
+        joined: list[tuple[int, list[int]]] = []
+        size = 0
 
         def row(word: bytes) -> int:
-            found = words.get(word)
-            if found is None:
-                found = words[word] = first + len(fresh)
-                fresh.append(word)
-            return found
-
-        joined, own = [], array("q")
-        for piece in pieces:
+            nonlocal size
+            fresh.append(word)
+            size += len(word)
+            return len(self.rows) + len(fresh) - 1
+
+        def part(word: bytes | int) -> int:
+            """The row of a word, or PIECE and a piece's number, or -1 and less for an id."""
+            if isinstance(word, int):
+                return -1 - word
+            text = word.decode()
+            if text[0] == " " and subwords.is_plain(text[1:]):
+                return PIECE + self[text[1:]]
+            if word not in self.words:
+                self.words[word] = row(word)
+            return self.words[word]
+
+        # Pieces that others are made of come to the end of the list while it is gone through.
+        for piece in self.new:
             if subwords.is_plain(piece):
-                own.append(row(b" " + piece.encode()))
+                self.row.append(row(b" " + piece.encode()))
             else:
                 mark = subwords.ends_in_mark(piece) and subwords.is_plain(piece[:-1])
-                parts = [b" " + piece[:-1].encode(), piece[-1].encode()] if mark else self._split(piece)
-                own.append(-1 - len(joined))
-                joined.append([row(x) if isinstance(x, bytes) else -1 - x for x in parts])
+                joined.append((len(self.row), [part(x) for x in ([b" " + piece[:-1].encode(), piece[-1].encode()] if mark else self._split(piece))]))
+                self.row.append(-1)
+            if size >= INDEXED:
+                self._index(fresh)
+                size = 0
+        self._index(fresh)
+        rows, flat, ends = self.rows, self.rows.flat, self.rows.ends
+        for number, parts in joined:
+            whole = array("I")
+            for x in parts:
+                if x < 0:
+                    whole.append(-1 - x)
+                else:
+                    at = self.row[x - PIECE] if x >= PIECE else x
+                    whole += flat[ends[at] : ends[at + 1]]
+            self.row[number] = len(rows)
+            rows.append(whole)
+        for known in (self, self.words):
+            for x in [x for x in (self.new if known is self else known) if len(x) > subwords.LONG]:
+                del known[x]
+        self.new = []
+
+    def _index(self, fresh: list[bytes]) -> None:
         if fresh:
             ids, sizes = self.index.encode(fresh)
             self.rows.flat.frombytes(ids.astype(np.uint32).tobytes())
             self.rows.ends.frombytes((np.cumsum(sizes) + self.rows.ends[-1]).tobytes())
-        after, flat, ends = len(self.rows), self.rows.flat, self.rows.ends
-        for parts in joined:
-            whole = array("I")
-            for x in parts:
-                if x >= 0:
-                    whole += flat[ends[x] : ends[x + 1]]
-                else:
-                    whole.append(-1 - x)
-            self.rows.append(whole)
-        self.row.extend(x if x >= 0 else after - 1 - x for x in own)
-        for word in fresh:
-            if len(word) > subwords.LONG:
-                del words[word]
+            fresh.clear()
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and how many each text has."""
