@@ -5,8 +5,8 @@ queries, and are dealt into segments of bounded size.  A segment holds, for each
 term, a posting list that is cut into blocks of similar documents: the list's
 documents are assigned to the nearest of a few of their own by a projection of
 their vectors.  Each block has a summary, the coordinatewise maximum of its
-documents' vectors.  Segments are written as a table, one row each, and searched
-there.
+documents' vectors.  A segment is built and searched in one task, as the vectors
+are of one block of queries; only the k best of each query leave it.
 
 Terms are numbered from the heaviest (rarest) to the lightest.  A query goes
 through its lists in that order, so what is in a list and was not met before has
@@ -43,7 +43,7 @@ from pointspark.llm.common import row_key, save
 
 TOP = 10
 #: Documents of a block, on average, and most of a segment.
-BLOCK, SEGMENT = 64, 16_384
+BLOCK, SEGMENT = 64, 8_192
 #: Terms of the queries that are searched together; a query with more is searched alone.
 QUERY_TERMS = 65_536
 #: Coordinates of the projection by which documents are compared.
@@ -113,13 +113,6 @@ def count_terms(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, place long, n long, terms array<int>, counts array<int>")
 
 
-INDEX = {
-    "ids": pa.list_(pa.int64()), "row_ends": pa.list_(pa.int32()), "terms": pa.list_(pa.int32()), "impacts": pa.list_(pa.int64()),
-    "lists": pa.list_(pa.int32()), "list_blocks": pa.list_(pa.int32()), "block_ends": pa.list_(pa.int32()), "members": pa.list_(pa.int32()),
-    "summary_ends": pa.list_(pa.int32()), "summary_terms": pa.list_(pa.int32()), "summary_most": pa.list_(pa.int64()),
-}
-
-
 def blocks_of(sketch: np.ndarray) -> np.ndarray:
     """The block of each document of a posting list, by the nearest of some of them; blocks much larger than the others are cut."""
     n = len(sketch)
@@ -136,7 +129,12 @@ def blocks_of(sketch: np.ndarray) -> np.ndarray:
 
 
 def build_segment(ids: np.ndarray, ends: np.ndarray, term: np.ndarray, impact: np.ndarray) -> dict[str, np.ndarray]:
-    """The columns of INDEX for documents whose vectors are (term, impact), terms ascending, up to ``ends``."""
+    """The arrays of a segment of documents whose vectors are (term, impact), terms ascending, up to ``ends``.
+
+    ``lists`` has the terms; list i has the blocks from ``list_blocks[i]`` to the
+    next; a block's documents are ``members`` and its summary ``summary_terms``
+    and ``summary_most``, each up to the block's end.
+    """
     starts = ends - np.diff(ends, prepend=0)
     doc = np.repeat(np.arange(len(ids)), ends - starts)
     size = int(term.max(initial=-1)) + 1
@@ -176,34 +174,8 @@ def build_segment(ids: np.ndarray, ends: np.ndarray, term: np.ndarray, impact: n
     return joined | {"ids": ids, "row_ends": ends, "terms": term, "impacts": impact, "lists": lists, "list_blocks": np.array(n_blocks)}
 
 
-def build_index(vectors: DataFrame, weights: np.ndarray, number: np.ndarray, n: int, length: int, segments: int) -> DataFrame:
-    """Segments (columns of INDEX) of the rows of ``count_terms``; ``number`` gives a term its place from heaviest to lightest."""
-    shared = vectors.sparkSession.sparkContext.broadcast((weights, number))
-
-    def build(table: pa.Table) -> pa.Table:
-        weight, renumber = shared.value
-        table = table.combine_chunks()
-        ids = table["doc_id"].fill_null(NO_ID).to_numpy()
-        order = np.lexsort((table["place"].to_numpy(), ids))
-        table, ids = table.take(pa.array(order)), ids[order]
-        sizes = table["terms"].combine_chunks().value_lengths().to_numpy()
-        doc = np.repeat(np.arange(len(ids)), sizes)
-        term = renumber[table["terms"].combine_chunks().flatten().to_numpy()]
-        count = table["counts"].combine_chunks().flatten().to_numpy().astype(np.int64)
-        damp = 100 - 90 + 90 * table["n"].to_numpy() * n // length
-        impact = weight[term] * (1_000_000_000 * count // (1000 * count + 8 * damp[doc]))
-        order = np.lexsort((term, doc))
-        segment = build_segment(ids, np.cumsum(sizes, dtype=np.int64), term[order], impact[order])
-        return pa.table({k: pa.array([segment[k]], kind) for k, kind in INDEX.items()})
-
-    segment = F.pmod(F.xxhash64("doc_id", "place"), F.lit(segments)).cast("int")
-    held = vectors.where(F.size("terms") > 0).select("doc_id", "place", "n", "terms", "counts", segment.alias("segment"))
-    kinds = ", ".join(f"{k} array<{'bigint' if kind.value_type == pa.int64() else 'int'}>" for k, kind in INDEX.items())
-    return held.groupBy("segment").applyInArrow(build, kinds)
-
-
 class Segment:
-    """A row of the index, and the search in it."""
+    """A segment's arrays, and the search in it."""
 
     def __init__(self, columns: dict[str, np.ndarray], n_terms: int):
         self.__dict__.update(columns)
@@ -255,21 +227,36 @@ class Segment:
         return best, score
 
 
-def search_index(index: DataFrame, queries: list[np.ndarray], n_terms: int, k: int) -> DataFrame:
-    """(query, doc_id, score): the k best of each segment for each query."""
-    shared = index.sparkSession.sparkContext.broadcast(queries)
+def search_segments(vectors: DataFrame, queries: list[np.ndarray], weights: np.ndarray, number: np.ndarray, n: int, length: int, segments: int, k: int) -> DataFrame:
+    """(query, doc_id, score): the k best of each segment of the rows of ``count_terms`` for each query.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                segment = Segment({c: batch.column(j)[i].values.to_numpy().astype(np.int64) for j, c in enumerate(INDEX)}, n_terms)
-                found = [segment.search(q, k) for q in shared.value]
-                sizes = [len(d) for d, _ in found]
-                docs = segment.ids[np.concatenate([d for d, _ in found])] if found else np.zeros(0, np.int64)
-                score = np.concatenate([s for _, s in found]) if found else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(found)), sizes), pa.int32()), pa.array(docs), pa.array(score)], ["query", "doc_id", "score"])
+    ``number`` gives a term its place from heaviest to lightest; ``weights`` and
+    ``queries`` have these places.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast((weights, number, queries))
+
+    def run(table: pa.Table) -> pa.Table:
+        weight, renumber, asked = shared.value
+        ids = table["doc_id"].combine_chunks().fill_null(NO_ID).to_numpy()
+        order = np.lexsort((table["place"].to_numpy(), ids))
+        table, ids = table.take(pa.array(order)).combine_chunks(), ids[order]
+        lists, counts = table["terms"].combine_chunks(), table["counts"].combine_chunks()
+        sizes = lists.value_lengths().to_numpy()
+        doc = np.repeat(np.arange(len(ids)), sizes)
+        term = renumber[lists.flatten().to_numpy()]
+        count = counts.flatten().to_numpy().astype(np.int64)
+        damp = 100 - 90 + 90 * table["n"].to_numpy() * n // length
+        impact = weight[term] * (1_000_000_000 * count // (1000 * count + 8 * damp[doc]))
+        order = np.lexsort((term, doc))
+        segment = Segment(build_segment(ids, np.cumsum(sizes, dtype=np.int64), term[order], impact[order]), len(weight))
+        found = [segment.search(q, k) for q in asked]
+        query = np.repeat(np.arange(len(found)), [len(d) for d, _ in found])
+        docs, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"query": pa.array(query, pa.int32()), "doc_id": pa.array(ids[docs]), "score": pa.array(score)})
 
-    return index.select(*INDEX).mapInArrow(run, "query int, doc_id long, score long")
+    segment = F.pmod(F.xxhash64("doc_id", "place"), F.lit(segments)).cast("int")
+    held = vectors.where(F.size("terms") > 0).select("doc_id", "place", "n", "terms", "counts", segment.alias("segment"))
+    return held.groupBy("segment").applyInArrow(run, "query int, doc_id long, score long")
 
 
 def search(
@@ -293,13 +280,12 @@ def search(
         number = np.empty(len(order), np.int64)
         number[order] = np.arange(len(order))
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        segments = max(-(-n_rows // SEGMENT), min(parts, -(-n_rows * 16 // SEGMENT)))
-        index = save(build_index(vectors, weight[order], number, n, length, segments), "segments")
+        segments = max(-(-n_rows // SEGMENT), min(parts, -(-n_rows * 8 // SEGMENT)))
         place, queries = {t: int(number[i]) for i, t in enumerate(vocabulary)}, {}
         for r in own:
             queries.setdefault((r.item, r.item_id), []).append(place[bytes(r.term)])
         names = [(i, *name) for i, name in enumerate(queries)]
-        best = search_index(index, [np.array(sorted(q)) for q in queries.values()], len(vocabulary), k)
+        best = search_segments(vectors, [np.array(sorted(q)) for q in queries.values()], weight[order], number, n, length, segments, k)
         named = best.join(F.broadcast(spark.createDataFrame(names, "query int, item string, item_id long")), "query")
         found = named if found is None else found.unionByName(named)
     if found is None:
