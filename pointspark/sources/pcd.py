@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "path string, scene_id string, point_idx long, x double, y double, z double, r double, g double, b double, error string"
-_KINDS = {("F", 4): "<f4", ("F", 8): "<f8", ("U", 1): "u1", ("U", 2): "<u2", ("U", 4): "<u4", ("I", 1): "i1", ("I", 2): "<i2", ("I", 4): "<i4"}
+_KINDS = {("F", 4): "<f4", ("F", 8): "<f8", ("U", 1): "u1", ("U", 2): "<u2", ("U", 4): "<u4", ("I", 1): "i1", ("I", 2): "<i2", ("I", 4): "<i4", ("U", 8): "<u8", ("I", 8): "<i8"}
+
+#: Fields that points are made of.
+USED = {*"xyzrgb", "rgb", "rgba"}
 
 
 def _unpack_lzf(data: bytes, size: int) -> bytes:
@@ -39,38 +43,69 @@ def _unpack_lzf(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
-def decode_pcd(content: bytes) -> dict[str, np.ndarray]:
-    """Columns x, y, z and r, g, b (in [0, 1], NaN without colours) of a file in ascii, binary or compressed form.
+@dataclass(frozen=True)
+class Header:
+    """What the header of a PCD file says, and where its data begins."""
 
-    A field with a COUNT above 1 takes that many values; its first is used.
-    """
+    names: tuple[str, ...]
+    kinds: tuple[str, ...]
+    counts: tuple[int, ...]
+    form: str
+    points: int | None
+    begins: int
+
+    @property
+    def record(self) -> np.dtype:
+        """A point in the binary form."""
+        return np.dtype([(x, t, (c,)) for x, t, c in zip(self.names, self.kinds, self.counts, strict=True)])
+
+
+def read_header(content: bytes) -> Header:
+    """The header at the beginning of a file; an error if there is none."""
     head, _, rest = content.partition(b"DATA ")
-    kind, _, data = rest.partition(b"\n")
-    header = {k.decode(): v.split() for k, _, v in (line.partition(b" ") for line in head.splitlines()) if k and not k.startswith(b"#")}
-    names = [x.decode() for x in header["FIELDS"]]
-    types = [_KINDS[t.decode(), int(s)] for t, s in zip(header["TYPE"], header["SIZE"], strict=True)]
-    counts = [int(c) for c in header.get("COUNT", [b"1"] * len(names))]
-    kind = kind.strip()
-    if kind == b"ascii":
-        rows = [line.split() for line in data.splitlines() if line.strip()]
-        first = np.cumsum(counts) - counts
-        found = {n: np.array([r[i] for r in rows], "S").astype(float if t[-2] == "f" else np.int64) for n, i, t in zip(names, first.tolist(), types, strict=True)}
-    elif kind in (b"binary", b"binary_compressed"):
-        n = int(header["POINTS"][0])
-        if kind == b"binary":
-            table = np.frombuffer(data, np.dtype([(x, t, (c,)) for x, t, c in zip(names, types, counts, strict=True)]), n)
-            found = {x: table[x][:, 0] for x in names}
-        else:
-            packed, size = np.frombuffer(data, "<u4", 2).tolist()
-            raw, at, found = _unpack_lzf(data[8 : 8 + packed], size), 0, {}
-            for x, t, c in zip(names, types, counts, strict=True):
-                found[x] = np.frombuffer(raw, t, n * c, at)[::c]
-                at += n * c * np.dtype(t).itemsize
-    else:
-        raise ValueError(f"PCD data form {kind.decode(errors='replace')!r} is not supported")
+    form, _, data = rest.partition(b"\n")
+    said = {k.decode(): v.split() for k, _, v in (line.strip().partition(b" ") for line in head.splitlines()) if k and not k.startswith(b"#")}
+    names = tuple(x.decode() for x in said["FIELDS"])
+    kinds = tuple(_KINDS[t.decode(), int(s)] for t, s in zip(said["TYPE"], said["SIZE"], strict=True))
+    counts = tuple(int(c) for c in said.get("COUNT", [b"1"] * len(names)))
+    if not {*"xyz"} <= {*names} or not len(names) == len(kinds) == len(counts):
+        raise ValueError("the header does not describe points")
+    form = form.strip().decode(errors="replace")
+    if form not in ("ascii", "binary", "binary_compressed"):
+        raise ValueError(f"PCD data form {form!r} is not supported")
+    points = int(said["POINTS"][0]) if "POINTS" in said else None
+    return Header(names, kinds, counts, form, points, len(content) - len(data))
+
+
+def ascii_fields(header: Header, data: bytes) -> dict[str, np.ndarray]:
+    """The fields of lines of text; lines that lack a value or hold no number are left out."""
+    first = (np.cumsum(header.counts) - header.counts).tolist()
+    wanted = [(n, i, float if t[-2] == "f" else np.int64) for n, i, t in zip(header.names, first, header.kinds, strict=True) if n in USED]
+    width = first[-1] + header.counts[-1]
+    rows = [line.split() for line in data.splitlines()]
+    rows = [r for r in rows if len(r) >= width]
+
+    def columns(rows: list[list[bytes]]) -> dict[str, np.ndarray]:
+        return {n: np.array([r[i] for r in rows], "S").astype(kind) for n, i, kind in wanted}
+
+    try:
+        return columns(rows)
+    except ValueError:
+        good = []
+        for r in rows:
+            try:
+                columns([r])
+            except ValueError:
+                continue
+            good.append(r)
+        return columns(good)
+
+
+def as_points(found: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Columns x, y, z and r, g, b (in [0, 1], NaN without colours) of a file's fields."""
     n = len(found["x"])
-    if "rgb" in found:
-        packed = found["rgb"]
+    if "rgb" in found or "rgba" in found:
+        packed = found["rgb"] if "rgb" in found else found["rgba"]
         packed = np.ascontiguousarray(packed).astype("<f4").view("<u4") if packed.dtype.kind == "f" else packed
         colours = {c: (packed.astype(np.int64) >> s & 255) / 255 for c, s in zip("rgb", (16, 8, 0), strict=True)}
     else:
@@ -78,6 +113,36 @@ def decode_pcd(content: bytes) -> dict[str, np.ndarray]:
     return {a: found[a].astype(float) for a in "xyz"} | colours
 
 
+def decode_pcd(content: bytes) -> dict[str, np.ndarray]:
+    """Columns x, y, z and r, g, b (in [0, 1], NaN without colours) of a file in ascii, binary or compressed form.
+
+    A field with a COUNT above 1 takes that many values; its first is used.
+    """
+    header = read_header(content)
+    data = content[header.begins :]
+    if header.form == "ascii":
+        return as_points(ascii_fields(header, data))
+    if header.points is None:
+        raise ValueError("the header does not tell the number of points")
+    if header.form == "binary":
+        size = header.points * header.record.itemsize
+        if len(data) < size:
+            raise ValueError("a binary PCD holds fewer points than it tells")
+        return as_points(binary_fields(header, data[:size]))
+    packed, size = np.frombuffer(data, "<u4", 2).tolist()
+    raw, at, found = _unpack_lzf(data[8 : 8 + packed], size), 0, {}
+    for x, t, c in zip(header.names, header.kinds, header.counts, strict=True):
+        found[x] = np.frombuffer(raw, t, header.points * c, at)[::c]
+        at += header.points * c * np.dtype(t).itemsize
+    return as_points(found)
+
+
+def binary_fields(header: Header, data: bytes) -> dict[str, np.ndarray]:
+    """The fields of whole records."""
+    table = np.frombuffer(data, header.record)
+    return {x: table[x][:, 0] for x in header.names if x in USED}
+
+
 def parse_text(content: bytes) -> dict[str, np.ndarray]:
     """What ``parse_lines`` finds in a whole file, from after its ``DATA ascii`` line or, without one, from its start."""
     lines = content.decode("utf-8", "replace").splitlines()
@@ -100,10 +165,14 @@ def parse_text(content: bytes) -> dict[str, np.ndarray]:
 
 
 def decode_any(content: bytes) -> dict[str, np.ndarray]:
-    """``decode_pcd``; where that fails or finds no colours, what ``parse_text`` finds, if anything."""
+    """``decode_pcd``; only where that fails or finds no points, what ``parse_text`` finds, if anything.
+
+    A file whose header decodes keeps all its points, with or without colours:
+    lines of other fields, such as normals, could pass for colours as text.
+    """
     try:
         found, error = decode_pcd(content), None
-        if not len(found["x"]) or not all(np.isnan(found[c]).all() for c in "rgb"):
+        if len(found["x"]):
             return found
     except Exception as e:  # noqa: BLE001  any broken file is tried as text
         found, error = None, e
@@ -118,8 +187,8 @@ def decode_any(content: bytes) -> dict[str, np.ndarray]:
 def read_pcd(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """All points of the ``.pcd`` files of a folder, through Spark's own file access.
 
-    A file that is no PCD, or has no colours, is read as lines of text, if it
-    holds any points in that form.  A file that cannot be read is one row with
+    A file that is no PCD, or holds no points as one, is read as lines of text,
+    if it holds any points in that form.  A file that cannot be read is one row with
     ``error`` set and no point, so one bad scan does not end a run.  A file is a
     scan and is decoded whole.
     """
@@ -136,7 +205,7 @@ def read_pcd(spark: SparkSession, path: str, recursive: bool = False) -> DataFra
                     found, error, n = {c: np.zeros(1) for c in "xyzrgb"}, f"{type(e).__name__}: {e}", 1
                 good = [pa.array(found[c], pa.float64(), mask=np.full(n, True) if error else np.isnan(found[c]) if c in "rgb" else None) for c in "xyzrgb"]
                 index = pa.array([None] if error else np.arange(n), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([where] * n), pa.array([name] * n), index, *good, pa.array([error] * n, pa.string())], [c.split()[0] for c in SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array([where] * n, pa.string()), pa.array([name] * n, pa.string()), index, *good, pa.array([error] * n, pa.string())], [c.split()[0] for c in SCHEMA.split(", ")])
 
     return files.select("path", "content").mapInArrow(decode, SCHEMA)
 
