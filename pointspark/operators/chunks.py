@@ -24,15 +24,21 @@ def scene_density(bounds: DataFrame) -> DataFrame:
     return with_volume.withColumn("density", F.when(F.col("volume") > 0, F.col("n") / F.nullif("volume", F.lit(0.0))).otherwise(1000.0))
 
 
+#: Chunks are at least so far apart, however small or overlapping they are.
+LEAST_STEP = 0.01
+
+
 def chunk_sizes(density: DataFrame, config: EvalConfig) -> DataFrame:
-    """The edge of a chunk that holds about the target number of points, within the profile's bounds; or the profile's fixed one."""
+    """The edge of a chunk: that of the configuration if it gives one; what holds about the target number of points, within the profile's bounds; or the profile's fixed one."""
+    if config.chunk_size is not None:
+        return density.withColumn("size", F.round(F.lit(float(config.chunk_size)), 6))
     size = config.profile.clamp(F.cbrt(config.target_points / F.col("density"))) if config.adaptive else F.lit(config.profile.fixed_chunk)
     return density.withColumn("size", F.round(size, 6))
 
 
 def axis_steps(sized: DataFrame, config: EvalConfig) -> DataFrame:
     """How many chunk positions each axis has, at most ``max_steps`` if that is set."""
-    step = F.col("size") * (1 - config.overlap)
+    step = F.greatest(F.col("size") * (1 - config.overlap), F.lit(LEAST_STEP))
     count = {f"k_{a}": F.ceil((F.col(f"max_{a}") - F.col(f"min_{a}")) / step) + 1 for a in AXES}
     if config.max_steps is not None:
         count = {k: F.least(v, F.lit(config.max_steps)) for k, v in count.items()}

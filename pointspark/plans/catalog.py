@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pointspark.functions import columns as fn
 from pointspark.functions.rng import uniform_between
 from pointspark.functions.shared import save
-from pointspark.operators import batches, chunks, clustering, compose, metrics, points, sampling, scoring, votes
+from pointspark.operators import batches, chunks, clustering, compose, metrics, points, registry, sampling, scoring, votes
 from pointspark.plans import adapters, evaluate
 from pointspark.plans.adapters import EPOCHS, OBJECTS, PAIRS, POINTS, key_sql, table, uniform_sql
 from pointspark.plans.config import V2, V3, ComposeConfig, EvalConfig
@@ -240,13 +241,16 @@ DENSITY = f"(SELECT *, CASE WHEN volume > 0 THEN n / volume ELSE 1000.0 END AS d
 
 def size_sql(c: EvalConfig) -> str:
     p = c.profile
+    if c.chunk_size is not None:
+        return f"(SELECT *, round(CAST({c.chunk_size!r} AS DOUBLE), 6) AS size FROM {DENSITY})"
     if not c.adaptive:
         return f"(SELECT *, round({p.fixed_chunk}, 6) AS size FROM {DENSITY})"
     return f"(SELECT *, round(greatest({p.smallest_chunk}, least({p.largest_chunk}, cbrt({c.target_points} / density))), 6) AS size FROM {DENSITY})"
 
 
 def steps_sql(c: EvalConfig) -> str:
-    k = ", ".join(f"CAST(least(ceil((max_{a} - min_{a}) / (size * {1 - c.overlap!r})) + 1, {c.max_steps}) AS INT) AS k_{a}" for a in XYZ)
+    most = c.max_steps if c.max_steps is not None else 2**31 - 1
+    k = ", ".join(f"CAST(least(ceil((max_{a} - min_{a}) / greatest(size * {1 - c.overlap!r}, {chunks.LEAST_STEP})) + 1, {most}) AS INT) AS k_{a}" for a in XYZ)
     return f"(SELECT *, {k} FROM {size_sql(c)})"
 
 
@@ -319,6 +323,7 @@ def _assign(name: str, c: EvalConfig):
 
 _assign("chunk_assign", EVAL)
 _assign("chunk_assign_target_100", FINE)
+_assign("chunk_assign_free_size", EvalConfig(profile=V3, chunk_size=0.75, overlap=0.3))
 
 
 def saved_points(spark, d):
@@ -355,6 +360,43 @@ _summary("scene_summary", EVAL)
 _summary("scene_summary_target_100", FINE)
 
 
+@query(_SQL["scene_summary"])
+def scene_summary_ragged(spark, d):
+    """The same scorer as a registered model, called with ragged batches of chunks."""
+    model = registry.publish(registry.models_dir(spark), "linear", "linear", {"weights": [[0.0, 0.0, 0.0], [0.8, -0.5, 0.3]], "bias": [0.0, 0.1]}, places=6)
+    scorer = scoring.RaggedScorer(scoring.pointwise(model), model.features, points=4096)
+    return votes.scene_summary(evaluate.evaluate(saved_points(spark, d), EVAL, scorer)).withColumns(r4("target_rate", "alien_rate"))
+
+
+#: Points of a chunk that the scorer of the next two queries can't take.
+TOO_MANY = 112
+
+
+def overwhelmed(spark, d):
+    """The evaluation by a scorer that raises on large chunks."""
+
+    def score(xyz, ends):
+        sizes = np.diff(ends, prepend=0)
+        if (sizes > TOO_MANY).any():
+            raise ValueError(f"a chunk of {sizes.max()} points")
+        return np.stack([np.zeros(len(xyz)), np.round(xyz @ np.array([0.8, -0.5, 0.3]) + 0.1, 6)], 1)
+
+    return evaluate.evaluate_isolated(saved_points(spark, d), EVAL, scoring.RaggedScorer(score, points=4096, isolate=True))
+
+
+LARGE = f"(SELECT scene_id, ix, iy, iz, count(*) AS n FROM {assign_sql(EVAL)} GROUP BY ALL HAVING count(*) > {TOO_MANY})"
+
+
+@query(f"SELECT scene_id, 'score' AS stage, count(*) AS chunks, min_by('ValueError: a chunk of ' || n || ' points', (ix, iy, iz)) AS error FROM {LARGE} GROUP BY scene_id")
+def failed_scenes(spark, d):
+    return overwhelmed(spark, d)[1]
+
+
+@query(f"SELECT scene_id, total_points, target_points, alien_points, background_points, {RATES} FROM {summary_sql(EVAL)} WHERE scene_id NOT IN (SELECT scene_id FROM {LARGE})")
+def scene_summary_isolated(spark, d):
+    return votes.scene_summary(overwhelmed(spark, d)[0]).withColumns(r4("target_rate", "alien_rate"))
+
+
 @query(f"SELECT 'Scene_' || scene_id AS Scene, total_points AS Total_Points, target_points AS Target_Points, alien_points AS Alien_Points, {r4_sql('target_rate', 'Target_Rate_Percent')}, {r4_sql('alien_rate', 'Alien_Rate_Percent')}, target_points > 0 AS Target_Detected, alien_points > 0 AS Alien_Detected FROM {summary_sql(EVAL)}")
 def batch_summary(spark, d):
     return votes.batch_summary(summary(spark, d)).withColumns(r4("Target_Rate_Percent", "Alien_Rate_Percent"))

@@ -35,6 +35,8 @@ class EvalConfig:
     target_points: int = 15_000
     overlap: float = 0.2
     adaptive: bool = True
+    #: The edge of all chunks; None: adaptive, or the profile's fixed one.
+    chunk_size: float | None = None
     #: Chunk positions of an axis at most; None: as many as cover the scene, however wide.
     max_steps: int | None = 100
     max_points: int | None = None

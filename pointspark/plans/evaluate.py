@@ -19,7 +19,7 @@ def grid_steps(points: DataFrame, config: EvalConfig) -> DataFrame:
 
 
 def predict_points(points: DataFrame, config: EvalConfig, scorer: scoring.Scorer | None = None) -> DataFrame:
-    """(scene_id, point_idx, ix, iy, iz, p0, p1, pred) for each point in each chunk."""
+    """(scene_id, point_idx, ix, iy, iz, p0, p1, pred) for each point in each chunk; and error, if the scorer isolates failures."""
     scorer = scorer or scoring.LinearScorer()
     takes = getattr(scorer, "features", False)
     colours = COLOURS if takes and config.profile.features == "rgb" else ()
@@ -36,17 +36,51 @@ def predict_points(points: DataFrame, config: EvalConfig, scorer: scoring.Scorer
     if config.condition is not None:
         placed = placed.withColumns({"condition": F.lit(config.condition), "context": F.lit(None).cast("string")})
     scored = scorer(placed)
-    return scoring.predict(scored).select("scene_id", "point_idx", "ix", "iy", "iz", "p0", "p1", "pred")
+    own = ["error"] if getattr(scorer, "isolate", False) else []
+    return scoring.predict(scored).select("scene_id", "point_idx", "ix", "iy", "iz", "p0", "p1", "pred", *own)
 
 
-def evaluate(points: DataFrame, config: EvalConfig, scorer: scoring.Scorer | None = None) -> DataFrame:
-    """Each point with pred, confidence, seen and class."""
-    voted = votes.vote(points, predict_points(points, config, scorer))
+def finish(points: DataFrame, predictions: DataFrame, config: EvalConfig) -> DataFrame:
+    """Votes, the largest cluster if that is asked for, and classes."""
+    voted = votes.vote(points, predictions)
     if config.cluster:
         voted = clustering.keep_largest(voted, config.eps, config.min_samples)
     return votes.classify(voted, config.alien_above)
 
 
+def evaluate_isolated(points: DataFrame, config: EvalConfig, scorer: scoring.ChunkScorer | scoring.RaggedScorer) -> tuple[DataFrame, DataFrame]:
+    """The classified points of the scenes that went well, and the others as (scene_id, stage, chunks, error).
+
+    A scene is quarantined whole: if its file could not be read (rows with
+    ``error``, as the readers give them), or if the scorer raised on any of its
+    chunks, of which ``chunks`` says how many; the message is that of the first
+    by position.  The run goes on, and what a scene leaves behind is kept out
+    by anti-joins.  The scorer must have ``isolate``.
+    """
+    if not getattr(scorer, "isolate", False):
+        raise ValueError("the scorer must isolate failures")
+    unread = None
+    if "error" in points.columns:
+        unread = points.where("error is not null").groupBy("scene_id").agg(F.min("error").alias("error"))
+        points = points.where("error is null").drop("error")
+    predictions = save(predict_points(points, config, scorer), "predictions")
+    place = F.struct("ix", "iy", "iz")
+    failed = predictions.where("error is not null").groupBy("scene_id", "ix", "iy", "iz").agg(F.min("error").alias("error"))
+    failed = failed.groupBy("scene_id").agg(F.count("*").alias("chunks"), F.min_by("error", place).alias("error"))
+    failures = failed.select("scene_id", F.lit("score").alias("stage"), "chunks", "error")
+    if unread is not None:
+        failures = failures.unionByName(unread.select("scene_id", F.lit("read").alias("stage"), F.lit(None).cast("long").alias("chunks"), "error"))
+    failures = save(failures, "failures")
+    bad = failures.select("scene_id").distinct()
+    good = lambda rows: rows.join(bad, "scene_id", "left_anti")
+    return finish(good(points), good(predictions.drop("error")), config), failures
+
+
+def evaluate(points: DataFrame, config: EvalConfig, scorer: scoring.Scorer | None = None) -> DataFrame:
+    """Each point with pred, confidence, seen and class."""
+    return finish(points, predict_points(points, config, scorer), config)
+
+
 def segmented(classified: DataFrame) -> DataFrame:
     """Points in the colours of their classes; background keeps its own."""
     red, green, blue = class_colour(F.col("class"))
