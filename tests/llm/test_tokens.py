@@ -130,3 +130,29 @@ def test_letters_are_encoded_as_by_the_library():
         for piece, want in zip(pieces, library.encode_batch([" " + p for p in pieces], add_special_tokens=False), strict=True):
             got = list(memo.rows[memo[piece]]) if path == WORD else memo[piece]
             assert got == (want.ids if path == WORD else len(want.ids)), piece
+
+
+def test_chunks_widen_beside_failed_junctions_only():
+    spans = [(0, 100, 0, False), (90, 190, 10, False), (180, 280, 10, True), (270, 370, 10, False), (360, 460, 10, False)]
+    assert token_counts.widened(spans) == [(0, 100, 0, 90, False), (90, 260, 10, 180, True), (180, 280, 80, 270, True), (270, 370, 10, 360, False), (360, 460, 10, None, False)]
+    # An overlap that would cover the right chunk takes it in, and the next one; its other neighbour stays as it is.
+    spans = [(0, 100, 0, False), (20, 120, 80, True), (90, 190, 30, True), (180, 280, 10, False)]
+    assert token_counts.widened(spans) == [(0, 190, 0, 180, True), (180, 280, 10, None, False)]
+    assert token_counts.widened([(0, 5, 0, False)]) == [(0, 5, 0, None, False)]
+
+
+def test_only_neighbours_of_failed_junctions_are_encoded_again(spark, monkeypatch):
+    """One run of letters over several chunks of a long text: few characters are encoded twice, and counts are the library's."""
+    text = "some words and 123 numbers, " * 1500 + "q" * 9_000 + " and words again. " * 1500 + "É" * 700 + " end " * 500
+    encoded, of = [], token_counts.chunk_counts
+
+    def counting(chunks, path):
+        encoded.append(chunks.select(F.sum(F.length("text"))).first()[0])
+        return of(chunks, path)
+
+    monkeypatch.setattr(token_counts, "chunk_counts", counting)
+    docs = spark.createDataFrame([(1, text), (2, "plain words " * 2000)], "doc_id long, text string")
+    found = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, BYTE, chunk=2000, overlap=100).collect()}
+    library = Tokenizer.from_file(BYTE)
+    assert found == {1: len(library.encode(text, add_special_tokens=False).ids), 2: len(library.encode("plain words " * 2000, add_special_tokens=False).ids)}
+    assert len(encoded) >= 3 and sum(encoded[1:]) < 0.8 * len(text)
