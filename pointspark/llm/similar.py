@@ -39,8 +39,8 @@ SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 25, 5
 SEED = 42
-#: Hashes of a bucket's sets that one task compares.
-HELD = 4_000_000
+#: Hashes of a bucket's sets that one task compares, and sets.
+HELD, SETS = 4_000_000, 20_000
 #: Shingles that meet all hash functions at a time.
 BLOCK = 4096
 
@@ -95,38 +95,66 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "left", "right").mapInArrow(check, "a long, b long, alike boolean")
 
 
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of rows that begin at ``starts`` with ``sizes``, end to end."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest, as pairs of places, of the sets (sorted hashes) that are similar."""
+    """A spanning forest, as pairs of places, of the sets (sorted hashes) that are similar.
+
+    With hashes ordered from rare to frequent, two similar sets have one in
+    common among the first of each, of which there is one more than a set may
+    miss.  An index of these leads from a set to those that it can be similar
+    to, and their hashes in common are counted; so a hash that all sets hold
+    leads nowhere.
+    """
     if not sets:
         return []
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    ends = np.cumsum(sizes)
-    marked = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
-    rest, links = list(range(len(sets))), []
-    while rest:
-        frontier, rest = [rest[0]], rest[1:]
-        while frontier and rest:
+    codes, number = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    rank = np.empty(len(number), np.int64)
+    rank[np.argsort(number, kind="stable")] = np.arange(len(number))
+    of = np.repeat(np.arange(len(sets)), sizes)
+    codes = rank[codes]
+    codes = codes[np.lexsort((codes, of))]
+    starts = np.cumsum(sizes) - sizes
+    first = sizes - -(-percent * sizes // 100) + (sizes > 0)
+    entry = _places(starts, first)
+    owner = np.repeat(np.arange(len(sets)), first)
+    order = np.argsort(codes[entry], kind="stable")
+    held, owner = codes[entry][order], owner[order]
+    low, high = np.searchsorted(held, np.arange(len(number))), np.searchsorted(held, np.arange(len(number)), "right")
+    marked, rest, links = np.zeros(len(number), np.int64), np.ones(len(sets), bool), []
+    for root in range(len(sets)):
+        if not rest[root]:
+            continue
+        rest[root] = False
+        frontier = [root]
+        while frontier:
             at = frontier.pop()
-            own = codes[ends[at] - sizes[at] : ends[at]]
+            own = codes[starts[at] : starts[at] + sizes[at]]
+            lead = own[: first[at]]
+            met = np.unique(owner[_places(low[lead], high[lead] - low[lead])])
+            met = met[rest[met]]
+            met = met[100 * np.minimum(sizes[met], sizes[at]) >= percent * np.maximum(sizes[met], sizes[at])]
+            if not len(met):
+                continue
             marked[own] = 1
-            near = set()
-            for i in rest:
-                low, high = sorted((sizes[at], sizes[i]))
-                if 100 * low >= percent * high:
-                    shared = marked[codes[ends[i] - sizes[i] : ends[i]]].sum()
-                    if 100 * shared >= percent * (sizes[at] + sizes[i] - shared):
-                        near.add(i)
+            shared = np.add.reduceat(marked[codes[_places(starts[met], sizes[met])]], np.cumsum(sizes[met]) - sizes[met])
             marked[own] = 0
-            links += [(at, i) for i in near]
-            frontier += near
-            rest = [i for i in rest if i not in near]
+            near = met[100 * shared >= percent * (sizes[met] + sizes[at] - shared)]
+            rest[near] = False
+            links += [(at, i) for i in near.tolist()]
+            frontier += near.tolist()
     return links
 
 
-def bucket_links(rest: DataFrame, sets: DataFrame, percent: int, most: int = HELD) -> DataFrame:
-    """(a, b): links inside the buckets of rows (key, set, size), no group with much more than ``most`` hashes."""
-    blocks = save(rest.groupBy("key").agg(F.when(F.sum("size") <= most, 1).otherwise(F.ceil(F.sum("size") * 2 / most)).cast("int").alias("blocks")), "blocks")
+def bucket_links(rest: DataFrame, sets: DataFrame, percent: int, most: int = HELD, many: int = SETS) -> DataFrame:
+    """(a, b): links inside the buckets of rows (key, set, size), no group with much more than ``most`` hashes or ``many`` sets."""
+    share = F.greatest(F.sum("size") / most, F.count("*") / many)
+    blocks = save(rest.groupBy("key").agg(F.when(share <= 1, 1).otherwise(F.ceil(share * 2)).cast("int").alias("blocks")), "blocks")
     block = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     dealt = rest.join(blocks, "key").select("key", "set", "blocks", block.alias("block"))
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("block")) | (F.col("blocks") == 1))

@@ -76,3 +76,36 @@ def test_pipeline_stage_drops_what_differs_in_more_than_four_bits(spark):
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
     kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
+def test_many_small_sets_that_share_a_hash_are_compared_quickly():
+    """A line that all pages have leads nowhere; those that are similar are found all the same."""
+    import time
+
+    rng = np.random.default_rng(8)
+    sets = [np.unique(np.append(rng.integers(1, 1 << 60, 9, np.uint64), np.uint64(0))) for _ in range(20_000)]
+    for i in range(0, 20_000, 100):
+        sets[i + 1] = np.unique(np.append(sets[i][:9], np.uint64(1)))
+    began = time.perf_counter()
+    links = similar.forest(sets, 80)
+    assert time.perf_counter() - began < 10
+    assert sorted(map(tuple, map(sorted, links))) == [(i, i + 1) for i in range(0, 20_000, 100)]
+
+
+def test_forest_connects_what_is_similar():
+    rng = random.Random(9)
+    for size in (1, 4, 10, 30):
+        pool = [rng.randrange(1 << 60) for _ in range(2 * size)]
+        sets = [np.unique(np.array(rng.sample(pool, rng.randint(max(1, size - 1), size + 1)), np.uint64)) for _ in range(80)]
+        label = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                shared = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * shared >= 80 * (len(sets[i]) + len(sets[j]) - shared):
+                    label = [label[j] if x == label[i] else x for x in label]
+        found = list(range(len(sets)))
+        links = similar.forest(sets, 80)
+        for a, b in links:
+            found = [found[a] if x == found[b] else x for x in found]
+        same = lambda labels: {tuple(i for i, x in enumerate(labels) if x == own) for own in set(labels)}
+        assert same(found) == same(label) and len(links) == len(sets) - len(set(label))
