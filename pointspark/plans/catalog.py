@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from pointspark.functions import columns as fn
 from pointspark.functions.rng import uniform_between
-from pointspark.functions.shared import save
-from pointspark.operators import batches, chunks, clustering, compose, metrics, points, registry, sampling, scoring, votes
+from pointspark.functions.shared import save, shared_dir
+from pointspark.operators import batches, chunks, clustering, compose, metrics, points, registry, sampling, scoring, store, views, votes
 from pointspark.plans import adapters, evaluate
 from pointspark.plans.adapters import EPOCHS, OBJECTS, PAIRS, POINTS, key_sql, table, uniform_sql
 from pointspark.plans.config import V2, V3, ComposeConfig, EvalConfig
@@ -442,6 +443,17 @@ def top_view(spark, d):
     return evaluate.evaluate(saved_points(spark, d), FINE).select(*KEYS, "x", "y", "class")
 
 
+CELLS = 48
+AT = {a: f"CAST(CASE WHEN max_{a} > min_{a} THEN least(floor((v.{a} - min_{a}) / (max_{a} - min_{a}) * {CELLS}), {CELLS - 1}) ELSE 0 END AS INT)" for a in "xy"}
+
+
+@query(f"""SELECT scene_id, {AT['x']} AS col, {AT['y']} AS row, count(*) AS points, {', '.join(r4_sql(f'avg({c})', c) for c in 'rgb')},
+CASE WHEN bool_or(class = 'target') THEN 'target' WHEN bool_or(class = 'alien') THEN 'alien' ELSE 'background' END AS top
+FROM {class_sql(FINE)} v JOIN (SELECT scene_id, min_x, max_x, min_y, max_y FROM {BOUNDS}) USING (scene_id) GROUP BY ALL""")
+def top_raster(spark, d):
+    return views.top_raster(evaluate.evaluate(saved_points(spark, d), FINE), CELLS, CELLS).withColumns(r4(*"rgb"))
+
+
 # Metrics
 
 IOU = "coalesce((coalesce(i0, 0) + coalesce(i1, 0)) / nullif(CAST(i0 IS NOT NULL AS INT) + CAST(i1 IS NOT NULL AS INT), 0), 0.0)"
@@ -634,6 +646,48 @@ def chunk_locate_many(spark, d):
     return packed.join(wanted, ["chunk_id", "position"])
 
 
+@query(whole_sql(f"SELECT CAST(floor(scene_id / 100) AS BIGINT) AS chunk_id, CAST(scene_id AS BIGINT) AS scene_id, CAST(row_number() OVER (PARTITION BY floor(scene_id / 100) ORDER BY scene_id) - 1 AS INT) AS position, count(*) AS points, CAST(sum(label) AS BIGINT) AS target_points, {r4_sql('avg(x)', 'mean_x')} FROM {COMPOSED} GROUP BY scene_id"))
+def scene_store(spark, d):
+    """A store that is written in two goes: the first one stops after its first lot."""
+    path = f"{shared_dir(spark)}/points/store-{uuid.uuid4().hex}"
+    scenes, _, own = composed_whole(spark, d)
+    counts = own.groupBy("object_id").agg(F.countDistinct("sample_idx").alias("n"))
+    make = lambda some: compose.scene_points(compose.scene_slots_of_all(some, counts, WHOLE), own, WHOLE)
+
+    class Stopped(Exception):
+        pass
+
+    def stop(progress):
+        raise Stopped
+
+    try:
+        store.write_store(scenes, make, path, WHOLE, lot=16, told=stop)
+    except Stopped:
+        pass
+    store.write_store(scenes, make, path, WHOLE)
+    read = store.read_store(spark, path).groupBy("chunk_id", "scene_id", "position")
+    return read.agg(F.count("*").alias("points"), F.sum("label").cast("long").alias("target_points"), F.avg("x").alias("mean_x")).withColumns({"chunk_id": F.col("chunk_id").cast("long")} | r4("mean_x"))
+
+
+UNEVEN = "(SELECT o_custkey AS chunk_id, count(*) AS samples FROM orders GROUP BY 1)"
+BEGINS = f"(SELECT *, coalesce(CAST(sum(samples) OVER (ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS begins FROM {UNEVEN})"
+
+
+def uneven(spark, d):
+    """Customers' orders as chunks of samples, of which no two need be of one size."""
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("chunk_id")).agg(F.count("*").alias("samples"))
+
+
+@query(f"SELECT * FROM {BEGINS}")
+def chunk_index(spark, d):
+    return store.chunk_index(uneven(spark, d))
+
+
+@query(f"SELECT o_orderkey, chunk_id, o_orderkey - begins AS position FROM orders JOIN {BEGINS} ON o_orderkey >= begins AND o_orderkey < begins + samples")
+def chunk_locate_uneven(spark, d):
+    return store.locate(table(spark, d, "orders").select("o_orderkey"), store.chunk_index(uneven(spark, d)), WHOLE, "o_orderkey")
+
+
 @query("SELECT min(p_name) AS object_id FROM part WHERE contains(p_name, 'bolt') HAVING count(*) > 0")
 def target_lookup(spark, d):
     return compose.find_object(table(spark, d, "part").select(F.col("p_name").alias("object_id")), "bolt")
