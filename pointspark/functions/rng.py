@@ -26,21 +26,22 @@ def random_rank(partition: list, seed: int, purpose: str, *ids) -> Column:
     return F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
 
 
-def ranked(rows: DataFrame, keys: list[str], seed: int, purpose: str, *ids: str) -> DataFrame:
-    """The rows with ``_rank``, as ``random_rank``, for groups of any size.
+def ranked(rows: DataFrame, keys: list[str], seed: int, purpose: str, *ids: str, most: int | None = None) -> DataFrame:
+    """The rows with ``_rank``, as ``random_rank``, for groups of any size; with ``most``, only those of rank ``most`` or less.
 
     A group is dealt into 256 ranges by the first digits of its random keys; a
     row's rank is its position in its range after the sizes of the ranges
     before, of which a window sees 256 a group at most.  So no task sorts a
-    whole group.
+    whole group, and ranges that begin beyond ``most`` are not sorted at all.
     """
     keyed = rows.withColumn("_key", random_key(seed, purpose, *ids)).withColumn("_range", F.substring("_key", 1, 2))
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = keyed.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     before = before.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("__range"), "_before")
+    before = before if most is None else before.where(F.col("_before") < most)
     same = F.col("_range") == F.col("__range")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
     inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_key", *ids))
     placed = keyed.join(before, same).withColumn("_rank", inside + F.col("_before"))
-    return placed.select(*rows.columns, "_rank")
+    return placed.select(*rows.columns, "_rank") if most is None else placed.select(*rows.columns, "_rank").where(F.col("_rank") <= most)

@@ -55,19 +55,21 @@ def _core_and_rest(points: DataFrame, eps: float, min_samples: int) -> tuple[Dat
     # A little less than eps / sqrt(3), so that rounding brings no two points of a cell apart.
     edge = eps / 3**0.5 * (1 - 1e-9)
     placed = save(points.select(*KEYS, *AXES, *[F.floor(F.col(a) / edge).alias(f"q{a}") for a in AXES]), "placed")
-    # A written table, so that a cell with very many points is split in the joins.
-    crowded = save(placed.groupBy(*CELL).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).drop("n"), "crowded")
-    sparse = save(placed.join(crowded, CELL, "left_anti"), "sparse")
-    counted = near_pairs(sparse, placed, eps).groupBy(*KEYS).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(*KEYS)
-    counted = save(counted, "counted")
-    core = placed.join(crowded, CELL, "left_semi").unionByName(sparse.join(counted, KEYS, "left_semi"))
-    return save(core, "core"), sparse.join(counted, KEYS, "left_anti")
+    crowded = placed.groupBy(*CELL).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(*CELL, F.lit(True).alias("crowded"))
+    told = placed.join(crowded, CELL, "left")
+    sparse = told.where("crowded is null").select(*placed.columns)
+    counted = near_pairs(sparse, placed, eps).groupBy(*KEYS).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(*KEYS, F.lit(True).alias("counted"))
+    # Written once: both its parts are read several times.
+    marked = save(told.join(counted, KEYS, "left").select(*placed.columns, F.coalesce("crowded", "counted", F.lit(False)).alias("core")), "marked")
+    return marked.where("core").drop("core"), marked.where("not core").drop("core")
 
 
 def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(scene_id, node, root): the least node reachable over links (scene_id, a, b); each round is written."""
     both = save(links.union(links.select("scene_id", "b", "a")).toDF("scene_id", "node", "other").distinct(), "links")
-    labels = nodes.select("scene_id", "node", F.col("node").alias("root"))
+    # What the first round would give: the least of a node and its neighbours.
+    first = both.groupBy("scene_id", "node").agg(F.min("other").alias("near"))
+    labels = save(nodes.join(first, ["scene_id", "node"], "left").select("scene_id", "node", F.least("node", "near").alias("root")), "roots")
     while True:
         seen = labels.select("scene_id", F.col("node").alias("other"), F.col("root").alias("near"))
         least = both.join(seen, ["scene_id", "other"]).groupBy("scene_id", "node").agg(F.min("near").alias("near"))
@@ -122,9 +124,9 @@ def _core_clusters(core: DataFrame, eps: float) -> DataFrame:
             return rows.where(keep).select("scene_id", "a", "b", "a_root", "b_root", *[F.col(a).alias(f"{prefix}{a}") for a in AXES])
 
         both = side("a", "b", "s").join(side("b", "a", "t").drop("a_root", "b_root"), ["scene_id", "a", "b"])
-        more = save(both.where(_square("s", "t") <= eps * eps).select("scene_id", F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "more-links")
+        more = both.where(_square("s", "t") <= eps * eps).select("scene_id", F.col("a_root").alias("a"), F.col("b_root").alias("b"))
         top = _components(roots.select("scene_id", F.col("root").alias("node")).distinct(), more)
-        roots = save(roots.join(top.toDF("scene_id", "root", "cluster"), ["scene_id", "root"]).select("scene_id", "node", F.col("cluster").alias("root")), "joined-roots")
+        roots = roots.join(top.toDF("scene_id", "root", "cluster"), ["scene_id", "root"]).select("scene_id", "node", F.col("cluster").alias("root"))
     return core.join(cells.join(roots, ["scene_id", "node"]).select(*CELL, F.col("root").alias("cluster")), CELL)
 
 

@@ -11,8 +11,8 @@ from pointspark.operators.points import AXES, COLOURS
 
 def downsample(points: DataFrame, keys: list[str], n: int, seed: int, index: str = "point_idx") -> DataFrame:
     """At most n random points of each sample, renumbered in random order."""
-    placed = ranked(points, keys, seed, "downsample", *keys, index)
-    return placed.where(F.col("_rank") <= n).withColumn(index, F.col("_rank") - 1).drop("_rank")
+    placed = ranked(points, keys, seed, "downsample", *keys, index, most=n)
+    return placed.withColumn(index, F.col("_rank") - 1).drop("_rank")
 
 
 def pad_to_n(points: DataFrame, keys: list[str], n: int, index: str = "point_idx") -> DataFrame:
@@ -31,8 +31,7 @@ def top_random(rows: DataFrame, keys: list[str], n: int, seed: int, purpose: str
 def subsample_chunks(assigned: DataFrame, n: int, seed: int) -> DataFrame:
     """At most n points of each chunk; points keep their own index, so predictions stay with them."""
     chunk = ["scene_id", "ix", "iy", "iz"]
-    placed = ranked(assigned, chunk, seed, "chunk", *chunk, "point_idx")
-    return placed.where(F.col("_rank") <= n).drop("_rank")
+    return ranked(assigned, chunk, seed, "chunk", *chunk, "point_idx", most=n).drop("_rank")
 
 
 def train_valid_split(samples: DataFrame, key: str, share_percent: int, seed: int) -> DataFrame:

@@ -318,7 +318,8 @@ def chunk_grid(spark, d):
 def _assign(name: str, c: EvalConfig):
     @query(f"SELECT scene_id, point_idx, ix, iy, iz FROM {assign_sql(c)}", name)
     def run(spark, d):
-        own = saved_points(spark, d)
+        # Bounds need no numbers of points, so only the assignment numbers them.
+        own = adapters.points(spark, d)
         return chunks.assign_chunks(own.select(*KEYS, *XYZ), evaluate.grid_steps(own, c)).drop(*XYZ)
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointspark.functions import columns as fn
+from pointspark.functions.rng import ranked
 from pointspark.operators import batches, chunks, clustering, compose, metrics, points, sampling, scoring, votes
 from pointspark.plans import evaluate
 from pointspark.plans.config import V2, V3, ComposeConfig, EvalConfig
@@ -366,3 +367,20 @@ def test_find_object_and_empty_lookups(spark):
     names = spark.createDataFrame([("b_cup_9",), ("a_cup_1",), ("plate",)], "object_id string")
     assert compose.find_object(names, "cup").collect()[0].object_id == "a_cup_1"
     assert compose.find_object(names, "fork").collect() == []
+
+
+def test_clusters_write_few_tables(spark, monkeypatch):
+    """Seven tables and one for each round; twice as many before."""
+    written = []
+    monkeypatch.setattr(clustering, "save", lambda df, name, of=clustering.save: written.append(name) or of(df, name))
+    rng = np.random.default_rng(5)
+    own = cloud(spark, [tuple(map(float, x)) for x in rng.random((300, 3))])
+    assert clustering.dbscan(own, 0.15, 4).count() > 0
+    assert len([n for n in written if n not in ("roots", "links")]) <= 6 and written.count("links") <= 2
+
+
+def test_ranges_beyond_the_sample_are_not_sorted(spark):
+    own = spark.range(2000).select((F.col("id") % 2).alias("scene_id"), F.col("id").alias("point_idx"))
+    whole = ranked(own, ["scene_id"], 42, "t", "scene_id", "point_idx").where("_rank <= 30")
+    few = ranked(own, ["scene_id"], 42, "t", "scene_id", "point_idx", most=30)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, whole.collect())) and few.count() == 60
