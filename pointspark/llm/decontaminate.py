@@ -6,9 +6,13 @@ by their number of shingles in powers of two.  The items of a partition have
 bottom-k MinHash signatures, with k one more than the shingles that an item of
 the partition's upper size may miss; so by the pigeonhole principle a document
 that holds an item holds a shingle of its signature, whatever the document's
-length.  Documents are probed whole for signature values, through a bitmap of
-fixed size; what meets a signature in an equi-join is verified by exact
-shingle containment.
+length.  Shingles that more than ``COMMON`` items have, such as a template's,
+come last in a signature, so they are in it only where an item has hardly any
+others.  Documents are probed whole for signature values, through a bitmap of
+fixed size; a document meets an item if it has as many values of its signature
+as it must, which is at least k less what the item may miss, and what meets is
+verified by exact shingle containment.  The items that a document meets are
+dealt over rows of bounded size.
 
 Words are runs of ASCII letters, digits, ``_`` and all characters beyond
 ASCII, of the text in lower case.  An item of fewer words than a shingle is
@@ -26,13 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointspark.llm.common import row_key, save
 
 SHINGLE = 5
 PERCENT = 80
+#: Items that a shingle is in before signatures avoid it.
+COMMON = 20
+#: Items that are checked against a document at a time, on average.
+TOGETHER = 200
 #: Bits of the signature bitmap; its size does not depend on the items.
 BITMAP_BITS = 26
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -95,23 +103,38 @@ def missable(size: int, percent: int) -> int:
     return size - -(-percent * size // 100)
 
 
-def signatures(items: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(item, width, hash) for rows (item, text): bottom-k signatures by size partition; width is the words in a shingle."""
+def item_shingles(items: DataFrame, shingle: int) -> DataFrame:
+    """(item, width, size, upper, hashes) for rows (item, text): the words in a shingle, the distinct shingles, the upper size of their partition."""
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes = word_hashes(text)
-                width = min(shingle, len(hashes))
-                if width:
-                    found = np.unique(shingle_hashes(hashes, width))
-                    upper = (1 << len(found).bit_length()) - 1
-                    out += [(item, width, h) for h in found[: missable(upper, percent) + 1].view(np.int64).tolist()]
-            columns = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64()), strict=True)], ["item", "width", "hash"])
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = word_hashes(text.as_py())
+                if width := min(shingle, len(own)):
+                    found = np.unique(shingle_hashes(own, width)).view(np.int64)
+                    out.append((item, width, len(found), (1 << len(found).bit_length()) - 1, found))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item", "width", "size", "upper", "hashes"])
+
+    return items.select("item", "text").mapInArrow(run, "item string, width int, size long, upper long, hashes array<long>")
+
+
+def missable_column(size, percent: int):
+    """``missable`` of a column."""
+    return size - F.ceil(size * percent / 100)
+
 
-    return items.select("item", "text").mapInArrow(sign, "item string, width int, hash long")
+def signatures(items: DataFrame, shingle: int, percent: int, common: int = COMMON) -> DataFrame:
+    """(item, width, hash, need) for rows (item, text): bottom-k signatures by size partition; a document that holds the item has ``need`` of its values at least."""
+    own = save(item_shingles(items, shingle), "item-shingles")
+    each = own.select("item", "width", "size", "upper", F.explode("hashes").alias("hash"))
+    often = each.groupBy("width", "hash").agg(F.count("*").alias("n")).where(F.col("n") > common).select("width", "hash", F.lit(1).alias("often"))
+    place = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("often", F.lit(0)), "hash"))
+    k = F.least(missable_column(F.col("upper"), percent) + 1, F.col("size"))
+    signed = each.join(often, ["width", "hash"], "left").withColumn("place", place).withColumn("k", k).where("place <= k")
+    return signed.select("item", "width", "hash", F.greatest(F.col("k") - missable_column(F.col("size"), percent), F.lit(1)).alias("need"))
 
 
 def _bitmap(signed: DataFrame) -> np.ndarray:
@@ -192,9 +215,14 @@ def contaminated(
     wanted = save(wanted.withColumn("item", row_key("item_id", "item_text")).dropDuplicates(["item"]), "items")
     signed = save(signatures(wanted.select("item", F.col("item_text").alias("text")), shingle, percent), "signatures")
     held = save(probe(rows, signed), "probed")
-    met = held.select("doc", F.explode("hits").alias("hash")).join(signed.select("hash", "item"), "hash").select("doc", "item").distinct()
-    # Items are benchmark texts; those that one document meets come together, so its text is moved and split once.
-    items_met = met.join(wanted.select("item", "item_text"), "item").groupBy("doc").agg(F.collect_list(F.struct("item", F.col("item_text").alias("text"))).alias("items"))
+    # A row of ``held`` that repeats a document has the same hits.
+    hits = held.select("doc", "hits").dropDuplicates(["doc"]).select("doc", F.explode("hits").alias("hash"))
+    met = hits.join(signed.select("hash", "item", "need"), "hash").groupBy("doc", "item").agg(F.count_distinct("hash").alias("n"), F.max("need").alias("need"))
+    met = save(met.where(F.col("n") >= F.col("need")).select("doc", "item"), "met")
+    # Items that one document meets come together in lots, so its text is moved and split once for each, and no row holds a whole benchmark.
+    lots = met.groupBy("doc").agg(F.ceil(F.count("*") / TOGETHER).alias("lots"))
+    lot = F.pmod(F.xxhash64("item"), F.col("lots"))
+    items_met = met.join(lots, "doc").withColumn("lot", lot).join(wanted.select("item", "item_text"), "item").groupBy("doc", "lot").agg(F.collect_list(F.struct("item", F.col("item_text").alias("text"))).alias("items"))
     pairs = items_met.join(held.select("doc", "text").dropDuplicates(["doc"]), "doc")
     found = save(verify(pairs, shingle, percent), "contaminated")
     named = found.join(rows.select("doc", "doc_id").distinct(), "doc").join(wanted.select("item", "item_id"), "item")

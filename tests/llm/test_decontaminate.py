@@ -64,3 +64,40 @@ def test_empty_tables(spark):
     assert d.contaminated(docs.limit(0), items).collect() == []
     assert d.contaminated(docs, items.limit(0)).collect() == []
     assert d.drop_contaminated(docs, items.limit(0)).count() == 1
+
+
+def test_a_document_with_the_whole_benchmark_and_items_of_one_template(spark, monkeypatch):
+    """Items share a template; documents that hold only that meet none of them, and one with all items is checked in lots."""
+    rng = random.Random(11)
+    template = "choose the best answer to the following question from the list below and explain why it is right"
+    items = [(i, f"{template} {' '.join(f'q{rng.randrange(10**6)}' for _ in range(20))}") for i in range(120)]
+    items.append((900, template))
+    docs = [(i, f"some words before {template} and some behind {i}") for i in range(50)]
+    docs += [(100, " . ".join(t for _, t in items)), (101, f"x {items[7][1]} y")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    wanted = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(d, "TOGETHER", 10)
+    rows = []
+    of = d.verify
+
+    def counting(pairs, *more):
+        rows.extend((r.doc, len(r["items"])) for r in pairs.select("doc", "items").collect())
+        return of(pairs, *more)
+
+    monkeypatch.setattr(d, "verify", counting)
+    got = {(r.doc_id, r.item_id, r.shared, r.size) for r in d.contaminated(table, wanted).collect()}
+    assert got == brute(docs, items) and len(got) == 50 + 121 + 2
+    # The template's own item for each document, and what is really there; not 120 items for each.
+    assert sum(n for _, n in rows) == len(got)
+    assert max(n for _, n in rows) < 40
+
+
+def test_signatures_avoid_what_many_items_have(spark):
+    items = [(f"i{i}", "a b c d e f g h i j " + " ".join(f"w{i}x{k}" for k in range(30))) for i in range(40)]
+    frame = spark.createDataFrame(items, "item string, text string")
+    signed = d.signatures(frame, 5, 80, common=10).collect()
+    shared = set(d.shingle_hashes(d.word_hashes("a b c d e f g h i j"), 5).view(np.int64).tolist())
+    assert len({r.item for r in signed}) == 40 and not shared & {r.hash for r in signed}
+    assert {(sum(s.item == "i3" for s in signed), r.need) for r in signed} == {(d.missable(63, 80) + 1, d.missable(63, 80) + 1 - d.missable(36, 80))}
+    plain = d.signatures(frame, 5, 80, common=1000).collect()
+    assert shared & {r.hash for r in plain}
