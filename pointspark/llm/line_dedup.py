@@ -1,12 +1,14 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run holds, for each line key that a batch of documents has, in how many of
-its documents the key is found, sorted by key.  A batch is matched against the
-runs that exist by merge joins: keys that no run has yet (left anti) bring the
-document that keeps the line, keys that are known (left semi) only their count.
-``FANOUT`` runs of a level are compacted into one run of the next level.
-Batches go from the largest document ids to the smallest, so the first batch
-that holds a key holds its largest document id.
+A run holds the line keys that one batch of documents was the first to have,
+with the document that keeps the line and the number of the batch's documents
+with it, in buckets by key that are sorted by key.  A batch's keys are written
+in the same buckets and matched against the runs by merge joins that read both
+sides as they lie, without moving or sorting them: keys that no run has yet
+(left anti) are the batch's run; of the others only the count is kept.  Runs are
+disjoint.  ``FANOUT`` runs of a level are compacted into one run of the next
+level, by merge joins as well.  Batches go from the largest document ids to the
+smallest, so the first batch that holds a key holds its largest document id.
 
 Keys are compared by two 64-bit hashes with different seeds (128 bits).
 
@@ -18,10 +20,14 @@ are not looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointspark.llm.common import BLANKS, ascii_lower, save
+from pointspark.llm.common import BLANKS, ascii_lower, new_path, save
 
 BATCHES = 4
 FANOUT = 2
@@ -57,11 +63,18 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 
 
 class LineRuns:
-    """The levelled runs; ``levels[i]`` lists the runs of level i."""
+    """The levelled runs; ``levels[i]`` lists the runs of level i, ``again`` what later batches add to the counts of their keys.
+
+    Runs are tables in the shared folder with names in the session's catalog,
+    which ``close`` takes out.
+    """
 
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout = fanout
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
+        self.spark, self.fanout = spark, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
+        self.again: list[DataFrame] = []
+        self.names: list[str] = []
 
     def live(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
@@ -72,12 +85,12 @@ class LineRuns:
         if not runs:
             return None
         whole = runs[0]
-        for run in runs[1:]:
+        for run in [*runs[1:], *self.again]:
             whole = whole.unionByName(run)
         return whole.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
 
-    def add_batch(self, lines: DataFrame) -> DataFrame:
-        """Match a batch of (doc, h1, h2) against the runs, add its run, compact; returns the keys that were new."""
+    def batch_keys(self, lines: DataFrame) -> DataFrame:
+        """(h1, h2, n, keeper) of a batch of (doc, h1, h2), in sorted buckets."""
         keys = (
             lines.where(F.col("h1").isNotNull())
             .select("h1", "h2", "doc")
@@ -85,22 +98,32 @@ class LineRuns:
             .groupBy("h1", "h2")
             .agg(F.count("*").alias("n"), F.max("doc").alias("keeper"))
         )
-        seen = self.live()
-        if seen:
-            keys = save(keys, "line-keys")
-            known = seen[0].select("h1", "h2")
-            for run in seen[1:]:
-                known = known.unionByName(run.select("h1", "h2"))
-            fresh = keys.hint("merge").join(known, ["h1", "h2"], "left_anti")
-            again = keys.hint("merge").join(known, ["h1", "h2"], "left_semi")
-            keys = fresh.unionByName(again.withColumn("keeper", F.lit(None).cast("long")))
-        run = self._sorted_run(keys)
-        self._push(run, 0)
-        return run.where(F.col("keeper").isNotNull())
-
-    @staticmethod
-    def _sorted_run(keys: DataFrame) -> DataFrame:
-        return save(keys.sortWithinPartitions("h1", "h2"), "line-run")
+        return self._sorted_run(keys.repartition(self.buckets, "h1", "h2"))
+
+    def fresh(self, keys: DataFrame) -> DataFrame:
+        """The keys that no run has."""
+        for run in self.live():
+            keys = keys.hint("merge").join(run.select("h1", "h2"), ["h1", "h2"], "left_anti")
+        return keys
+
+    def add_batch(self, lines: DataFrame) -> DataFrame:
+        """Match a batch of (doc, h1, h2) against the runs, add its run, compact; returns the keys that were new."""
+        with as_they_lie(self.spark):
+            run = keys = self.batch_keys(lines)
+            if self.live():
+                run = self._sorted_run(self.fresh(keys))
+                known = keys.hint("merge").join(run.select("h1", "h2"), ["h1", "h2"], "left_anti")
+                self.again.append(save(known.select("h1", "h2", "n", F.lit(None).cast("long").alias("keeper")), "line-counts"))
+            self._push(run, 0)
+        return run
+
+    def _sorted_run(self, keys: DataFrame) -> DataFrame:
+        """Write keys that are dealt by bucket already, a file for each bucket."""
+        name = f"pointspark_run_{uuid.uuid4().hex}"
+        writer = keys.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("compression", "zstd")
+        writer.option("path", new_path(self.spark, "line-run")).saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
 
     def _push(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
@@ -109,12 +132,27 @@ class LineRuns:
         if len(self.levels[level]) == self.fanout:
             whole, runs = self.levels[level][0], self.levels[level][1:]
             for other in runs:
-                whole = whole.unionByName(other)
+                both = whole.hint("merge").join(other.withColumnsRenamed({"n": "n2", "keeper": "keeper2"}), ["h1", "h2"], "full")
+                whole = self._sorted_run(both.select("h1", "h2", F.coalesce("n", "n2").alias("n"), F.coalesce("keeper", "keeper2").alias("keeper")))
             self.levels[level] = []
-            self._push(
-                self._sorted_run(whole.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))),
-                level + 1,
-            )
+            self._push(whole, level + 1)
+
+    def close(self) -> None:
+        """Forget the names; results that are written do not need them."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+@contextmanager
+def as_they_lie(spark: SparkSession) -> Iterator[None]:
+    """Buckets of one file each are read in the order that they have, which Spark does not rely on by itself."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def dropped_lines(
@@ -127,11 +165,12 @@ def dropped_lines(
     for cut in sorted(set(cuts)):
         batch = batch + F.when(F.col("doc") > F.lit(int(cut)), 1).otherwise(0)
     lines = save(line_hashes(docs, id_col, text_col, min_chars).withColumn("batch", batch), "lines")
-    runs = LineRuns(fanout)
+    runs = LineRuns(docs.sparkSession, fanout)
     for b in range(len(set(cuts)), -1, -1):
         runs.add_batch(lines.where(F.col("batch") == b))
     # A table of its own, so that both sides of the join come from exchanges and a hot line's rows can be split.
     frequent = save(runs.merged().where(F.col("n") >= min_docs).select("h1", "h2", "keeper"), "frequent-lines")
+    runs.close()
     lost = lines.where(F.col("h1").isNotNull()).join(frequent, ["h1", "h2"]).where(F.col("doc") != F.col("keeper"))
     return lost.groupBy("doc", "text_hash").agg(F.collect_set("pos").alias("dropped"))
 

@@ -3,6 +3,7 @@ import time
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from pointspark.llm import line_dedup, media, warc
 
@@ -51,7 +52,7 @@ def test_a_text_of_many_lines(spark):
 
 
 def test_new_keys_are_those_that_no_run_has(spark):
-    runs = line_dedup.LineRuns(fanout=2)
+    runs = line_dedup.LineRuns(spark, fanout=2)
     keys = lambda rows: spark.createDataFrame([(h, h, d) for h, d in rows], "h1 long, h2 long, doc long")
     seen = []
     for batch in ([(1, 9), (2, 9), (1, 8)], [(2, 7), (3, 7)], [(3, 5), (4, 5), (1, 5)], []):
@@ -61,6 +62,24 @@ def test_new_keys_are_those_that_no_run_has(spark):
     assert sorted((r.h1, r.n, r.keeper) for r in runs.merged().collect()) == [(1, 3, 9), (2, 2, 9), (3, 2, 7), (4, 1, 5)]
 
 
+def test_runs_are_read_as_they_lie(spark):
+    """Neither side of the anti-joins is moved or sorted, and compaction moves nothing."""
+    runs = line_dedup.LineRuns(spark, fanout=3)
+    for low in (0, 500):
+        runs.add_batch(spark.range(low, low + 700).select(F.col("id").alias("h1"), (F.col("id") * 7).alias("h2"), F.lit(low).cast("long").alias("doc")))
+    keys = runs.batch_keys(spark.range(900, 1500).select(F.col("id").alias("h1"), (F.col("id") * 7).alias("h2"), F.lit(1).cast("long").alias("doc")))
+    with line_dedup.as_they_lie(spark):
+        new = runs.fresh(keys)
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan and "Sort [" not in plan
+        assert sorted(r.h1 for r in new.collect()) == list(range(1200, 1500))
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
+    names = list(runs.names)
+    assert all(spark.catalog.tableExists(n) for n in names)
+    runs.close()
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
 def test_line_dedup_of_an_empty_table(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
