@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +27,37 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[context.applicationId]
 
 
+class _Scopes(threading.local):
+    """The tables of the scopes that this thread is in."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_SCOPES = _Scopes()
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are saved inside are removed at the end; what was made of them must be written by then.
+
+    Without a scope they stay as long as the shared folder: a result that is not
+    read yet needs them.
+    """
+    _SCOPES.open.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.open.pop():
+            # Through Hadoop's file access, which knows each path that Spark writes to.
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write and read back: a cut in the lineage that survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/points/{name}-{uuid.uuid4().hex}"
+    if _SCOPES.open:
+        _SCOPES.open[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

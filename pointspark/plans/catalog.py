@@ -19,7 +19,7 @@ from pointspark.sources import pcd
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
-COMPOSE = ComposeConfig(points=21, samples=3, transforms=4)
+COMPOSE = ComposeConfig(points=21)
 EVAL = EvalConfig(profile=V3)
 FINE = EvalConfig(profile=V3, target_points=100)
 EPS, MIN_SAMPLES = 0.35, 8
@@ -547,7 +547,7 @@ def alien_subset(spark, d):
     return compose.alien_subset(names, "part3", COMPOSE)
 
 
-SCENES = "(SELECT object_id, sample_idx, transform, sample_idx * 4 + transform AS scene_id FROM (SELECT DISTINCT object_id, sample_idx FROM {objects} WHERE object_id = '3' AND sample_idx < 3), range(4) t(transform))".format(objects=OBJECTS)
+SCENES = "(SELECT object_id, sample_idx, transform, sample_idx * 10 + transform AS scene_id FROM (SELECT DISTINCT object_id, sample_idx FROM {objects} WHERE object_id = '3' AND sample_idx < 1200), range(10) t(transform))".format(objects=OBJECTS)
 COUNTS = f"(SELECT object_id, count(DISTINCT sample_idx) AS n FROM {OBJECTS} GROUP BY 1)"
 SLOTS = f"""(SELECT scene_id, 0 AS slot, object_id, sample_idx FROM {SCENES} UNION ALL
 SELECT scene_id, slot, object_id, CAST(floor({uniform_sql(42, 'sample', 'scene_id', 'slot')} * n) AS BIGINT) AS sample_idx FROM (
@@ -588,7 +588,7 @@ def scene_pad(spark, d):
     return longs(padded, "scene_id", "point_idx").withColumns(r4(*XYZ))
 
 
-# The same over all samples, transforms and targets; a scene's id carries its target.
+# The same for all objects as targets; a scene's id carries its target.
 WHOLE = ComposeConfig(points=21)
 WHOLE_SCENES = "(SELECT object_id, sample_idx, transform, CAST(object_id AS BIGINT) * 12000 + sample_idx * 10 + transform AS scene_id FROM (SELECT DISTINCT object_id, sample_idx FROM {objects} WHERE sample_idx < 1200), range(10) t(transform))".format(objects=OBJECTS)
 
