@@ -15,7 +15,7 @@ from pointspark.operators import batches, chunks, clustering, compose, metrics,
 from pointspark.plans import adapters, evaluate
 from pointspark.plans.adapters import EPOCHS, OBJECTS, PAIRS, POINTS, key_sql, table, uniform_sql
 from pointspark.plans.config import V2, V3, ComposeConfig, EvalConfig
-from pointspark.sources import pcd
+from pointspark.sources import pcd, pcd_source
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -208,6 +208,32 @@ def pcd_ascii_parse(spark, d):
     return pcd.parse_lines(lines).drop("value")
 
 
+def byte_sql(c: str) -> str:
+    return f"greatest(0, least(255, floor({c} * 255 + 0.5))) / 255.0"
+
+
+def stored_as_pcd(spark, d, form: str, layout: str):
+    """All scenes written as PCD files by several tasks each, and read again by ranges of bytes."""
+    path = f"{shared_dir(spark)}/points/pcd-{uuid.uuid4().hex}"
+    own = adapters.points(spark, d)
+    pcd_source.save_pcd(own, path, form=form, layout=layout)
+    return pcd_source.load_pcd(spark, path, splitBytes=8192).where("error is null")
+
+
+PCD_COLOURS = ", ".join(r4_sql(byte_sql(c), c) for c in "rgb")
+
+
+@query(f"SELECT scene_id::VARCHAR AS scene_id, point_idx, {', '.join(r4_sql(a) for a in XYZ)}, {PCD_COLOURS} FROM {POINTS}")
+def pcd_store(spark, d):
+    return stored_as_pcd(spark, d, "binary", "joined").drop("path", "error").withColumns(r4(*XYZ, *"rgb"))
+
+
+@query(f"SELECT scene_id::VARCHAR AS scene_id, count(*) AS points, CAST(max(point_idx) AS BIGINT) AS last, {', '.join(r4_sql(f'sum({a})', a) for a in XYZ)}, {', '.join(r4_sql(f'sum({byte_sql(c)})', c) for c in 'rgb')} FROM {POINTS} GROUP BY scene_id")
+def pcd_store_ascii(spark, d):
+    sums = [F.sum(c).alias(c) for c in (*XYZ, *"rgb")]
+    return stored_as_pcd(spark, d, "ascii", "joined").groupBy("scene_id").agg(F.count("*").alias("points"), F.max("point_idx").alias("last"), *sums).withColumns(r4(*XYZ, *"rgb"))
+
+
 def motion_sql(ids: tuple[str, ...], c: ComposeConfig) -> str:
     """Angles (radians) and shifts as columns a, b, g, tx, ty, tz."""
     turn = [f"({-c.angle} + {uniform_sql(c.seed, f'angle_{x}', *ids)} * {2 * c.angle}) * {math.pi!r} / 180.0 AS {n}" for x, n in zip(XYZ, "abg", strict=True)]

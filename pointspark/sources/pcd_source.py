@@ -253,7 +253,7 @@ class PcdWriter(DataSourceArrowWriter):
         for c, shift in zip("rgb", (16, 8, 0), strict=True):
             value = points[c].cast(pa.float64()).fill_null(0.5).to_numpy() if c in points.column_names else np.full(len(points), 0.5)
             value = np.where(np.isnan(value), 0.5, value)
-            out["rgb"] |= np.clip(np.rint(value * 255), 0, 255).astype(np.uint32) << np.uint32(shift)
+            out["rgb"] |= np.clip(np.floor(value * 255 + 0.5), 0, 255).astype(np.uint32) << np.uint32(shift)
         if self.form == "binary":
             return out.tobytes()
         return "".join(f"{x!r} {y!r} {z!r} {c}\n" for x, y, z, c in out.tolist()).encode()
