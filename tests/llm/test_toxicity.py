@@ -60,3 +60,45 @@ def test_scores_do_not_depend_on_batches():
     memo = t._Words(model)
     single = np.concatenate([t.score_texts(model, [x], memo) for x in texts])
     assert np.allclose(whole, single)
+
+
+def test_scores_equal_averaging_embedding_rows(monkeypatch):
+    """Scores again from the trained table and softmax, window by window: rows of n-grams averaged, classes by softmax, the highest window by the fit."""
+    held, of = [], np.random.default_rng
+
+    class Kept(np.ndarray):
+        def astype(self, kind):
+            held.append(np.asarray(self).astype(kind))
+            return held[-1]
+
+    class Random:
+        def __init__(self, seed):
+            self.own = of(seed)
+
+        def normal(self, *more):
+            return self.own.normal(*more).view(Kept)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+    rows = corpus(150)
+    monkeypatch.setattr(t.np.random, "default_rng", Random)
+    model = t.train([x for _, x, _ in rows], np.array([y for _, _, y in rows]))
+    monkeypatch.undo()
+    table, soft = held
+    assert table.shape == (t.BUCKETS, t.DIM) and soft.shape == (t.DIM, 2) and np.abs(table).max() > 0.6  # trained in place
+
+    def logit(words):
+        ids = np.concatenate([t.word_features([w])[0] for w in words])
+        scores = table[ids].astype(float).mean(0) @ soft + np.array([0, model.bias])
+        p = np.exp(scores - scores.max())
+        p /= p.sum()
+        return np.log(p[1] / p[0])
+
+    texts = [x for _, x, _ in rows[:60]] + ["one", "vilgramx", "Dorkpotq ale", "é ß 日本 vilgrammm sol ant", "a b c d e f g"]
+    want = []
+    for text in texts:
+        words = text.lower().split()
+        best = max(logit(words[i : i + t.WINDOW]) for i in range(len(words)))
+        want.append(1 / (1 + np.exp(-(model.a * best + model.b))))
+    assert np.allclose(t.score_texts(model, texts, t._Words(model)), want, atol=1e-4)
