@@ -140,9 +140,14 @@ def segment_keys(words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, number
 
 
+def _segments(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``segment_keys`` of each segment of unsigned fingerprints."""
+    return [segment_keys((fps >> np.uint64(start) & np.uint64((1 << bits) - 1)).astype(np.int64), bits) for start, bits in SEGMENTS]
+
+
 def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, row) pairs of unsigned fingerprints."""
-    parts = [segment_keys((fps >> np.uint64(start) & np.uint64((1 << bits) - 1)).astype(np.int64), bits) for start, bits in SEGMENTS]
+    parts = _segments(fps)
     keys, rows = [], []
     for table, (x, y) in enumerate(combinations(range(3), 2)):
         (kx, nx), (ky, ny) = parts[x], parts[y]
@@ -272,11 +277,10 @@ def heavy_links(members: DataFrame, most: int) -> DataFrame:
     return pairs.groupBy("key", "x", "y").applyInArrow(link, "a long, b long")
 
 
-def fingerprint_links(fps: DataFrame, most: int = HELD) -> DataFrame:
-    """(a, b): links of distinct fingerprints (fp) that connect all that differ in at most four bits."""
-    spark = fps.sparkSession
+def keyed(fps: DataFrame) -> DataFrame:
+    """(key, fp) of each fingerprint (fp) and key."""
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy().view(np.uint64)
             for at in range(0, len(values), 2000):
@@ -284,10 +288,69 @@ def fingerprint_links(fps: DataFrame, most: int = HELD) -> DataFrame:
                 key, row = fuzzy_keys(part)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row].view(np.int64))], ["key", "fp"])
 
+    return fps.select("fp").mapInArrow(run, "key long, fp long")
+
+
+def crowded_halves(fps: DataFrame, most: int) -> np.ndarray:
+    """(3, 4096) booleans: which codewords of each segment more than ``most`` fingerprints have.
+
+    A key is two codewords, so one with more members than ``most`` has two of
+    these.  There are 3 * 4096 at most, which tasks add up before any move.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, 4096), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                for i, (keys, number) in enumerate(_segments(batch.column(0).slice(at, 2000).to_numpy().view(np.uint64))):
+                    total[i] += np.bincount(keys[np.arange(keys.shape[1]) < number[:, None]], minlength=4096)
+        half = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(half), pa.array(total.ravel()[half])], ["half", "n"])
+
+    found = fps.select("fp").mapInArrow(run, "half long, n long").groupBy("half").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    out = np.zeros(3 * 4096, bool)
+    out[[r.half for r in found.select("half").collect()]] = True
+    return out.reshape(3, 4096)
+
+
+def heavy_keys(fps: DataFrame, most: int) -> DataFrame | None:
+    """(key) of the keys with more than ``most`` members, counted before any member is moved; None if there can be none."""
+    halves = crowded_halves(fps, most)
+    if not any(halves[x].any() and halves[y].any() for x, y in combinations(range(3), 2)):
+        return None
+    pairs = list(combinations(range(3), 2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                key, _ = fuzzy_keys(batch.column(0).slice(at, 2000).to_numpy().view(np.uint64))
+                for table, (x, y) in enumerate(pairs):
+                    own = key[key >> 24 == table]
+                    own, n = np.unique(own[halves[x][own >> 12 & 4095] & halves[y][own & 4095]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    counted = fps.select("fp").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = save(counted.where(F.col("n") > most).select("key"), "heavy-keys")
+    return None if found.isEmpty() else found
+
+
+def fingerprint_links(fps: DataFrame, most: int = HELD) -> DataFrame:
+    """(a, b): links of distinct fingerprints (fp) that connect all that differ in at most four bits.
+
+    Keys with more than ``most`` members go another way from the start, so that
+    no exchange by key sees them.
+    """
+    spark = fps.sparkSession
+    hot = heavy_keys(fps, most)
+    rows, extra = keyed(fps), None
+    if hot is not None:
+        extra = save(heavy_links(rows.join(hot, "key", "left_semi"), most), "fp-links")
+        rows = rows.join(hot, "key", "left_anti")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = fps.select("fp").mapInArrow(keyed, "key long, fp long").repartition(n, "key").sortWithinPartitions("key", "fp")
+    dealt = rows.repartition(n, "key").sortWithinPartitions("key", "fp")
     found = save(dealt.mapInArrow(lambda batches: bucket_links(batches, most), "a long, b long, again boolean"), "fp-links")
     links = found.where("not again").select("a", "b")
+    links = links if extra is None else links.union(extra)
     heavy = found.where("again").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     return links if heavy.isEmpty() else links.union(save(heavy_links(heavy, most), "fp-links"))
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -91,17 +92,42 @@ def test_heavy_keys_go_by_pairs_of_blocks(spark):
 
 
 def test_a_bucket_of_many_fingerprints_is_spread_over_tasks(spark):
-    """300,000 members of one key: groups of at most about HELD, in many tasks."""
+    """300,000 members of one key, some of them linked over blocks: groups of at most about HELD, in many tasks, and all links."""
     rng = np.random.default_rng(1)
     fps = np.unique(rng.integers(0, 1 << 62, 300_000))
-    members = spark.createDataFrame([(7, int(x)) for x in fps], "key long, fp long")
+    linked = fps[:: 1000]
+    far = linked ^ (1 << rng.integers(0, 62, len(linked))) ^ (1 << rng.integers(0, 62, len(linked)))
+    fps = np.unique(np.concatenate([fps, far]))
+    members = spark.createDataFrame(pd.DataFrame({"key": 7, "fp": fps}))
     blocks = -(-len(fps) * 2 // simhash.HELD)
     block = F.pmod(F.xxhash64("fp"), F.lit(blocks))
     sizes = [r["count"] for r in members.groupBy(block.alias("b")).count().collect()]
     assert len(sizes) == blocks and max(sizes) < simhash.HELD * 0.55
-    small = members.limit(4000)
-    plan = simhash.heavy_links(small, 1000)
-    assert plan.count() == 0 and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    found = {frozenset((r.a, r.b)) for r in simhash.heavy_links(members, simhash.HELD).collect()}
+    assert {frozenset(map(int, x)) for x in zip(linked, far, strict=True)} - {frozenset([int(x)]) for x in linked} <= found
+    assert all(bin(min(p) ^ max(p)).count("1") <= 4 for p in found)
+
+
+def test_heavy_keys_are_counted_before_members_are_moved(spark, monkeypatch):
+    """The exchange by key never sees a key that is heavy, whose members meet in pairs of blocks from the start."""
+    rng = random.Random(12)
+    fps = sorted({rng.getrandbits(64) & 0x3FF000000000000 | 0x5 for _ in range(400)} | {rng.getrandbits(64) for _ in range(100)})
+    table = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
+    sizes = {r.key: r["count"] for r in simhash.keyed(table).groupBy("key").count().collect()}
+    hot = {k for k, n in sizes.items() if n > 50}
+    assert hot and {r.key for r in simhash.heavy_keys(table, 50).collect()} == hot
+    assert simhash.heavy_keys(table, 100_000) is None
+    again = []
+    of = simhash.save
+    monkeypatch.setattr(simhash, "save", lambda df, name: again.append((name, df.columns)) or of(df, name))
+    links = simhash.fingerprint_links(table, most=50)
+    label, place = list(range(len(fps))), {int(np.uint64(x).view(np.int64)): i for i, x in enumerate(fps)}
+    for r in links.collect():
+        a, b = sorted((label[place[r.a]], label[place[r.b]]))
+        label = [a if v == b else v for v in label]
+    assert label == slow_components(fps)
+    # Nothing is left for the way back from the exchange.
+    assert [c for n, c in again].count(["a", "b", "again"]) == 1 and sum(n == "heavy-blocks" for n, _ in again) == 1
 
 
 def test_documents(spark):
