@@ -183,3 +183,10 @@ def test_pictures_show_the_scene_and_its_classes(spark, tmp_path):
     files = views.save_views(seen, str(tmp_path / "views")).collect()
     assert sorted(os.listdir(tmp_path / "views")) == sorted(f"{s}_segmentation_analysis.png" for s in found) and len(files) == 3
     assert (tmp_path / "views" / "a_segmentation_analysis.png").read_bytes() == bytes(found["a"].picture)
+
+
+def test_a_lot_without_points(spark, scenes, tmp_path):
+    """Scenes of which nothing can be composed are chunks without rows, and progress counts none."""
+    told, path = [], f"file://{tmp_path}/store"
+    assert store.write_store(scenes, lambda some: make(some).where("scene_id < 0"), path, CONFIG, told=told.append) == 8
+    assert [(p.chunks, p.scenes, p.points) for p in told] == [(8, 0, 0)]
