@@ -5,9 +5,9 @@ is local or a URI of a store that it knows.  ``pcd.read_pcd`` reads through
 Spark's own file access where that is not so.
 
 Reading: a file of more than ``splitBytes`` is read by several tasks, each a
-range of bytes.  Its header is read once, when the ranges are made; a range has
-the records, or the lines, that begin in it.  Small files are packed into tasks
-of about as many bytes, and their headers are read there.  A schema of fewer
+range of bytes; a range has the records, or the lines, that begin in it.  Small
+files, and ranges of files where all are small, are packed into tasks, so their
+number is bounded; the driver lists files and opens none.  A schema of fewer
 columns makes only these.  A compressed file can't be cut and is one task's.
 
 ``point_idx`` counts the points of a file.  What a line's number is no range of
@@ -16,9 +16,10 @@ in the range; ``number_points`` makes it the file's.
 
 Writing: each task writes its rows of a scene as a part, so a scene of any size
 is many tasks'; parts become files at the commit, after all tasks, and an abort
-leaves nothing.  Joined, a scene is one file: a header and its parts in order of
-their points, copied as streams by the driver.  With ``layout`` parts, each part
-is a file of its own with a header, and nothing passes the driver.
+leaves nothing.  Joined, a scene is one file: that of its only part, which has
+its header from the task, or a header and its parts in order of their points,
+copied as streams by the driver.  With ``layout`` parts, each part is a file of
+its own with a header, and nothing passes the driver.
 
 Defined results: a file that can't be read is a row with ``error`` and no point,
 unless ``mode`` is FAILFAST; a file without points has no rows; null coordinates
@@ -50,13 +51,18 @@ KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double":
 COLUMNS = {name: KINDS[kind] for name, kind in (x.split() for x in SCHEMA.split(", "))}
 #: Bytes of a task, of a header at most, and of what is held at a time.
 SPLIT, HEAD, BLOCK = 64 << 20, 1 << 16, 4 << 20
-#: Scenes that are joined at a time.
+#: Ranges and files are packed until a task has this share of all bytes, or ``SPLIT``.
+SHARE = 256
+#: Scenes that are joined, and files that are moved, at a time.
 JOINED = 8
 
 
 @dataclass(frozen=True)
 class Piece:
-    """What a task reads of a file: all of it (no form), or what begins in a range of bytes."""
+    """What a task reads of a file: all of it (no form), or what begins in a range of bytes.
+
+    ``of`` asks for range ``part`` of so many; where it lies, the task reads from the header.
+    """
 
     path: str
     form: str | None = None
@@ -65,6 +71,7 @@ class Piece:
     end: int = 0
     starts: int = 0
     part: int = 0
+    of: int = 0
 
 
 class Pieces(InputPartition):
@@ -105,6 +112,8 @@ class PcdReader(DataSourceReader):
         self.recursive = options.get("recursive", "false").lower() == "true"
         self.glob, self.split = options.get("pathglobfilter", "*.pcd"), int(options.get("splitbytes", SPLIT))
         self.failfast = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
+        #: One row for each range of lines, with the number of its points as ``point_idx``, and nothing else.
+        self.counting = options.get("counting", "false").lower() == "true"
 
     def partitions(self) -> list[Pieces]:
         system, root = opened(self.path)
@@ -113,22 +122,22 @@ class PcdReader(DataSourceReader):
             raise FileNotFoundError(self.path)
         files = [info] if info.is_file else system.get_file_info(fs.FileSelector(root, recursive=self.recursive))
         files = sorted((f for f in files if f.is_file and fnmatch.fnmatch(f.base_name, self.glob)), key=lambda f: f.path)
+        least = max(self.split, min(SPLIT, sum(f.size for f in files) // SHARE))
         out, held, size = [], [], 0
         for file in files:
-            if file.size > self.split and (ranges := self._ranges(system, file)):
-                out += [Pieces([r]) for r in ranges]
-                continue
-            held.append(Piece(file.path))
-            size += file.size
-            if size >= self.split:
-                out.append(Pieces(held))
-                held, size = [], 0
+            n = -(-file.size // self.split) if file.size > self.split else 1
+            for i in range(n):
+                held.append(Piece(file.path, part=i, of=n) if n > 1 else Piece(file.path))
+                size += -(-file.size // n)
+                if size >= least:
+                    out.append(Pieces(held))
+                    held, size = [], 0
         return [*out, Pieces(held)] if held or not out else out
 
-    def _ranges(self, system: fs.FileSystem, file: fs.FileInfo) -> list[Piece]:
-        """The ranges of a large file; none if it must be read whole."""
-        with system.open_input_file(file.path) as stream:
-            head = stream.read(HEAD)
+    def _range(self, stream, piece: Piece) -> Piece | None:
+        """Where the range of a large file lies; the first has all of a file that must be read whole, and the others nothing."""
+        size = stream.size()
+        head = stream.read(HEAD)
         try:
             header = pcd.read_header(head)
         except Exception:  # noqa: BLE001  read as text, from after its DATA line if it has one
@@ -136,25 +145,32 @@ class PcdReader(DataSourceReader):
             header, form, begins = None, "text", found.end() if found else 0
         else:
             form, begins = header.form, header.begins
-        if form == "binary_compressed" or form == "binary" and (header.points is None or begins + header.points * header.record.itemsize > file.size):
-            return []
+        if form == "binary_compressed" or form == "binary" and (header.points is None or begins + header.points * header.record.itemsize > size):
+            stream.seek(0)
+            return None if piece.part else Piece(piece.path)
         unit = header.record.itemsize if form == "binary" else 1
-        end = begins + header.points * unit if form == "binary" else file.size
-        step = max(1, self.split // unit) * unit
-        return [Piece(file.path, form, header, at, min(at + step, end), begins, i) for i, at in enumerate(range(begins, end, step))]
+        end = begins + header.points * unit if form == "binary" else size
+        step = max(1, -(-((end - begins) // unit) // piece.of)) * unit
+        begin = begins + piece.part * step
+        return Piece(piece.path, form, header, begin, min(begin + step, end), begins, piece.part) if begin < end else None
 
     def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         system, _ = opened(self.path)
         for piece in partition.value:
             try:
-                yield from self._points(system, piece)
+                yield from self._counts(system, piece) if self.counting else self._points(system, piece)
             except Exception as e:  # noqa: BLE001  any broken file becomes a row
                 if self.failfast:
                     raise
+                if self.counting:
+                    continue
                 yield self._batch(piece, None, 0, f"{type(e).__name__}: {e}")
 
     def _points(self, system: fs.FileSystem, piece: Piece) -> Iterator[pa.RecordBatch]:
         with system.open_input_file(piece.path) as stream:
+            piece = self._range(stream, piece) if piece.of else piece
+            if piece is None:
+                return
             if piece.form is None:
                 found = pcd.decode_any(stream.read())
                 for at in range(0, len(found["x"]), BLOCK // 64):
@@ -169,11 +185,25 @@ class PcdReader(DataSourceReader):
                     first += len(found["x"])
             else:
                 first = 0
-                for lines in lines_of(stream, piece):
-                    found = pcd.as_points(pcd.ascii_fields(piece.header, lines)) if piece.form == "ascii" else pcd.parse_text(lines)
+                for found in self._lines(stream, piece):
                     yield self._batch(piece, found, first)
                     first += len(found["x"])
 
+    def _lines(self, stream, piece: Piece) -> Iterator[dict[str, np.ndarray]]:
+        for lines in lines_of(stream, piece):
+            yield pcd.as_points(pcd.ascii_fields(piece.header, lines)) if piece.form == "ascii" else pcd.parse_text(lines)
+
+    def _counts(self, system: fs.FileSystem, piece: Piece) -> Iterator[pa.RecordBatch]:
+        if not piece.of:
+            return
+        with system.open_input_file(piece.path) as stream:
+            piece = self._range(stream, piece)
+            if piece is None or piece.form not in ("ascii", "text"):
+                return
+            n = sum(len(found["x"]) for found in self._lines(stream, piece))
+        if n:
+            yield self._batch(piece, {"x": np.zeros(1)}, n)
+
     def _batch(self, piece: Piece, found: dict[str, np.ndarray] | None, first: int, error: str | None = None) -> pa.RecordBatch:
         n = len(found["x"]) if found else 1
         same = {"path": piece.path, "scene_id": re.sub(r"\.pcd$", "", piece.path.rsplit("/", 1)[-1]), "part": piece.part if piece.form in ("ascii", "text") else None, "error": error}
@@ -225,9 +255,9 @@ def lines_of(stream, piece: Piece) -> Iterator[bytes]:
 
 @dataclass
 class Parts(WriterCommitMessage):
-    """(scene, first point, points, file) of each part."""
+    """(scene, first point, points, file, bytes of its header) of each part."""
 
-    parts: list[tuple[str, int, int, str]]
+    parts: list[tuple[str, int, int, str, int]]
 
 
 class PcdWriter(DataSourceArrowWriter):
@@ -259,48 +289,71 @@ class PcdWriter(DataSourceArrowWriter):
         return "".join(f"{x!r} {y!r} {z!r} {c}\n" for x, y, z, c in out.tolist()).encode()
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Parts:
+        """A part that is small is a file with a header, written at once; a larger one is a stream without."""
         system, root = opened(self.path)
         folder = f"{root}/{self.staging}"
-        parts: list[tuple[str, int, int, str]] = []
-        stream, scene, first, n = None, None, 0, 0
+        parts: list[tuple[str, int, int, str, int]] = []
+        stream, scene, file, first, n = None, None, "", 0, 0
+        held: list[bytes] = []
 
         def close() -> None:
-            if stream is not None:
+            head = b""
+            if stream is None:
+                head = self.header(n)
+                with system.open_output_stream(file) as out:
+                    out.write(b"".join([head, *held]))
+            else:
                 stream.close()
-                parts.append((scene, first, n, file))
+            parts.append((scene, first, n, file, len(head)))
 
-        file = ""
         try:
             for batch in iterator:
+                if not batch.num_rows:
+                    continue
                 table = pa.Table.from_batches([batch])
-                names = ["null" if s is None else str(s) for s in table["scene_id"].to_pylist()]
-                at = 0
-                while at < len(names):
-                    end = next((i for i in range(at + 1, len(names)) if names[i] != names[at]), len(names))
-                    if names[at] != scene or stream is None:
-                        close()
-                        scene, n, file = names[at], 0, f"{folder}/{uuid.uuid4().hex}"
+                scenes = table["scene_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+                names = ["null" if s is None else str(s) for s in scenes.dictionary.to_pylist()]
+                codes = scenes.indices.to_numpy()
+                cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+                body = self.body(table)
+                marks = self._marks(body, cuts)
+                for i, at in enumerate(cuts[:-1]):
+                    if not file or names[codes[at]] != scene:
+                        if file:
+                            close()
+                        scene, n, file, stream, held = names[codes[at]], 0, f"{folder}/{uuid.uuid4().hex}", None, []
                         first = table["point_idx"][at].as_py() if table["point_idx"][at].is_valid else -1
-                        stream = system.open_output_stream(file)
-                    stream.write(self.body(table.slice(at, end - at)))
-                    n += end - at
-                    at = end
-            close()
+                    held.append(body[marks[i] : marks[i + 1]])
+                    n += cuts[i + 1] - at
+                    if stream is not None or sum(map(len, held)) > BLOCK:
+                        stream = stream or system.open_output_stream(file)
+                        stream.write(b"".join(held))
+                        held = []
+            if file:
+                close()
         except BaseException:
             if stream is not None and not stream.closed:
                 stream.close()
             raise
         if self.layout == "parts":
-            parts = [(s, i, k, self._with_header(system, [f], k)) for s, i, k, f in parts]
+            parts = [(s, i, k, f if head else self._with_header(system, [(f, 0)], k), 1) for s, i, k, f, head in parts]
         return Parts(parts)
 
-    def _with_header(self, system: fs.FileSystem, files: list[str], n: int) -> str:
-        """A new file of the header and the files' bytes."""
-        whole = f"{files[0]}.pcd"
+    def _marks(self, body: bytes, cuts: list[int]) -> list[int]:
+        """Where the rows of ``cuts`` begin in their bytes."""
+        if self.form == "binary":
+            return [c * self.RECORD.itemsize for c in cuts]
+        ends = np.append(0, np.flatnonzero(np.frombuffer(body, np.uint8) == ord("\n")) + 1)
+        return ends[cuts].tolist()
+
+    def _with_header(self, system: fs.FileSystem, files: list[tuple[str, int]], n: int) -> str:
+        """A new file of a header and the files' bytes after their own."""
+        whole = f"{files[0][0]}.pcd"
         with system.open_output_stream(whole) as out:
             out.write(self.header(n))
-            for file in files:
-                with system.open_input_stream(file) as stream:
+            for file, skipped in files:
+                with system.open_input_file(file) as stream:
+                    stream.seek(skipped)
                     while block := stream.read(BLOCK):
                         out.write(block)
                 system.delete_file(file)
@@ -308,10 +361,10 @@ class PcdWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Parts | None]) -> None:
         system, root = opened(self.path)
-        scenes: dict[str, list[tuple[int, int, str]]] = {}
+        scenes: dict[str, list[tuple[int, int, str, int]]] = {}
         for message in messages:
-            for scene, first, n, file in message.parts if message else []:
-                scenes.setdefault(scene, []).append((first, n, file))
+            for scene, first, n, file, head in message.parts if message else []:
+                scenes.setdefault(scene, []).append((first, n, file, head))
         names = {}
         for scene, parts in scenes.items():
             parts.sort()
@@ -322,19 +375,20 @@ class PcdWriter(DataSourceArrowWriter):
             self.abort(messages)
             raise FileExistsError(f"already written: {', '.join(twice[:3])}")
 
-        def join(item: tuple[str, list[tuple[int, int, str]]]) -> tuple[str, str]:
+        def join(item: tuple[str, list[tuple[int, int, str, int]]]) -> tuple[str, str]:
             name, parts = item
-            return (parts[0][2] if self.layout == "parts" else self._with_header(system, [f for *_, f in parts], sum(n for _, n, _ in parts))), name
+            if len(parts) == 1 and parts[0][3]:  # it has its header
+                return parts[0][2], name
+            return self._with_header(system, [(f, head) for _, _, f, head in parts], sum(n for _, n, _, _ in parts)), name
 
         try:
             with ThreadPoolExecutor(JOINED) as pool:
                 ready = list(pool.map(join, names.items()))
-            if self.overwrite:
-                for file in there - {*names}:
-                    if file.endswith(".pcd"):
-                        system.delete_file(file)
-            for file, name in ready:
-                system.move(file, name)
+                if self.overwrite:
+                    for file in there - {*names}:
+                        if file.endswith(".pcd"):
+                            system.delete_file(file)
+                list(pool.map(lambda moved: system.move(*moved), ready))
         finally:
             self.abort(messages)
 
@@ -350,21 +404,28 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PcdSource)
 
 
-def number_points(points: DataFrame) -> DataFrame:
+def number_points(points: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """``point_idx`` of each file's points over all its ranges.
 
-    The ranges' points are counted by partial aggregation; only a few numbers a file meet in a window.
+    The ranges' points (path, part, n) are given, or counted by partial aggregation; only a few numbers a file meet in a window.
     """
-    counts = points.where(F.col("part").isNotNull() & F.col("error").isNull()).groupBy("path", "part").agg(F.count("*").alias("_n"))
+    if counts is None:
+        counts = points.where(F.col("part").isNotNull() & F.col("error").isNull()).groupBy("path", "part").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("path", "part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    before = counts.select("path", "part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_before"))
     return points.join(before, ["path", "part"], "left").select(*[(F.col(c) + F.coalesce("_before", F.lit(0))).alias(c) if c == "point_idx" else F.col(c) for c in points.columns])
 
 
 def load_pcd(spark: SparkSession, path: str, **options) -> DataFrame:
-    """All points of the files of a folder, as ``pcd.read_pcd`` has them, by ranges of large files."""
+    """All points of the files of a folder, as ``pcd.read_pcd`` has them, by ranges of large files.
+
+    Ranges of lines are counted where they are read; where there is none, points
+    have their numbers and none is moved for it.
+    """
     register(spark)
-    return number_points(spark.read.format("pcd").options(**options).load(path)).drop("part")
+    points = spark.read.format("pcd").options(**options).load(path)
+    counts = spark.read.format("pcd").schema("path string, part int, point_idx long").options(**options, counting="true").load(path).withColumnRenamed("point_idx", "n")
+    return (points if counts.isEmpty() else number_points(points, counts)).drop("part")
 
 
 def save_pcd(points: DataFrame, path: str, *, form: str = "binary", layout: str = "joined", overwrite: bool = False) -> None:
