@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from pointspark.functions.shared import save
 from pointspark.sources import pcd
 
 SCHEMA = "path string, scene_id string, part int, point_idx long, x double, y double, z double, r double, g double, b double, error string"
@@ -425,6 +426,7 @@ def load_pcd(spark: SparkSession, path: str, **options) -> DataFrame:
     register(spark)
     points = spark.read.format("pcd").options(**options).load(path)
     counts = spark.read.format("pcd").schema("path string, part int, point_idx long").options(**options, counting="true").load(path).withColumnRenamed("point_idx", "n")
+    counts = save(counts, "pcd-counts")  # read twice, and counted once
     return (points if counts.isEmpty() else number_points(points, counts)).drop("part")
 
 
