@@ -99,3 +99,15 @@ def test_rows(spark):
     assert sorted((r.doc_id or 0, r.rank, r.ids_crc32) for r in short) == sorted((r.doc_id or 0, r.rank, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in rows)
     assert all(r.decoded for r in short)
     assert s.encode_and_decode(docs.limit(0), MODEL).collect() == []
+
+
+def test_searches_of_a_block_open_their_paths_together(lattices, monkeypatch):
+    texts = ["a", "", "thes be", "Some words, and more.\nÉté 漢字 😀", "word " * 300 + "end", "x" * 200] * 20
+    keys = [7919 * i + 1 for i in range(len(texts))]
+    calls = []
+    monkeypatch.setattr(s, "open_paths", lambda *x, f=s.open_paths: calls.append(len(x[1])) or f(*x))
+    together = s.sample(lattices, texts, keys, 3)
+    assert len(calls) == 3 and calls[0] == 100
+    paths = lambda found: [(p, g, q, lattices.ids(e).tolist()) for e, p, g, q in found]
+    for text, key, found in zip(texts, keys, together, strict=True):
+        assert paths(s.sample(lattices, [text], [key], 3)[0]) == paths(found)

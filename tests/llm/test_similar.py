@@ -109,3 +109,27 @@ def test_forest_connects_what_is_similar():
             found = [found[a] if x == found[b] else x for x in found]
         same = lambda labels: {tuple(i for i, x in enumerate(labels) if x == own) for own in set(labels)}
         assert same(found) == same(label) and len(links) == len(sets) - len(set(label))
+
+
+def test_bands_are_of_32_bits_and_pairs_at_the_limit_meet():
+    rng = np.random.default_rng(10)
+    assert similar._TIMES.dtype == similar._PLUS.dtype == np.uint32
+    for size in (9, 90, 3_600):
+        for _ in range(40):
+            pool = np.unique(rng.integers(0, 1 << 63, size * 10 // 9, np.uint64))
+            cut = len(pool) // 10
+            assert set(similar.bands(pool[cut:])) & set(similar.bands(pool[: len(pool) - cut]))
+
+
+def test_buckets_of_three_are_settled_by_their_ends(spark, monkeypatch):
+    base = [f"w{i * 37 % 101}" for i in range(90)]
+    texts = [" ".join(base), *(" ".join([*base[:i], "edit", *base[i + 1 :]]) for i in (10, 50))]
+    rest = []
+    monkeypatch.setattr(similar, "bucket_links", lambda x, *y, f=similar.bucket_links: rest.append(x.count()) or f(x, *y))
+    monkeypatch.setattr(similar, "bands", lambda found: [1])
+    docs = spark.createDataFrame([(0, texts[0]), (1, texts[1]), (2, "nothing like the others at all here")], "doc_id long, text string")
+    assert sorted(map(tuple, similar.similar_duplicates(docs).collect())) == [(0, 0), (1, 0), (2, 2)]
+    assert rest == [0]
+    more = docs.union(spark.createDataFrame([(3, texts[2]), (4, "another text that is unlike all these")], docs.schema))
+    assert sorted(map(tuple, similar.similar_duplicates(more).collect())) == [(0, 0), (1, 0), (2, 2), (3, 0), (4, 4)]
+    assert rest == [0, 5]
