@@ -24,7 +24,7 @@ def plans_of(monkeypatch, run):
     return plans
 
 
-@pytest.mark.parametrize("name", ["dbscan_labels", "cluster_sizes", "largest_cluster"])
+@pytest.mark.parametrize("name", ["dbscan_labels", "cluster_sizes", "largest_cluster", "dbscan_core"])
 def test_points_are_dealt_once(spark, monkeypatch, name):
     """The window that numbers them deals them by scene; nothing is sent or sorted again, and no table but the result is written."""
     plans = plans_of(monkeypatch, lambda: catalog.queries()[name](spark, "/root/testdata/sf0.001"))
@@ -48,8 +48,9 @@ def test_scenes_that_no_task_holds_give_the_same(spark, monkeypatch, kind):
     results = []
     for most in (density.MOST, 250, 0):
         monkeypatch.setattr(clustering, "MOST", most)
-        results.append(sorted(map(tuple, clustering.dbscan(points, 0.35, 6).collect())))
-    assert results[0] == results[1] == results[2] and len(results[0]) > 300
+        labels = sorted(map(tuple, clustering.dbscan(points, 0.35, 6).collect()))
+        results.append((labels, sorted(map(tuple, clustering.core_points(points, 0.35, 6).collect()))))
+    assert results[0] == results[1] == results[2] and len(results[0][0]) > len(results[0][1]) > 300
 
 
 def test_small_blocks_give_the_same(monkeypatch):
@@ -80,6 +81,7 @@ def test_points_that_are_no_numbers_are_near_none(spark, monkeypatch, most):
     rows = [(1, i, v, 0.0, 0.0) for i, v in enumerate([math.nan] * 4 + [math.inf] * 4 + [None] * 4 + [0.1] * 3)] + [(None, i, 0.0, 0.0, 0.0) for i in range(3)]
     points = spark.createDataFrame(rows, "scene_id long, point_idx long, x double, y double, z double")
     assert sorted(map(tuple, clustering.dbscan(points, 0.35, 3).collect())) == [(1, 12, 12), (1, 13, 12), (1, 14, 12)]
+    assert sorted(map(tuple, clustering.core_points(points, 0.35, 3).collect())) == [(1, 12), (1, 13), (1, 14)]
 
 
 def test_whole_scenes_in_a_stream():
