@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pointspark.operators import clustering, density
 from pointspark.plans import catalog
@@ -95,3 +96,26 @@ def test_whole_scenes_in_a_stream():
             assert len(set(values[begin:end])) == 1 and values[begin] not in got
             got[values[begin]] = end - begin
     assert got == {1: 5, 2: 30, 3: 2, 4: 4, 5: 21}
+
+
+def test_demotion_deals_points_once_and_by_joins_gives_the_same(spark, monkeypatch):
+    """Votes are neither asked for twice nor joined with clusters, whatever other columns they carry."""
+    points = clouds(spark, [400, 5, 260, 1, 130, 300], "string")
+    voted = points.withColumns({"pred": (F.col("point_idx") % 7 != 0).cast("int"), "confidence": F.lit(0.9), "tags": F.array(F.col("point_idx"))})
+    odd = spark.createDataFrame([(None, 1, 0.0, 0.0, 0.0), ("s0", 900, math.nan, 0.0, 0.0), ("s1", 901, None, 0.0, 0.0)], "scene_id string, point_idx long, x double, y double, z double")
+    # Two clusters of one size: the lower number stays.
+    ties = spark.createDataFrame([("ties", i, float(i % 2) * 5, 0.0, 0.0) for i in range(12)], odd.schema)
+    voted = voted.unionByName(odd.union(ties).withColumns({"pred": F.lit(1), "confidence": F.lit(0.5), "tags": F.array(F.lit(1).cast("long"))}))
+    voted = clustering.save(voted, "voted")
+    plan = clustering.keep_largest(voted, 0.35, 6)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    results = []
+    for most in (density.MOST, 250, 0):
+        monkeypatch.setattr(clustering, "MOST", most)
+        found = clustering.keep_largest(voted, 0.35, 6)
+        assert found.columns == voted.columns
+        results.append(sorted(map(str, found.collect())))
+    assert results[0] == results[1] == results[2]
+    kept = {(r.scene_id, r.point_idx): r.pred for r in clustering.keep_largest(voted, 0.35, 6).collect()}
+    assert [kept["ties", i] for i in range(12)] == [1, 0] * 6 and (kept["s0", 900], kept["s1", 901], kept[None, 1]) == (0, 1, 1)
+    assert 0 < sum(kept.values()) < voted.where("pred = 1").count()
