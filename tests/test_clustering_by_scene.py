@@ -119,3 +119,13 @@ def test_demotion_deals_points_once_and_by_joins_gives_the_same(spark, monkeypat
     kept = {(r.scene_id, r.point_idx): r.pred for r in clustering.keep_largest(voted, 0.35, 6).collect()}
     assert [kept["ties", i] for i in range(12)] == [1, 0] * 6 and (kept["s0", 900], kept["s1", 901], kept[None, 1]) == (0, 1, 1)
     assert 0 < sum(kept.values()) < voted.where("pred = 1").count()
+
+
+def test_two_dense_balls_are_compared_until_they_are_linked(monkeypatch):
+    rng, n, seen = np.random.default_rng(1), 4000, []
+    places = [np.concatenate([rng.normal(0, 0.03, n), rng.normal(0.28, 0.03, n)]) for _ in range(3)]
+    near = density._near
+    monkeypatch.setattr(density, "PAIRS", 10_000)
+    monkeypatch.setattr(density, "_near", lambda a, i, b, j, square: seen.append(len(i)) or near(a, i, b, j, square))
+    at, cluster = density.clusters(np.zeros(2 * n, np.int64), np.arange(2 * n), places, 0.3, 0.09, 50)
+    assert len(at) == 2 * n and set(cluster.tolist()) == {0} and sum(seen) < n * n / 4
